@@ -58,15 +58,21 @@ class MergeIndex:
 
     def compact(self) -> DataFrame:
         """Merge all runs: a row for each digest with the row that stays and its count."""
-        pick = F.max if self.keep == "largest" else F.min
-        # Null ids lose either way; (id, run, seq) is a total order.
-        none = F.lit(-(1 << 63) if self.keep == "largest" else (1 << 63) - 1)
-        best = F.struct(F.coalesce("doc_id", none).alias("k"), F.col("doc_id").isNotNull().alias("some") if self.keep == "largest" else F.col("doc_id").isNull().alias("none"), "run", "seq")
+        # (has an id, id, run, seq) is a total order in which a null id always loses.
+        largest = self.keep == "largest"
+        ranked = F.col("doc_id").isNotNull() if largest else F.col("doc_id").isNull()
+        best = F.struct(ranked.alias("ranked"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "run", "seq")
         merged = (
             self.rows()
             .groupBy("digest")
-            .agg(pick(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
-            .select("digest", F.when(F.col("best")[1] if self.keep == "largest" else ~F.col("best")[1], F.col("best.k")).alias("keep_id"), F.col("best.run").alias("keep_run"), F.col("best.seq").alias("keep_seq"), "group_size")
+            .agg((F.max if largest else F.min)(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
+            .select(
+                "digest",
+                F.when(F.col("best.ranked") == F.lit(largest), F.col("best.id")).alias("keep_id"),
+                F.col("best.run").alias("keep_run"),
+                F.col("best.seq").alias("keep_seq"),
+                "group_size",
+            )
         )
         where = f"{self.path}/level1-{self.flushed}"
         self._write(merged.sortWithinPartitions("digest"), where)
@@ -101,8 +107,8 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", digest=sha256_digest) -
     compacted = index.compact()
     clashing = _clashes(keyed, compacted.where("group_size > 1").select("digest"))
     out = _resolve(index.rows(), compacted)
-    if clashing.isEmpty():
-        return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")) if digest is sha256_digest else _with_sha(out, keyed, clashing, keep)
+    if digest is sha256_digest and clashing.isEmpty():
+        return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
     return _with_sha(out, keyed, clashing, keep)
 
 
