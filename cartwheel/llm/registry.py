@@ -7,6 +7,8 @@ import importlib
 #: Module and function of each query.
 MODULES = {
     "op2_exact_dedup": "exact_dedup",
+    "op5_secret_scan": "secret_scan",
+    "op6_language_id": "language_id",
     "op9_best_fit_packing": "packing",
 }
 
