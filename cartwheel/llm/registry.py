@@ -9,7 +9,9 @@ MODULES = {
     "op2_exact_dedup": "exact_dedup",
     "op5_secret_scan": "secret_scan",
     "op6_language_id": "language_id",
+    "op7_license_scan": "license_scan",
     "op9_best_fit_packing": "packing",
+    "op10_line_dedup": "line_dedup",
 }
 
 
