@@ -10,7 +10,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,23 @@ SLICE_BYTES = 2 << 20
 _LOCAL_DIRS: dict[str, str] = {}
 
 
-def arrow_limits(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for texts of any length mix."""
+_SHIPPED: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Keep Arrow batches small for texts of any length mix, and give executors this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="cartwheel-code-")
+        atexit.register(shutil.rmtree, folder, True)
+        target = f"{folder}/{root.name}.zip"
+        with zipfile.ZipFile(target, "w") as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, source.relative_to(root.parent))
+        spark.sparkContext.addPyFile(target)  # served by the driver, fetched by each executor
+        _SHIPPED.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits
+from .common import prepare
 
 _RUN = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -144,7 +144,7 @@ def train(docs: DataFrame, sample_docs: int = 2500, most_words: int = 150_000, l
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; reads doc_id and text alone."""
     spark = docs.sparkSession
-    arrow_limits(spark)
+    prepare(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches):
@@ -160,7 +160,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.4) -> DataFrame:
     """Rows whose language is found with at least ``min_score``; columns unchanged."""
     spark = docs.sparkSession
-    arrow_limits(spark)
+    prepare(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, written
+from .common import prepare, written
 
 #: Parts into which the pieces of one length are dealt for numbering.
 SALT = 64
@@ -96,7 +96,7 @@ class Encoder(dict):
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of each piece of each document."""
-    arrow_limits(docs.sparkSession)
+    prepare(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     end = int(end_id).to_bytes(4, "little")
 

@@ -7,6 +7,7 @@ import importlib
 #: Module and function of each query.
 MODULES = {
     "op2_exact_dedup": "exact_dedup",
+    "op3_benchmark_decontamination": "decontaminate",
     "op5_secret_scan": "secret_scan",
     "op6_language_id": "language_id",
     "op7_license_scan": "license_scan",

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_limits
+from .common import prepare
 
 KINDS = ("assign", "access", "hex", "model")
 
@@ -226,7 +226,7 @@ def trained(findings: int = 2400, recall: float = 0.98, seed: int = 5) -> CharCN
 def scan(docs: DataFrame, net: CharCNN | None = None) -> DataFrame:
     """Per document: counts by kind, the digest of the pattern spans, and all spans."""
     spark = docs.sparkSession
-    arrow_limits(spark)
+    prepare(spark)
     net = net or trained()
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_model long, base_sha256 string, spans string"
 
