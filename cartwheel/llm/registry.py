@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op2_exact_dedup": "exact_dedup",
     "op3_benchmark_decontamination": "decontaminate",
+    "op4_substring_dedup": "substring_dedup",
     "op5_secret_scan": "secret_scan",
     "op6_language_id": "language_id",
     "op7_license_scan": "license_scan",
