@@ -12,6 +12,7 @@ MODULES = {
     "op5_secret_scan": "secret_scan",
     "op6_language_id": "language_id",
     "op7_license_scan": "license_scan",
+    "op8_suffix_dedup": "suffix_dedup",
     "op9_best_fit_packing": "packing",
     "op10_line_dedup": "line_dedup",
 }
