@@ -16,6 +16,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ _SHIPPED: set[str] = set()
 def prepare(spark: SparkSession) -> None:
     """Keep Arrow batches small for texts of any length mix, and give executors this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parents[1]
@@ -85,7 +87,7 @@ def slices(batch: pa.RecordBatch, col: str = "text", limit: int = SLICE_BYTES) -
     n = batch.num_rows
     if not n:
         return
-    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < n:
         base = ends[start - 1] if start else 0
@@ -99,7 +101,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = pa.compute.fill_null(column, "")
+        column = pc.fill_null(column, "")
     column = column.cast(pa.large_string())
     n = len(column)
     bufs = column.buffers()

@@ -6,6 +6,7 @@ import importlib
 
 #: Module and function of each query.
 MODULES = {
+    "op1_minhash_near_dedup": "minhash",
     "op2_exact_dedup": "exact_dedup",
     "op3_benchmark_decontamination": "decontaminate",
     "op4_substring_dedup": "substring_dedup",

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,7 +120,7 @@ def _stretch_rows(table: pa.Table, answers: pa.Table, width: int, shards: int) -
     first, count, hashes = first[hit], count[hit], hashes[hit]
     row = np.searchsorted(block.offsets, first, side="right") - 1
     start = first - block.offsets[row]
-    ids = pa.compute.fill_null(block.table.column("doc_id"), _NO_ID).to_numpy()
+    ids = pc.fill_null(block.table.column("doc_id"), _NO_ID).to_numpy()
     doc = ids[row]
     bytes_ = count + width - 1
     # Equal stretches: the earliest goes on.
