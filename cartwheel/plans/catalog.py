@@ -2,10 +2,251 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cartwheel import schemas
+from cartwheel.operators import candidates as cand
+from cartwheel.operators import covisit, features, metrics, order, sampling, split, submission, vectors
+from cartwheel.operators.popularity import popularity
+from cartwheel.plans import oracles
+from cartwheel.sources import sessions
+
+Query = Callable[[SparkSession, str], DataFrame]
+NEIGHBOURS = 20
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.synthetic(spark, d)
+
+
+def _users(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.synthetic(spark, d, "user")
+
+
+def _cut(events: DataFrame) -> tuple[int, int]:
+    last = split.max_ts(events)
+    return last - 7 * schemas.DAY_MS, last
+
+
+def _view(spark: SparkSession, d: str) -> split.View:
+    events = _events(spark, d)
+    return split.official_view(events, *_cut(events))
+
+
+def _global(spark: SparkSession, d: str) -> split.View:
+    events = _events(spark, d)
+    return split.global_view(events, _cut(events)[0])
+
+
+def _rule(name: str) -> covisit.Rule:
+    legacy = name.startswith("legacy_")
+    found = [r for r in (covisit.LEGACY if legacy else covisit.PUBLIC + covisit.LEGACY) if r.name == name.removeprefix("legacy_")]
+    return found[0]
+
+
+def _matrix(name: str, source: Callable = _events) -> Query:
+    return lambda spark, d: covisit.matrix(source(spark, d), _rule(name), NEIGHBOURS)
+
+
+def _candidates(profile: str, target: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        view = _view(spark, d)
+        matrices = covisit.suite(view.matrix_events, profile, NEIGHBOURS)
+        options = {"history_budget": 50, "covisit_budget": 180, "max_events": 30} if profile == "legacy_five" else {}
+        return _listed(cand.candidates(view.query_contexts, matrices, popularity(view.matrix_events), target, 250, **options))
+
+    return run
+
+
+def _listed(fused: DataFrame) -> DataFrame:
+    return fused.select("session", "aid", "score", "best_rank", F.col("evidence.source").alias("sources"), "candidate_rank")
+
+
+def _baseline(spark: SparkSession, d: str) -> DataFrame:
+    view = _view(spark, d)
+    matrix = covisit.matrix(view.matrix_events, _rule("carts_orders"), NEIGHBOURS)
+    return cand.fuse(cand.baseline_inputs(view.query_contexts, matrix, popularity(view.matrix_events)), 50)
+
+
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    rows = _baseline(spark, d).select("session", "aid", F.explode("evidence").alias("e"), "candidate_rank")
+    return rows.select("session", "aid", "e.source", "e.score", "e.rank", "candidate_rank")
+
+
+def _rows(spark: SparkSession, d: str) -> tuple[DataFrame, split.View]:
+    view = _view(spark, d)
+    matrices = covisit.suite(view.matrix_events, "public_v575", NEIGHBOURS)
+    return features.materialize(view.query_contexts, matrices, popularity(view.matrix_events), view.labels, 250, 120), view
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(spark, d)[0]
+
+
+def _on_rows(fn: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows, view = _rows(spark, d)
+        return fn(rows, view.labels)
+
+    return run
+
+
+_ROW = ("session", "target", "aid", "label", "candidate_rank")
+
+
+def _on_sample(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: fn(_features(spark, d)).select(*_ROW)
+
+
+def _recall(spark: SparkSession, d: str) -> DataFrame:
+    rows, view = _rows(spark, d)
+    top = submission.rules_predictions(rows).withColumnRenamed("target", "type")
+    return metrics.recall(top, view.labels)
+
+
+def _submission(spark: SparkSession, d: str) -> DataFrame:
+    rows, view = _rows(spark, d)
+    targets = spark.createDataFrame([(t,) for t in schemas.TYPES], "target string")
+    queries = view.query_contexts.select("session").distinct().crossJoin(F.broadcast(targets))
+    return submission.submission(queries, submission.rules_predictions(rows), popularity(view.matrix_events))
+
+
+def _prefix(spark: SparkSession, d: str) -> DataFrame:
+    """The feature of a prefix of 100 sessions, here by session id."""
+    events = _events(spark, d)
+    first = events.select("session").distinct().orderBy("session").limit(100)
+    return events.join(first, "session", "left_semi")
+
+
+def _ingest_counts(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.counts(sessions.nest(_events(spark, d)))
+
+
+def _flatten(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d)
+
+
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    events = _events(spark, d)
+    cut = _cut(events)[0]
+    return split.known_items(events, (cut, cut - 7 * schemas.DAY_MS))
+
+
+def _ramp(spark: SparkSession, d: str) -> DataFrame:
+    rule = replace(_rule("clicks_all_to_all"), ramp=(1_704_067_200.0, 1_706_659_200.0, 1.0, 4.0))
+    return covisit.matrix(_events(spark, d), rule, NEIGHBOURS)
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    own = order.indexed(order.tail(_events(spark, d), 30))
+    return covisit.pairs(own, _rule("carts_orders"))
+
+
+def _lookup(spark: SparkSession, d: str) -> DataFrame:
+    view = _view(spark, d)
+    return covisit.neighbours(covisit.matrix(view.matrix_events, _rule("carts_orders"), NEIGHBOURS), view.query_contexts)
+
+
+def _knn(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.nearest(rows, queries, 10).withColumn("similarity", F.round("similarity", 9))
+
+
+def _rq(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    first = [[float(x) for x in r["embedding"]] for r in rows.where("vec_id < 16").orderBy("vec_id").collect()]
+    coded = vectors.encode(rows, [first[:8], first[8:]])
+    return coded.select("vec_id", F.col("codes")[0].alias("code1"), F.col("codes")[1].alias("code2"))
+
+
+def _rq_trained(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
+    return vectors.encode(rows, vectors.train_quantizer(rows, levels=2, clusters=8, iterations=3))
+
+
+def _refit(spark: SparkSession, d: str) -> DataFrame:
+    rows = _features(spark, d)
+    return sampling.refit_union([rows, rows], "carts", 80, None).select("query_group", "session", "aid", "label", "candidate_rank")
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    from cartwheel.operators import ranker
+
+    rows, view = _rows(spark, d)
+    model = ranker.train(sampling.positive_groups(rows.where("target = 'clicks'")), rounds=3, max_depth=3)
+    return submission.score_predictions(model.score(rows.where("target = 'clicks'")))
+
+
+def _sequences(spark: SparkSession, d: str) -> DataFrame:
+    from cartwheel.operators.sequences import prepare
+
+    return prepare(_users(spark, d), 12)
+
+
+def queries() -> dict[str, Query]:
+    out: dict[str, Query] = {
+        "events_flatten": _flatten,
+        "events_retail": sessions.retail,
+        "ingest_counts": _ingest_counts,
+        "session_prefix_limit": _prefix,
+        "events_union": lambda s, d: sessions.concatenate(_events(s, d), _users(s, d)),
+        "max_ts": lambda s, d: _events(s, d).agg(F.max("ts").alias("max_ts")),
+        "known_aids": _known,
+        "event_index": lambda s, d: order.indexed(_events(s, d)),
+        "event_index_retail": lambda s, d: order.indexed(sessions.retail(s, d)),
+        "tail_n": lambda s, d: order.tail(_users(s, d), 30),
+        "recency_rank": lambda s, d: order.recency(_users(s, d)),
+        "split_global_contexts": lambda s, d: _global(s, d).query_contexts,
+        "split_global_labels": lambda s, d: _global(s, d).labels,
+        "split_official_contexts": lambda s, d: _view(s, d).query_contexts,
+        "split_official_labels": lambda s, d: _view(s, d).labels,
+        "views_matrix_events": lambda s, d: _view(s, d).matrix_events,
+        "covis_pairs_dedup": _pairs,
+        **{f"covis_{r}": _matrix(r) for r in oracles.RULES},
+        "covis_ramp_2024": _ramp,
+        "covis_user_carts_orders": _matrix("carts_orders", _users),
+        "covis_retail_buy_to_buy": _matrix("buy_to_buy", sessions.retail),
+        "neighbor_lookup": _lookup,
+        "popularity_by_target": lambda s, d: popularity(_view(s, d).matrix_events),
+        "history_scores": lambda s, d: cand.history_ranks(_users(s, d), "orders"),
+        "cand_baseline": lambda s, d: _listed(_baseline(s, d)),
+        **{f"cand_public_{t}": _candidates("public_v575", t) for t in schemas.TYPES},
+        **{f"cand_legacy_{t}": _candidates("legacy_five", t) for t in schemas.TYPES},
+        "fuse_rrf": _fused,
+        "feat_session": lambda s, d: features.session_features(_view(s, d).query_contexts),
+        "feat_session_aid": lambda s, d: features.item_features(_view(s, d).query_contexts),
+        "feat_evidence": lambda s, d: _evidence(_features(s, d)),
+        "feature_matrix": _features,
+        "candidates_labeled_retained": lambda s, d: _features(s, d).select(*_ROW),
+        "recall_at_20": _recall,
+        "cand_recall_cutoffs": _on_rows(metrics.recall_at),
+        "cand_recall_weighted": _on_rows(lambda r, y: metrics.weighted_recall(r, y, 100)),
+        "cand_recall_sources": _on_rows(metrics.recall_by_source),
+        "cand_recall_length_buckets": _on_rows(metrics.recall_by_length),
+        "cand_rank_hist": _on_rows(lambda r, y: metrics.rank_histogram(r)),
+        "sample_queries": _on_sample(lambda r: sampling.read_target(r, "orders", 80, 50)),
+        "sample_negatives": _on_sample(lambda r: sampling.read_target(r, "clicks", 80, None, rate=0.05)),
+        "positive_groups": _on_sample(lambda r: sampling.positive_groups(r.where("target = 'carts'"))),
+        "refit_union": _refit,
+        "rules_top20": lambda s, d: submission.rules_predictions(_features(s, d)),
+        "submission_rows": _submission,
+        "knn_cosine": _knn,
+        "sequence_prep": _sequences,
+        "rq_encode": _rq,
+        "rq_trained": _rq_trained,
+        "ranker_score_top20": _ranked,
+    }
+    return out
+
+
+def _evidence(rows: DataFrame) -> DataFrame:
+    return rows.select("session", "target", "aid", *[c for c in rows.columns if c.startswith("source_")])
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.queries()
