@@ -54,7 +54,7 @@ class Queue:
         """All tuples of a symbol, in the order in which they came."""
         runs = self.held.pop(symbol, None)
         if not runs:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+            return np.zeros(0, np.int32), np.zeros(0, np.uint8)
         out = []
         for run in runs:
             if len(run) == 2:
@@ -161,7 +161,7 @@ def induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, lms_lcp: np.nda
     symbols = int(text.max()) + 1
     head = text[lms]
     cuts = np.flatnonzero(np.diff(head.astype(np.int64))) + 1
-    at = np.concatenate([[0], cuts, [len(lms)]])
+    at = np.concatenate([[0], cuts, [len(lms)]]) if len(lms) else np.zeros(1, np.int64)
     stars = {int(head[a]): (a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)}
     rising = _Sweep(text, ~small, symbols, depth, memory)
     rising.start(symbols)
@@ -205,7 +205,7 @@ def induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, lms_lcp: np.nda
                 back[0] = _run_common(text, last, int(pos[-1]), depth) if last >= 0 else 0
             falling.feed(pos[::-1], back)
         if c == present[0]:
-            out.push(2 * c + 1, np.array([len(text) - 1]), np.zeros(1, np.uint8))
+            out.push(2 * c + 1, np.array([len(text) - 1], lms.dtype), np.zeros(1, np.uint8))
     for c in present:
         large_pos, large_lcp = out.pop(2 * c)
         pos, lcp = out.pop(2 * c + 1)
@@ -256,7 +256,7 @@ def _common(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
 
 def sorted_lms(text: np.ndarray, small: np.ndarray, depth: int, memory: int, base: int) -> np.ndarray:
     """LMS positions in the order of their suffixes (to ``depth`` symbols)."""
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32 if len(text) < 1 << 31 else np.int64)
     if len(lms) < 2:
         return lms
     # Any order within a first symbol will do to sort the substrings.

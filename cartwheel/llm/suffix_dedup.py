@@ -31,7 +31,7 @@ from .induced import suffixes
 #: Bytes of a minimizer.
 SEED = 32
 #: Bytes of text for which one shard is set up; repeats are a part of them.
-SHARD_TEXT = 12 << 20
+SHARD_TEXT = 4 << 20
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _NO_ID = -(1 << 63)
 
@@ -47,8 +47,8 @@ def _seed_hashes(data: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first string, strings, minimizer's hash) of each run of strings with one minimizer."""
+def runs(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first string, strings, minimizer's hash, its place from there) of each run of strings with one minimizer."""
     empty = np.zeros(0, np.int64)
     parts = []
     # A few documents at a time: the arrays here are eight times the text.
@@ -60,7 +60,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray,
             parts.append(_runs(data[lo:hi], offsets[at : stop + 1] - lo, width, lo))
         at = stop
     if not parts:
-        return empty, empty, empty.astype(np.uint64)
+        return empty, empty, empty.astype(np.uint64), empty
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -85,7 +85,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray, width: int, base: int):
     new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | ~valid[:-1]
     first = np.flatnonzero(new & valid)
     ends = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True)) + 1
-    return first + base, ends - first, hashes[at[first]]
+    return first + base, ends - first, hashes[at[first]], at[first] - first
 
 
 class _Block:
@@ -102,22 +102,22 @@ def _gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(total)]
 
 
-_SCHEMA = "bucket int, block long, docs binary, rows binary, starts binary, sizes binary, data binary"
-_NAMES = ["bucket", "block", "docs", "rows", "starts", "sizes", "data"]
+_SCHEMA = "bucket int, block long, docs binary, rows binary, starts binary, sizes binary, shifts binary, data binary"
+_NAMES = ["bucket", "block", "docs", "rows", "starts", "sizes", "shifts", "data"]
 _ANSWER = "block long, rows binary, starts binary, sizes binary"
 
 
 def _stretch_rows(table: pa.Table, answers: pa.Table, width: int, shards: int) -> pa.Table:
     """Rows of stretches for each shard, and one for the block itself with repeats found here."""
-    kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 5
+    kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 6
     if not table.num_rows:
         return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=_NAMES)
     block = _Block(table)
-    first, count, hashes = runs(block.data, block.offsets, width)
+    first, count, hashes, shift = runs(block.data, block.offsets, width)
     hit = member(hashes, received(answers))
     if len(hashes):
         hit |= repeated(hashes)[0]
-    first, count, hashes = first[hit], count[hit], hashes[hit]
+    first, count, hashes, shift = first[hit], count[hit], hashes[hit], shift[hit]
     row = np.searchsorted(block.offsets, first, side="right") - 1
     start = first - block.offsets[row]
     ids = pc.fill_null(block.table.column("doc_id"), _NO_ID).to_numpy()
@@ -141,7 +141,7 @@ def _stretch_rows(table: pa.Table, answers: pa.Table, width: int, shards: int) -
 
     def add(bucket: int, pick: np.ndarray, with_data: bool) -> None:
         data = _gather(block.data, first[pick], bytes_[pick]).tobytes() if with_data else b""
-        values = (bucket, number, doc[pick].tobytes(), row[pick].astype(np.int32).tobytes(), start[pick].tobytes(), count[pick].astype(np.int64).tobytes(), data)
+        values = (bucket, number, doc[pick].tobytes(), row[pick].astype(np.int32).tobytes(), start[pick].tobytes(), count[pick].astype(np.int64).tobytes(), shift[pick].astype(np.int16).tobytes(), data)
         for column, value in zip(columns, values, strict=True):
             column.append(value)
 
@@ -159,7 +159,6 @@ def _join(column: pa.ChunkedArray, kind) -> np.ndarray:
 
 def _repeats(table: pa.Table, width: int, memory: int) -> pa.Table:
     """(block, rows, starts, sizes): spans of strings that started earlier."""
-    names = ["block", "rows", "starts", "sizes"]
     if table.column("bucket")[0].as_py() < 0:
         return table.select(["block", "rows", "starts", "sizes"])
     doc, row, start, count = (_join(table.column(c), k) for c, k in (("docs", np.int64), ("rows", np.int32), ("starts", np.int64), ("sizes", np.int64)))
@@ -174,8 +173,17 @@ def _repeats(table: pa.Table, width: int, memory: int) -> pa.Table:
     order = np.lexsort((row, block, start, doc, two, one))
     lead = np.ones(len(order), bool)
     lead[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-    kept, gone = np.sort(order[lead]), order[~lead]
+    kept, gone = order[lead], order[~lead]
     del one, two
+    # Strings of one stretch differ, and so do those of different minimizers: a stretch that
+    # is alone with its minimizer needs no sorting.
+    shift = _join(table.column("shifts"), np.int16)[kept]
+    key = span_hashes(byte_values(data, 0), first[kept] + shift, first[kept] + shift + SEED, 0)
+    if len(kept):
+        kept = kept[repeated(key)[0]]
+    kept = np.sort(kept)
+    if not len(kept):
+        return _spans(block[gone], row[gone], start[gone], count[gone])
     # The text: stretches as symbols 2.., each closed by 1, the end 0.
     sizes = size[kept]
     places = np.cumsum(sizes + 1) - (sizes + 1)
@@ -226,7 +234,11 @@ def _repeats(table: pa.Table, width: int, memory: int) -> pa.Table:
     r = np.concatenate([row[src], row[gone]])
     s = np.concatenate([start[src] + (at - places[stretch]), start[gone]])
     n = np.concatenate([np.ones(len(at), np.int64), count[gone]])
-    # Strings next to each other become one span.
+    return _spans(b, r, s, n)
+
+
+def _spans(b: np.ndarray, r: np.ndarray, s: np.ndarray, n: np.ndarray) -> pa.Table:
+    """Rows of a block each from (block, row, start, strings); strings next to each other are one span."""
     order = np.lexsort((s, r, b))
     b, r, s, n = b[order], r[order], s[order], n[order]
     reach = s + n
@@ -240,7 +252,7 @@ def _repeats(table: pa.Table, width: int, memory: int) -> pa.Table:
     cut = np.append(cut, len(b)).tolist()
     pairs = list(zip(cut, cut[1:], strict=False))
     arrays = [pa.array(ids, pa.int64())] + [pa.array([x[i:j].astype(k).tobytes() for i, j in pairs], pa.binary()) for x, k in ((r, np.int32), (s, np.int64), (n, np.int64))]
-    return pa.Table.from_arrays(arrays, names=names)
+    return pa.Table.from_arrays(arrays, names=["block", "rows", "starts", "sizes"])
 
 
 def remove_earlier(docs: DataFrame, width: int = 100, memory: int = 192 << 20) -> DataFrame:
