@@ -53,7 +53,10 @@ def boilerplate(pages: DataFrame, ratio: float, least_pages: int) -> DataFrame:
 def drop_boilerplate(pages: DataFrame, ratio: float = 0.25, least_pages: int = 5) -> DataFrame:
     """page_id, host, n_lines, n_dropped and kept_text (lines joined by line feeds)."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), "html")
-    joined = own.join(boilerplate(pages, ratio, least_pages), "host", "left")
+    # A host's pages are dealt out, its few digests copied: no task gets a whole site.
+    salt = F.pmod(F.xxhash64("page_id", "html"), F.lit(SALT)).cast("int")
+    copied = boilerplate(pages, ratio, least_pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    joined = own.withColumn("salt", salt).join(copied, ["host", "salt"], "left")
     cut = joined.select("page_id", "host", page_lines(F.col("html")).alias("lines"), "found")
     keeps = F.when(F.col("found").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("found"), F.unhex(F.md5(x)))))
     return cut.select("page_id", "host", "lines", keeps.alias("kept")).select(
