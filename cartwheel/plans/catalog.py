@@ -18,6 +18,24 @@ from cartwheel.sources import sessions
 Query = Callable[[SparkSession, str], DataFrame]
 NEIGHBOURS = 20
 
+#: Stage tables that queries share, by application, folder and name: the pipelines write
+#: these between stages; here they are persisted (lost blocks are computed again).
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _kept(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _KEPT:
+        _KEPT[key] = make().persist()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Drop all shared stage tables."""
+    for df in _KEPT.values():
+        df.unpersist()
+    _KEPT.clear()
+
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return sessions.synthetic(spark, d)
@@ -32,11 +50,40 @@ def _cut(events: DataFrame) -> tuple[int, int]:
     return last - 7 * schemas.DAY_MS, last
 
 
-def _view(spark: SparkSession, d: str) -> split.View:
+def _official(spark: SparkSession, d: str) -> split.View:
     events = _events(spark, d)
     return split.official_view(events, *_cut(events))
 
 
+def _view(spark: SparkSession, d: str) -> split.View:
+    made: list[split.View] = []
+
+    def part(name: str) -> DataFrame:
+        def make() -> DataFrame:
+            if not made:
+                made.append(_official(spark, d))
+            return getattr(made[0], name)
+
+        return _kept(spark, d, name, make)
+
+    return split.View(*[part(name) for name in split.View._fields])
+
+
+def _suite(spark: SparkSession, d: str, profile: str) -> dict[str, DataFrame]:
+    made: dict[str, DataFrame] = {}
+
+    def make(name: str) -> DataFrame:
+        if not made:
+            made.update(covisit.suite(_view(spark, d).matrix_events, profile, NEIGHBOURS))
+        return made[name]
+
+    return {r.name: _kept(spark, d, f"{profile}/{r.name}", lambda n=r.name: make(n)) for r in covisit.rules(profile)}
+
+
+def _popular(spark: SparkSession, d: str) -> DataFrame:
+    return _kept(spark, d, "popularity", lambda: popularity(_view(spark, d).matrix_events))
+
+
 def _global(spark: SparkSession, d: str) -> split.View:
     events = _events(spark, d)
     return split.global_view(events, _cut(events)[0])
@@ -55,9 +102,9 @@ def _matrix(name: str, source: Callable = _events) -> Query:
 def _candidates(profile: str, target: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         view = _view(spark, d)
-        matrices = covisit.suite(view.matrix_events, profile, NEIGHBOURS)
+        matrices = _suite(spark, d, profile)
         options = {"history_budget": 50, "covisit_budget": 180, "max_events": 30} if profile == "legacy_five" else {}
-        return _listed(cand.candidates(view.query_contexts, matrices, popularity(view.matrix_events), target, 250, **options))
+        return _listed(cand.candidates(view.query_contexts, matrices, _popular(spark, d), target, 250, **options))
 
     return run
 
@@ -68,8 +115,8 @@ def _listed(fused: DataFrame) -> DataFrame:
 
 def _baseline(spark: SparkSession, d: str) -> DataFrame:
     view = _view(spark, d)
-    matrix = covisit.matrix(view.matrix_events, _rule("carts_orders"), NEIGHBOURS)
-    return cand.fuse(cand.baseline_inputs(view.query_contexts, matrix, popularity(view.matrix_events)), 50)
+    matrix = _suite(spark, d, "public_v575")["carts_orders"]
+    return cand.fuse(cand.baseline_inputs(view.query_contexts, matrix, _popular(spark, d)), 50)
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
@@ -79,8 +126,11 @@ def _fused(spark: SparkSession, d: str) -> DataFrame:
 
 def _rows(spark: SparkSession, d: str) -> tuple[DataFrame, split.View]:
     view = _view(spark, d)
-    matrices = covisit.suite(view.matrix_events, "public_v575", NEIGHBOURS)
-    return features.materialize(view.query_contexts, matrices, popularity(view.matrix_events), view.labels, 250, 120), view
+
+    def make() -> DataFrame:
+        return features.materialize(view.query_contexts, _suite(spark, d, "public_v575"), _popular(spark, d), view.labels, 250, 120)
+
+    return _kept(spark, d, "rows", make), view
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +162,7 @@ def _submission(spark: SparkSession, d: str) -> DataFrame:
     rows, view = _rows(spark, d)
     targets = spark.createDataFrame([(t,) for t in schemas.TYPES], "target string")
     queries = view.query_contexts.select("session").distinct().crossJoin(F.broadcast(targets))
-    return submission.submission(queries, submission.rules_predictions(rows), popularity(view.matrix_events))
+    return submission.submission(queries, submission.rules_predictions(rows), _popular(spark, d))
 
 
 def _prefix(spark: SparkSession, d: str) -> DataFrame:
@@ -148,7 +198,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _lookup(spark: SparkSession, d: str) -> DataFrame:
     view = _view(spark, d)
-    return covisit.neighbours(covisit.matrix(view.matrix_events, _rule("carts_orders"), NEIGHBOURS), view.query_contexts)
+    return covisit.neighbours(_suite(spark, d, "public_v575")["carts_orders"], view.query_contexts)
 
 
 def _knn(spark: SparkSession, d: str) -> DataFrame:
@@ -203,16 +253,16 @@ def queries() -> dict[str, Query]:
         "recency_rank": lambda s, d: order.recency(_users(s, d)),
         "split_global_contexts": lambda s, d: _global(s, d).query_contexts,
         "split_global_labels": lambda s, d: _global(s, d).labels,
-        "split_official_contexts": lambda s, d: _view(s, d).query_contexts,
-        "split_official_labels": lambda s, d: _view(s, d).labels,
-        "views_matrix_events": lambda s, d: _view(s, d).matrix_events,
+        "split_official_contexts": lambda s, d: _official(s, d).query_contexts,
+        "split_official_labels": lambda s, d: _official(s, d).labels,
+        "views_matrix_events": lambda s, d: _official(s, d).matrix_events,
         "covis_pairs_dedup": _pairs,
         **{f"covis_{r}": _matrix(r) for r in oracles.RULES},
         "covis_ramp_2024": _ramp,
         "covis_user_carts_orders": _matrix("carts_orders", _users),
         "covis_retail_buy_to_buy": _matrix("buy_to_buy", sessions.retail),
         "neighbor_lookup": _lookup,
-        "popularity_by_target": lambda s, d: popularity(_view(s, d).matrix_events),
+        "popularity_by_target": _popular,
         "history_scores": lambda s, d: cand.history_ranks(_users(s, d), "orders"),
         "cand_baseline": lambda s, d: _listed(_baseline(s, d)),
         **{f"cand_public_{t}": _candidates("public_v575", t) for t in schemas.TYPES},
