@@ -7,11 +7,13 @@ process, the same for every text.  A text keeps the earliest dart of each of
 ``coordinates`` coordinates, so two texts agree on a coordinate with the probability of
 their weighted Jaccard similarity.  Texts that agree on a whole band meet there.
 
-In each band's group all are compared exactly with one member.  Those below the
-threshold are compared with the members above it that the triangle inequality doesn't
-rule out, and go on to a next round without them, until nobody is left: so two texts of
-a band's group that are similar end up linked or in one class through others, without
-all pairs being made.  Classes are connected components of the links.
+In each band's group all are compared exactly with one member, the centre.  Classes are
+the connected components of pairs that reach the threshold; then the centre leaves, and
+groups that still hold several classes go on with the next one, members of a centre's
+class being spared.  So small groups are compared in full, without all pairs being made.
+After ``rounds`` rounds the first without a new link is the last: in a large group of
+loosely similar texts a link between two classes that no centre took part in can be
+missed (the README has figures).
 
 Equal texts are one node from the start.  With the default 25 bands of 5, two texts of
 similarity 0.8 meet with probability 0.99995.
@@ -158,50 +160,58 @@ def _signed(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(a, b, sim) of (a, b) pairs of nodes."""
+    """(a, b, la, lb, sim) of (a, b) pairs of nodes with labels."""
 
     def compare(batches):
         for batch in batches:
             for part in slices(batch, "left"):
                 sim = similarities(part.column("left"), part.column("right"), size)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(sim)], names=["a", "b", "sim"])
+                yield pa.RecordBatch.from_arrays([part.column(x) for x in ("a", "b", "la", "lb")] + [pa.array(sim)], names=["a", "b", "la", "lb", "sim"])
 
     left = texts.select(F.col("seq").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("seq").alias("b"), F.col("text").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long, sim double")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb", "left", "right").mapInArrow(compare, "a long, b long, la long, lb long, sim double")
 
 
-def _centres(members: DataFrame) -> DataFrame:
-    """(band, seq, centre) of members of groups of two or more; a hot band's are dealt out."""
-    groups = members.groupBy("band").agg(F.min("seq").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = groups.select("band", "centre", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+def _compared(members: DataFrame) -> DataFrame:
+    """(band, seq, label, centre, centre_label) in groups that hold several labels.
+
+    The centre is the group's least member; a hot group's rows are dealt out.
+    """
+    groups = members.groupBy("band").agg(F.min("seq").alias("centre"), F.min_by("label", "seq").alias("centre_label"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    dealt = groups.select("band", "centre", "centre_label", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     salted = members.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(SALT)).cast("int"))
-    return salted.join(dealt, ["band", "salt"]).select("band", "seq", "centre")
+    return salted.join(dealt, ["band", "salt"]).select("band", "seq", "label", "centre", "centre_label").where("seq <> centre")
+
 
+def _link(members: DataFrame, texts: DataFrame, threshold: float, size: int, rounds: int) -> DataFrame:
+    """(seq, label) of members after linking; ``members`` are (band, seq) of groups.
 
-def _links(members: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
-    """(a, b) of similar pairs; ``members`` are (band, seq, centre) of the first round."""
-    edges = None
+    A round compares every member of a group that still holds several labels with the
+    group's centre, unless their labels are equal, then takes the centre out: a group is
+    done when one label is left, or all pairs of different labels were compared.  After
+    ``rounds`` rounds the first one without a new link is the last.
+    """
+    labels = members.select("seq", F.col("seq").alias("label")).distinct()
+    active = members.withColumn("label", F.col("seq"))
+    done = 0
     while True:
-        tested = written(_verified(members.where("seq <> centre").select(F.col("seq").alias("a"), F.col("centre").alias("b")).distinct(), texts, size), "tested")
-        found = tested.where(F.col("sim") >= threshold).select("a", "b")
-        edges = found if edges is None else edges.unionByName(found)
-        if tested.where(F.col("sim") < threshold).isEmpty():
-            return edges
-        known = tested.select(F.col("a").alias("seq"), F.col("b").alias("centre"), "sim")
-        judged = members.where("seq <> centre").join(known, ["seq", "centre"])
-        failed = judged.where(F.col("sim") < threshold).select("band", F.col("seq").alias("a"), F.col("sim").alias("sa"))
-        linked = judged.where(F.col("sim") >= threshold).select("band", F.col("seq").alias("b"), F.col("sim").alias("sb"))
-        # d(a, b) >= d(a, centre) - d(b, centre): others can't reach the threshold.
-        near = failed.join(linked, "band").where(F.col("sb") - F.col("sa") <= 1 - threshold + 1e-9).select("a", "b").distinct()
-        crossed = written(_verified(near, texts, size), "crossed")
-        edges = edges.unionByName(crossed.where(F.col("sim") >= threshold).select("a", "b"))
-        members = written(_centres(failed.select("band", F.col("a").alias("seq"))), "members")
-        if members.isEmpty():
-            return edges
-
-
-def classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5) -> DataFrame:
+        open_ = written(_compared(active), "open")
+        pairs = open_.where("label <> centre_label").select(F.col("seq").alias("a"), F.col("centre").alias("b"), F.col("label").alias("la"), F.col("centre_label").alias("lb")).distinct()
+        if pairs.isEmpty():
+            return labels
+        links = written(_verified(pairs, texts, size).where(F.col("sim") >= threshold), "links")
+        done += 1
+        found = not links.isEmpty()
+        if found:
+            classes_ = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
+            labels = written(labels.join(classes_, "label", "left").select("seq", F.coalesce("to", "label").alias("label")), "labels")
+        elif done >= rounds:
+            return labels
+        active = open_.select("band", "seq").join(labels, "seq")
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5, rounds: int = 4) -> DataFrame:
     """doc_id, node (digest of the text), class_key, class_id, class_size of every row."""
     prepare(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -209,14 +219,15 @@ def classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: in
     signed = _signed(source, shingle, bands, rows)
     merged = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     nodes = written(merged.withColumn("seq", F.monotonically_increasing_id()), "nodes")
-    members = written(_centres(nodes.select("seq", F.explode("bands").alias("band"))), "members")
+    keys = nodes.select("seq", F.explode("bands").alias("band"))
+    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    members = written(keys.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(SALT)).cast("int")).join(shared, ["band", "salt"]).select("band", "seq"), "members")
     wanted = members.select("seq").distinct().join(nodes.select("seq", "node", "least"), "seq")
     none = F.lit(-(1 << 63)).cast("long")
     keyed = source.withColumn("_id", F.coalesce("doc_id", none)).select("node", "_id", "text")
     texts = wanted.withColumn("_id", F.coalesce("least", none)).join(keyed, ["node", "_id"]).select("seq", "text").dropDuplicates(["seq"])
-    edges = _links(members, written(texts, "texts"), threshold, shingle)
-    labels = components(edges)
-    labelled = nodes.select("seq", "node", "least", "n").join(labels.withColumnRenamed("node", "seq"), "seq", "left")
+    labels = _link(members, written(texts, "texts"), threshold, shingle, rounds)
+    labelled = nodes.select("seq", "node", "least", "n").join(labels, "seq", "left")
     labelled = labelled.withColumn("class_key", F.coalesce("label", "seq"))
     sizes = labelled.groupBy("class_key").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
     by_node = labelled.select("node", "class_key").join(sizes, "class_key")
