@@ -23,7 +23,7 @@ def fixed(value: Column, unit: float) -> Column:
 
 def portable_hash(key: Column, seed: int) -> Column:
     """Fifteen well-mixed bits of an id, the same in any SQL engine."""
-    return F.floor(F.pmod(key * F.lit(1103515245).cast("long") + F.lit(12345 + seed).cast("long"), F.lit(1 << 31).cast("long")) / F.lit(65536)).cast("long")
+    return F.floor(F.pmod(key * F.lit(1103515245).cast("long") + F.lit(12345 + seed * 1_013_904_223).cast("long"), F.lit(1 << 31).cast("long")) / F.lit(65536)).cast("long")
 
 
 def length_bucket(length: Column) -> Column:

@@ -18,7 +18,7 @@ def _fx(x: str, unit: str = "1e12") -> str:
 
 
 def _hash(key: str, seed: int) -> str:
-    return f"((({key}) * 1103515245 + {12345 + seed}) % 2147483648) // 65536"
+    return f"((({key}) * 1103515245 + {12345 + seed * 1_013_904_223}) % 2147483648) // 65536"
 
 
 def _pairs(own: str, sources: str, targets: str, reach: int, seconds: int, weight: str = "1.0", forward: bool = False) -> str:
