@@ -9,8 +9,8 @@ their weighted Jaccard similarity.  Texts that agree on a whole band meet there.
 
 In each band's group all are compared exactly with one member, the centre.  Classes are
 the connected components of pairs that reach the threshold; then the centre leaves, and
-groups that still hold several classes go on with the next one, members of a centre's
-class being spared.  So small groups are compared in full, without all pairs being made.
+groups that still hold several classes go on with eight others a round, members of a
+centre's class being spared.  So small groups are compared in full, without all pairs being made.
 After ``rounds`` rounds the first without a new link is the last: in a large group of
 loosely similar texts a link between two classes that no centre took part in can be
 missed (the README has figures).
@@ -36,6 +36,8 @@ from .components import components
 
 #: Parts into which one band's members are dealt.
 SALT = 16
+#: Centres of a group in each round but the first.
+SLOTS = 8
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,45 +175,49 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb", "left", "right").mapInArrow(compare, "a long, b long, la long, lb long, sim double")
 
 
-def _compared(members: DataFrame) -> DataFrame:
-    """(band, seq, label, centre, centre_label) in groups that hold several labels.
+def _state(members: DataFrame, slots: int) -> DataFrame:
+    """(band, seq, label, centre) in groups that hold several labels.
 
-    The centre is the group's least member; a hot group's rows are dealt out.
+    A group has a centre, its least member, in each of ``slots`` slots; slots also deal
+    out a hot group's rows.
     """
-    groups = members.groupBy("band").agg(F.min("seq").alias("centre"), F.min_by("label", "seq").alias("centre_label"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    dealt = groups.select("band", "centre", "centre_label", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(SALT)).cast("int"))
-    return salted.join(dealt, ["band", "salt"]).select("band", "seq", "label", "centre", "centre_label").where("seq <> centre")
+    dealt = members.withColumn("slot", F.pmod(F.xxhash64("seq"), F.lit(slots)).cast("int"))
+    centres = dealt.groupBy("band", "slot").agg(F.min("seq").alias("centre"))
+    several = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
+    return dealt.join(centres.join(several, "band", "left_semi"), ["band", "slot"]).select("band", "seq", "label", "centre")
+
+
+def _compared(state: DataFrame) -> DataFrame:
+    """(a, b, la, lb): members and centres of one group with different labels."""
+    centres = state.where("seq = centre").select("band", F.col("seq").alias("b"), F.col("label").alias("lb"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    rest = state.select("band", F.col("seq").alias("a"), F.col("label").alias("la"), F.pmod(F.xxhash64("seq"), F.lit(SALT)).cast("int").alias("salt"))
+    return rest.join(centres, ["band", "salt"]).where("la <> lb").select("a", "b", "la", "lb").distinct()
 
 
 def _link(members: DataFrame, texts: DataFrame, threshold: float, size: int, rounds: int) -> DataFrame:
     """(seq, label) of members after linking; ``members`` are (band, seq) of groups.
 
-    A round compares every member of a group that still holds several labels with the
-    group's centre, unless their labels are equal, then takes the centre out: a group is
-    done when one label is left, or all pairs of different labels were compared.  After
-    ``rounds`` rounds the first one without a new link is the last.
+    A round compares the members of groups that still hold several labels with the group's
+    centres (one at first, then SLOTS), unless their labels are equal, then takes the centres
+    out: a group is done when one label is left, or all pairs of different labels were
+    compared.  After ``rounds`` rounds the first one without a new link is the last.
     """
     labels = members.select("seq", F.col("seq").alias("label")).distinct()
     active = members.withColumn("label", F.col("seq"))
     done = 0
     while True:
-        open_ = written(_compared(active), "open")
-        pairs = open_.where("label <> centre_label").select(F.col("seq").alias("a"), F.col("centre").alias("b"), F.col("label").alias("la"), F.col("centre_label").alias("lb")).distinct()
-        if pairs.isEmpty():
-            return labels
-        links = written(_verified(pairs, texts, size).where(F.col("sim") >= threshold), "links")
+        state = written(_state(active, SLOTS if done else 1), "groups")
+        links = written(_verified(_compared(state), texts, size).where(F.col("sim") >= threshold), "links")
         done += 1
-        found = not links.isEmpty()
-        if found:
+        if not links.isEmpty():
             classes_ = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
             labels = written(labels.join(classes_, "label", "left").select("seq", F.coalesce("to", "label").alias("label")), "labels")
-        elif done >= rounds:
+        elif done >= rounds or state.isEmpty():
             return labels
-        active = open_.select("band", "seq").join(labels, "seq")
+        active = state.where("seq <> centre").select("band", "seq").join(labels, "seq")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5, rounds: int = 4) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5, rounds: int = 3) -> DataFrame:
     """doc_id, node (digest of the text), class_key, class_id, class_size of every row."""
     prepare(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
