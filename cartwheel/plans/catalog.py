@@ -27,6 +27,8 @@ def _kept(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame])
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _KEPT:
         _KEPT[key] = make().persist()
+    elif not _KEPT[key].storageLevel.useMemory:  # the session's cache was cleared meanwhile
+        _KEPT[key].persist()
     return _KEPT[key]
 
 
