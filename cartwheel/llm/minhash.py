@@ -11,9 +11,9 @@ In each band's group all are compared exactly with one member, the centre.  Clas
 the connected components of pairs that reach the threshold; then the centre leaves, and
 groups that still hold several classes go on with eight others a round, members of a
 centre's class being spared.  So small groups are compared in full, without all pairs being made.
-After ``rounds`` rounds the first without a new link is the last: in a large group of
-loosely similar texts a link between two classes that no centre took part in can be
-missed (the README has figures).
+What groups hold after ``rounds`` rounds, large and loosely similar, is cut into blocks,
+and each block is compared with each of its group's, so every two texts that meet in a
+band are of one class or compared exactly.
 
 Equal texts are one node from the start.  With the default 25 bands of 5, two texts of
 similarity 0.8 meet with probability 0.99995.
@@ -38,6 +38,10 @@ from .components import components
 SALT = 16
 #: Centres of a group in each round but the first.
 SLOTS = 8
+#: Members and bytes of text of a block, about.
+BLOCK, BLOCK_BYTES = 128, 2 << 20
+#: Entries of a dense matrix of shingles.
+CELLS = 4 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -144,6 +148,38 @@ def similarities(left: pa.Array, right: pa.Array, size: int) -> np.ndarray:
     return np.where(union > 0, common / np.maximum(union, 1), 0.0)
 
 
+def common_shingles(left: pa.Array, right: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles of each left text, of each right one, shingles that each two have in common)."""
+    sides = [shingles(*utf8(column), size) for column in (left, right)]
+    doc = np.concatenate([sides[0][0], sides[1][0] + len(left)])
+    hashes = np.concatenate([s[1] for s in sides])
+    total = np.bincount(doc, minlength=len(left) + len(right))
+    # The k-th of equal shingles of a text meets the k-th of another's.
+    order = np.lexsort((hashes, doc))
+    doc, hashes = doc[order], hashes[order]
+    at = np.arange(len(doc))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    order = np.lexsort((nth, hashes))
+    doc, hashes, nth = doc[order], hashes[order], nth[order]
+    new[1:] = (hashes[1:] != hashes[:-1]) | (nth[1:] != nth[:-1])
+    column = np.cumsum(new) - 1
+    mine = doc < len(left)
+    n = int(column[-1]) + 1 if len(column) else 0
+    both = (np.bincount(column[mine], minlength=n) > 0) & (np.bincount(column[~mine], minlength=n) > 0)
+    held = both[column]
+    doc, mine, column = doc[held], mine[held], (np.cumsum(both) - 1)[column[held]]
+    common = np.zeros((len(left), len(right)), np.int64)
+    step = max(1, CELLS // max(1, len(left) + len(right)))
+    for low in range(0, int(both.sum()), step):
+        a, b = np.searchsorted(column, [low, low + step])
+        dense = np.zeros((len(left) + len(right), step), np.float32)
+        dense[doc[a:b], column[a:b] - low] = 1
+        common += (dense[: len(left)] @ dense[len(left) :].T).astype(np.int64)
+    return total[: len(left)], total[len(left) :], common
+
+
 def _signed(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """``texts`` (doc_id, node, text) to (doc_id, node, bands)."""
 
@@ -175,6 +211,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb", "left", "right").mapInArrow(compare, "a long, b long, la long, lb long, sim double")
 
 
+def _several(members: DataFrame) -> DataFrame:
+    """(band) of groups that hold several labels."""
+    return members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
+
+
 def _state(members: DataFrame, slots: int) -> DataFrame:
     """(band, seq, label, centre) in groups that hold several labels.
 
@@ -183,8 +224,7 @@ def _state(members: DataFrame, slots: int) -> DataFrame:
     """
     dealt = members.withColumn("slot", F.pmod(F.xxhash64("seq"), F.lit(slots)).cast("int"))
     centres = dealt.groupBy("band", "slot").agg(F.min("seq").alias("centre"))
-    several = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    return dealt.join(centres.join(several, "band", "left_semi"), ["band", "slot"]).select("band", "seq", "label", "centre")
+    return dealt.join(centres.join(_several(members), "band", "left_semi"), ["band", "slot"]).select("band", "seq", "label", "centre")
 
 
 def _compared(state: DataFrame) -> DataFrame:
@@ -194,27 +234,88 @@ def _compared(state: DataFrame) -> DataFrame:
     return rest.join(centres, ["band", "salt"]).where("la <> lb").select("a", "b", "la", "lb").distinct()
 
 
+def _blocked(members: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(la, lb) of all linked pairs of one group; ``members`` are (band, seq, label), ``texts`` (seq, text, bands).
+
+    A group's members are dealt to blocks, and a task gets two blocks.  Two texts are
+    compared in the first band that they share: if its group is done or one of them was
+    a centre there, they are of one class or were compared.
+    """
+    schema = "la long, lb long"
+
+    def compare(key, table):
+        band, first, second = (k.as_py() for k in key)
+        block = table.column("block").to_numpy()
+        la, lb = [], []
+
+        def parts(own: int):
+            for batch in table.filter(pa.array(block == own)).combine_chunks().to_batches():
+                for part in slices(batch):
+                    bands = part.column("bands").flatten().to_numpy().reshape(part.num_rows, -1)
+                    yield part.column("text"), part.column("seq").to_numpy(), part.column("label").to_numpy(), bands
+
+        right = list(parts(second))
+        for text, seq, label, bands in parts(first):
+            for text2, seq2, label2, bands2 in right:
+                wanted = label[:, None] != label2[None, :]
+                if first == second:
+                    wanted &= seq[:, None] < seq2[None, :]
+                i, j = np.nonzero(wanted)
+                keep = np.zeros(len(i), bool)
+                for at in range(0, len(i), 1 << 16):
+                    x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                    keep[at : at + len(x)] = bands[x, (bands[x] == bands2[y]).argmax(axis=1)] == band
+                i, j = i[keep], j[keep]
+                if not len(i):
+                    continue
+                rows, i = np.unique(i, return_inverse=True)
+                columns, j = np.unique(j, return_inverse=True)
+                n, n2, common = common_shingles(text.take(pa.array(rows)), text2.take(pa.array(columns)), size)
+                met = common[i, j]
+                union = n[i] + n2[j] - met
+                hit = np.where(union > 0, met / np.maximum(union, 1), 0.0) >= threshold
+                la.append(label[rows][i[hit]])
+                lb.append(label2[columns][j[hit]])
+        pairs = np.unique(np.stack([np.concatenate(x) if x else np.zeros(0, np.int64) for x in (la, lb)]), axis=1)
+        return pa.table({"la": pa.array(pairs[0]), "lb": pa.array(pairs[1])})
+
+    held = members.join(_several(members), "band", "left_semi")
+    sized = held.join(texts.select("seq", F.octet_length("text").alias("bytes")), "seq")
+    counted = sized.groupBy("band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = counted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(SALT)).cast("int")).join(dealt, ["band", "salt"])
+    placed = salted.withColumn("block", F.pmod(F.xxhash64("seq", F.lit(1)), F.col("blocks")).cast("int"))
+    paired = placed.select("band", "seq", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    paired = paired.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "seq", "label")
+    return paired.join(texts, "seq").groupBy("band", "i", "j").applyInArrow(compare, schema)
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after ``links`` (la, lb)."""
+    classes_ = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return written(labels.join(classes_, "label", "left").select("seq", F.coalesce("to", "label").alias("label")), "labels")
+
+
 def _link(members: DataFrame, texts: DataFrame, threshold: float, size: int, rounds: int) -> DataFrame:
     """(seq, label) of members after linking; ``members`` are (band, seq) of groups.
 
     A round compares the members of groups that still hold several labels with the group's
     centres (one at first, then SLOTS), unless their labels are equal, then takes the centres
     out: a group is done when one label is left, or all pairs of different labels were
-    compared.  After ``rounds`` rounds the first one without a new link is the last.
+    compared.  Groups that are not done after ``rounds`` rounds are compared by blocks.
     """
     labels = members.select("seq", F.col("seq").alias("label")).distinct()
     active = members.withColumn("label", F.col("seq"))
-    done = 0
-    while True:
+    for done in range(rounds):
         state = written(_state(active, SLOTS if done else 1), "groups")
-        links = written(_verified(_compared(state), texts, size).where(F.col("sim") >= threshold), "links")
-        done += 1
-        if not links.isEmpty():
-            classes_ = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
-            labels = written(labels.join(classes_, "label", "left").select("seq", F.coalesce("to", "label").alias("label")), "labels")
-        elif done >= rounds or state.isEmpty():
+        if state.isEmpty():
             return labels
+        links = written(_verified(_compared(state), texts.select("seq", "text"), size).where(F.col("sim") >= threshold), "links")
+        if not links.isEmpty():
+            labels = _merged(labels, links)
         active = state.where("seq <> centre").select("band", "seq").join(labels, "seq")
+    links = written(_blocked(written(active, "rest"), texts, threshold, size).distinct(), "links")
+    return labels if links.isEmpty() else _merged(labels, links)
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5, rounds: int = 3) -> DataFrame:
@@ -228,10 +329,10 @@ def classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: in
     keys = nodes.select("seq", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     members = written(keys.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(SALT)).cast("int")).join(shared, ["band", "salt"]).select("band", "seq"), "members")
-    wanted = members.select("seq").distinct().join(nodes.select("seq", "node", "least"), "seq")
+    wanted = members.select("seq").distinct().join(nodes.select("seq", "node", "least", "bands"), "seq")
     none = F.lit(-(1 << 63)).cast("long")
     keyed = source.withColumn("_id", F.coalesce("doc_id", none)).select("node", "_id", "text")
-    texts = wanted.withColumn("_id", F.coalesce("least", none)).join(keyed, ["node", "_id"]).select("seq", "text").dropDuplicates(["seq"])
+    texts = wanted.withColumn("_id", F.coalesce("least", none)).join(keyed, ["node", "_id"]).select("seq", "text", "bands").dropDuplicates(["seq"])
     labels = _link(members, written(texts, "texts"), threshold, shingle, rounds)
     labelled = nodes.select("seq", "node", "least", "n").join(labels, "seq", "left")
     labelled = labelled.withColumn("class_key", F.coalesce("label", "seq"))

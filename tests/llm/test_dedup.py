@@ -109,6 +109,47 @@ def test_near_dedup_equals_all_pairs(spark):
     assert kept.count() == len({root(i) for i in range(len(rows))})
 
 
+def template_fixture():
+    """Texts of one template, about 0.74 alike, and some again with a word more; and the classes by all pairs."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        own = [f"t{k}" for k in range(600)]
+        for k in range(9):
+            own[66 * k + rng.randrange(60)] = f"u{i}_{k}"
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, rows[i][1] + f" v{i}") for i in range(7, 300, 25)]
+    sets = [set(_shingles(t)) for _, t in rows]
+    label = {d: d for d, _ in rows}
+    for i, (a, _) in enumerate(rows):
+        for j in range(i):
+            b = rows[j][0]
+            if label[a] != label[b] and (c := len(sets[i] & sets[j])) / (len(sets[i]) + len(sets[j]) - c) >= 0.8:
+                gone, stays = max(label[a], label[b]), min(label[a], label[b])
+                label = {d: stays if x == gone else x for d, x in label.items()}
+    return rows, label
+
+
+def test_near_dedup_compares_loose_groups_in_full(spark):
+    rows, label = template_fixture()
+    assert len(rows) - len(set(label.values())) >= 12
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()} == label
+
+
+@pytest.mark.parametrize("block, cells", [(128, 4 << 20), (40, 300)])
+def test_blocks_compare_every_pair(spark, monkeypatch, block, cells):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rows, label = template_fixture()
+    found = minhash.near_duplicates(frame(spark, rows), rounds=0).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == label
+    left, right = (pa.array([t for _, t in own]) for own in (near_fixture()[:20], near_fixture()[20:]))
+    monkeypatch.setattr(minhash, "CELLS", cells)
+    n, n2, common = minhash.common_shingles(left, right, 5)
+    for i, j in ((i, j) for i in range(len(left)) for j in range(len(right))):
+        a, b = _shingles(left[i].as_py()), _shingles(right[j].as_py())
+        assert (n[i], n2[j], common[i, j]) == (sum(a.values()), sum(b.values()), sum((a & b).values()))
+
+
 def repeats_fixture():
     rng = random.Random(5)
     words = [rng.choice(["alpha", "be", "é", "d,", "omega"]) + str(rng.randint(0, 99)) for _ in range(400)]
