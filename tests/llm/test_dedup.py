@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cartwheel.llm import exact_dedup, induced, line_dedup, minhash, substring_dedup, suffix_dedup
 
 EDGE = [(1, "a"), (2, "a"), (None, "a"), (3, ""), (4, None), (2, "a"), (5, "b"), (6, "c"), (None, "zz")]
@@ -136,6 +137,12 @@ def test_near_dedup_compares_loose_groups_in_full(spark):
     assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame(spark, rows)).collect()} == label
 
 
+def test_near_dedup_stage_compares_loose_groups_in_full(spark):
+    rows, label = template_fixture()
+    kept = corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label.values()))
+
+
 @pytest.mark.parametrize("block, cells", [(128, 4 << 20), (40, 300)])
 def test_blocks_compare_every_pair(spark, monkeypatch, block, cells):
     monkeypatch.setattr(minhash, "BLOCK", block)
