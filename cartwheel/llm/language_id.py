@@ -5,9 +5,9 @@ language lacks it).  A word that no language knows scores the mean over its char
 n-grams of the greatest length of which any is known, from ``longest`` down to 1.  A
 text's score is the mean over its words; the best language wins, ties by name.
 
-The model is fitted on a bounded sample: about ``sample_docs`` whole documents of each
-language, chosen by a hash of doc_id, and at most ``most_words`` words.  Every document
-is then scored over its whole text.
+The model is fitted on a sample: about ``sample_docs`` whole documents of each language,
+chosen by a hash of doc_id.  All their n-grams count, and all words but those that a
+language has once.  Every document is then scored over its whole text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is
 any text if nothing could be learned; a null ``doc_id`` is neither held out nor learned
@@ -48,18 +48,31 @@ def ngrams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies by gram (n = 0 for whole words) and language."""
+    """Log frequencies by gram (n = 0 for whole words) and language.
 
-    def __init__(self, languages: list[str], grams: dict[int, dict[str, int]], table: np.ndarray, longest: int, penalty: float):
-        self.languages, self.grams, self.table, self.longest, self.penalty = languages, grams, table, longest, penalty
+    A gram's row holds the languages that have it, each with its log frequency above
+    ``-penalty``: row r is ``langs[first[r] : first[r + 1]]`` and as many ``above``.
+    """
+
+    def __init__(self, languages: list[str], grams: dict[int, dict[str, int]], first: np.ndarray, langs: np.ndarray, above: np.ndarray, longest: int, penalty: float):
+        self.languages, self.grams, self.longest, self.penalty = languages, grams, longest, penalty
+        self.first, self.langs, self.above = first, langs, above
+
+    def scores(self, rows: list[int], times: list[int]) -> np.ndarray:
+        """Sum over rows, each taken so many times, for each language."""
+        own, many = np.asarray(rows, np.int64), np.asarray(times, np.float64)
+        low = self.first[own]
+        size = self.first[own + 1] - low
+        at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.langs[at], self.above[at] * np.repeat(many, size), len(self.languages)) - self.penalty * many.sum()
 
     def unseen(self, word: str) -> np.ndarray:
         for n in range(self.longest, 0, -1):
             known = self.grams[n]
             rows = [known[g] for g in ngrams(word, n) if g in known]
             if rows:
-                return self.table[rows].mean(axis=0)
-        return np.full(len(self.languages), -self.penalty, np.float32)
+                return self.scores(rows, [1] * len(rows)) / len(rows)
+        return np.full(len(self.languages), -self.penalty)
 
 
 class Scorer:
@@ -89,21 +102,19 @@ class Scorer:
                     own = memo[word] = model.unseen(word)
                 total += n * own
         if rows:
-            total += np.asarray(times, np.float64) @ model.table[rows]
+            total += model.scores(rows, times)
         mean = total / len(words)
         best = int(np.argmax(mean))
         odds = np.exp((mean - mean[best]) * min(len(words), 20))
         return model.languages[best], float(1.0 / odds.sum())
 
 
-def train(docs: DataFrame, sample_docs: int = 2500, most_words: int = 150_000, longest: int = 4, penalty: float = 16.0) -> Model:
-    """Fit on (doc_id, text, lang) rows whose lang is known; see the module's bounds."""
+def train(docs: DataFrame, sample_docs: int = 2500, longest: int = 4, penalty: float = 16.0) -> Model:
+    """Fit on (doc_id, text, lang) rows whose lang is known; see the module."""
     rows = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(500).collect()}
-    chosen = F.lit(False)
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
-    for lang, n in sizes.items():
-        chosen |= (F.col("lang") == lang) & (draw <= int(min(1.0, sample_docs / n) * 1_000_003))
+    chosen = draw <= F.floor(F.least(F.lit(1.0), sample_docs / F.col("n")) * 1_000_003)
 
     def count(batches):
         for batch in batches:
@@ -120,25 +131,23 @@ def train(docs: DataFrame, sample_docs: int = 2500, most_words: int = 150_000, l
                 langs, sizes_, grams = zip(*keys, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(sizes_, pa.int32()), pa.array(grams), pa.array(list(found.values()), pa.int64())], names=["lang", "n", "gram", "k"])
 
-    counted = rows.where(chosen).select("text", "lang").mapInArrow(count, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
-    kept = counted.where((F.col("n") > 0) | (F.col("k") >= 2)).orderBy(F.col("n") == 0, F.desc("k"), "lang", "n", "gram").limit(2 * most_words)
+    counted = rows.join(F.broadcast(sizes), "lang").where(chosen).select("text", "lang").mapInArrow(count, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
+    kept = counted.where((F.col("n") > 0) | (F.col("k") >= 2)).orderBy("n", "gram", "lang")
     found = kept.toArrow().to_pydict()
     languages = sorted(set(found["lang"]))
     column = {x: i for i, x in enumerate(languages)}
     grams: dict[int, dict[str, int]] = {n: {} for n in range(longest + 1)}
-    entries, total = [], np.zeros((longest + 1, len(languages)))
-    size = 0
-    for lang, n, gram, k in zip(found["lang"], found["n"], found["gram"], found["k"], strict=True):
-        row = grams[n].get(gram)
-        if row is None:
-            row = grams[n][gram] = size
-            size += 1
-        entries.append((row, column[lang], n, k))
-        total[n, column[lang]] += k
-    table = np.full((size, len(languages)), -penalty, np.float32)
-    for row, at, n, k in entries:
-        table[row, at] = max(np.log(k / total[n, at]), -penalty)
-    return Model(languages, grams, table, longest, penalty)
+    first: list[int] = []
+    at = np.array([column[x] for x in found["lang"]], np.int64)
+    n, k = np.array(found["n"], np.int64), np.array(found["k"], np.float64)
+    total = np.zeros((longest + 1, len(languages)))
+    np.add.at(total, (n, at), k)
+    for place, (of, gram) in enumerate(zip(found["n"], found["gram"], strict=True)):
+        if gram not in grams[of]:
+            grams[of][gram] = len(first)
+            first.append(place)
+    above = np.maximum(np.log(k / total[n, at]), -penalty) + penalty
+    return Model(languages, grams, np.array([*first, len(at)], np.int64), at.astype(np.int32), above, longest, penalty)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

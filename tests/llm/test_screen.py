@@ -110,6 +110,21 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, blank).collect()} == {"und"}
 
 
+def test_small_languages_beside_a_large_one(spark):
+    rng = random.Random(15)
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    latin, cyrillic = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ"
+    rows = [(ids.pop(), " ".join("".join(rng.choices(latin, k=9)) for _ in range(300)), "aa", "x") for _ in range(800)]
+    small = {f"l{k}": ["".join(rng.choices(cyrillic, k=7)) for _ in range(6)] for k in range(510)}
+    rows += [(ids.pop(), " ".join(words), lang, "x") for lang, words in small.items() for _ in range(2)]
+    model = language_id.train(spark.createDataFrame(rows, DOCS))
+    assert set(model.languages) == {"aa", *small}
+    assert all(w in model.grams[0] for words in small.values() for w in words)
+    scorer = language_id.Scorer(model)
+    assert all(scorer(" ".join(words[:3]))[0] == lang for lang, words in small.items())
+    assert all(scorer(words[0][:4] + words[0][:4])[0] == lang for lang, words in list(small.items())[:50])
+
+
 def test_license_scan(spark):
     rng = random.Random(7)
     parts = ["MIT", "License", "apache", "general", "public", "license", "the", "é", "under", "-", "mit license", "GNU General Public License", "Licensed under CC BY-NC 4.0."]
