@@ -1,7 +1,8 @@
 """Secret scanning: fixed patterns, and a character CNN over every other candidate.
 
 A candidate is a maximal run of 16 or more key characters that has a digit and a
-letter.  The network sees the candidate, the text around it and which is which; it is
+letter.  The network sees the candidate, the text around it and which is which (a long one
+by overlapping windows and by parts, of which the greatest score counts); it is
 written in numpy and trained here on labelled findings that a seeded generator makes
 (``findings`` of them, half secrets), its score calibrated on a held-out part and its
 threshold the highest that still finds ``recall`` of the held-out secrets.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,6 +35,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+_PART = re.compile(r"[A-Za-z0-9+_-]{16,}")
 _DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
 
@@ -59,19 +62,62 @@ LENGTH = BEFORE + INSIDE + AFTER
 WIDTH, FILTERS, DIMS, CODES = 5, 24, 10, 98
 
 
-def encode(items: list[tuple[str, int, int]]) -> np.ndarray:
-    """Character codes (n, LENGTH); a long candidate shows its head and tail."""
-    out = np.zeros((len(items), LENGTH), np.int64)
-    for row, (text, s, e) in zip(out, items, strict=True):
-        inside = text[s:e]
-        if len(inside) > INSIDE:
-            inside = inside[: INSIDE - 16] + inside[-16:]
-        before, after = text[max(0, s - BEFORE) : s], text[e : e + AFTER]
+def _codes(shown: list[tuple[str, str, str]]) -> np.ndarray:
+    """Character codes (n, LENGTH) of (before, inside, after)."""
+    out = np.zeros((len(shown), LENGTH), np.int64)
+    for row, (before, inside, after) in zip(out, shown, strict=True):
         for at, part in ((BEFORE - len(before), before), (BEFORE, inside), (BEFORE + INSIDE, after)):
             row[at : at + len(part)] = [min(max(ord(c) - 30, 1), CODES - 1) for c in part]
     return out
 
 
+def views(text: str, s: int, e: int) -> Iterator[tuple[str, str, str]]:
+    """What the network sees of a candidate: (before, inside, after), the first by ``encode``.
+
+    A long candidate shows its head and tail, then overlapping windows that hold each of
+    its characters, and each part between / . = that is a candidate of its own.
+    """
+    before, after = text[max(0, s - BEFORE) : s], text[e : e + AFTER]
+    if e - s <= INSIDE:
+        yield before, text[s:e], after
+        return
+    yield before, text[s : s + INSIDE - 16] + text[e - 16 : e], after
+    for at in range(s, e - INSIDE, INSIDE // 2):
+        yield before, text[at : at + INSIDE], after
+    yield before, text[e - INSIDE : e], after
+    for m in _PART.finditer(text, s, e):
+        if len(m[0]) <= INSIDE and _DIGIT.search(m[0]) and _LETTER.search(m[0]):
+            yield before, m[0], after
+
+
+def encode(items: list[tuple[str, int, int]]) -> np.ndarray:
+    """Character codes (n, LENGTH); a long candidate shows its head and tail."""
+    return _codes([next(views(*item)) for item in items])
+
+
+def scores(net: CharCNN, items: Iterable[tuple[str, int, int]], most: int = 2000) -> np.ndarray:
+    """The greatest score of each candidate's views; ``most`` views are held at once."""
+    shown: list[tuple[str, str, str]] = []
+    owner: list[int] = []
+    done: list[float] = []
+
+    def flush() -> None:
+        for k, score in zip(owner, net.predict(_codes(shown)).tolist(), strict=True):
+            done[k] = max(done[k], score)
+        shown.clear()
+        owner.clear()
+
+    for k, item in enumerate(items):
+        done.append(0.0)
+        for view in views(*item):
+            shown.append(view)
+            owner.append(k)
+            if len(shown) >= most:
+                flush()
+    flush()
+    return np.array(done)
+
+
 class CharCNN:
     """Embedding, one convolution, maximum and mean over positions, one logistic unit."""
 
@@ -147,9 +193,9 @@ class CharCNN:
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, codes: np.ndarray, labels: np.ndarray, recall: float) -> None:
+    def calibrate(self, items: list[tuple[str, int, int]], labels: np.ndarray, recall: float) -> None:
         """Platt scaling, then the highest threshold with the wanted recall."""
-        z = self._forward(codes)[0]
+        z = self._forward(encode(items))[0]
         a, b = 1.0, 0.0
         target = np.where(labels > 0, (labels.sum() + 1) / (labels.sum() + 2), 1 / ((1 - labels).sum() + 2))
         for _ in range(100):
@@ -158,7 +204,7 @@ class CharCNN:
             hess = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
             a, b = np.array([a, b]) - np.linalg.solve(hess, [((q - target) * z).sum(), (q - target).sum()])
         self.scale = np.array([a, b])
-        own = np.sort(self.predict(codes)[labels > 0])
+        own = np.sort(scores(self, items)[labels > 0])
         self.threshold = float(max(own[int(np.floor((1 - recall) * len(own)))], 0.5))
 
     def predict(self, codes: np.ndarray) -> np.ndarray:
@@ -219,7 +265,7 @@ def trained(findings: int = 2400, recall: float = 0.98, seed: int = 5) -> CharCN
     cut = findings * 3 // 4
     net = CharCNN()
     net.fit(codes[:cut], labels[:cut])
-    net.calibrate(codes[cut:], labels[cut:], recall)
+    net.calibrate(items[cut:], labels[cut:], recall)
     return net
 
 
@@ -238,12 +284,9 @@ def scan(docs: DataFrame, net: CharCNN | None = None) -> DataFrame:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             base = [base_spans(t) for t in texts]
             where = [(i, s, e) for i, t in enumerate(texts) for s, e in candidates(t)]
-            scores = np.zeros(0)
-            for at in range(0, len(where), 2000):
-                part = net.predict(encode([(texts[i], s, e) for i, s, e in where[at : at + 2000]]))
-                scores = np.concatenate([scores, part])
+            found = scores(net, ((texts[i], s, e) for i, s, e in where))
             added: list[list] = [[] for _ in texts]
-            for (i, s, e), score in zip(where, scores, strict=True):
+            for (i, s, e), score in zip(where, found, strict=True):
                 if score >= net.threshold:
                     added[i].append((s, 3, e))
             for i, own in enumerate(added):

@@ -92,6 +92,21 @@ def test_secret_scan(spark):
     assert (scores[labels > 0] >= net.threshold).mean() >= 0.95 and (scores[labels == 0] >= net.threshold).mean() <= 0.05
 
 
+def test_secret_inside_a_long_run(spark):
+    rng = random.Random(21)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    paths = ["/api/v1/download/nightly/builds/stable/{}/packages/installer.tar.gz", "www.example.com/users/list/of/projects/2024/{}/index/page.html"]
+    rows = [(i, f"get {paths[i % 2].format(''.join(rng.choices(letters, k=40)))} now") for i in range(60)]
+    rows += [(100 + i, f"get {paths[i % 2].format('release')} now") for i in range(2)]
+    got = {r["doc_id"]: r["n_model"] for r in secret_scan.scan(frame(spark, rows)).collect()}
+    assert sum(got[i] for i in range(60)) >= 57 and got[100] == got[101] == 0
+    text = "x " + "".join(rng.choices(letters, k=1000)) + " y"
+    for s, e in ((2, 50), (2, 51), (2, 99), (2, 1002)):
+        shown = [inside for _, inside, _ in secret_scan.views(text, s, e)]
+        assert all(len(x) <= secret_scan.INSIDE for x in shown)
+        assert all(any(text[k : k + 20] in x for x in shown) for k in range(s, e - 19))
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     words = {"en": ["the", "and", "house", "water", "through"], "de": ["der", "und", "haus", "wasser", "durch"], "fr": ["le", "et", "maison", "eau", "à"]}
