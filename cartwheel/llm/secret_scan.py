@@ -205,7 +205,7 @@ class CharCNN:
             a, b = np.array([a, b]) - np.linalg.solve(hess, [((q - target) * z).sum(), (q - target).sum()])
         self.scale = np.array([a, b])
         own = np.sort(scores(self, items)[labels > 0])
-        self.threshold = float(max(own[int(np.floor((1 - recall) * len(own)))], 0.5))
+        self.threshold = float(own[int(np.floor((1 - recall) * len(own)))])
 
     def predict(self, codes: np.ndarray) -> np.ndarray:
         z = np.concatenate([self._forward(codes[i : i + 256])[0] for i in range(0, len(codes), 256)]) if len(codes) else np.zeros(0)

@@ -107,6 +107,15 @@ def test_secret_inside_a_long_run(spark):
         assert all(any(text[k : k + 20] in x for x in shown) for k in range(s, e - 19))
 
 
+def test_threshold_holds_the_recall_below_one_half():
+    net = secret_scan.CharCNN()  # not fitted, so that many secrets score little
+    items, labels = secret_scan.labelled_findings(400, 31)
+    labels[1::6] = 0  # a third of the secrets pass for plain
+    net.calibrate(items, labels, 0.98)
+    assert net.threshold < 0.5
+    assert (secret_scan.scores(net, items)[labels > 0] >= net.threshold).mean() >= 0.98
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     words = {"en": ["the", "and", "house", "water", "through"], "de": ["der", "und", "haus", "wasser", "durch"], "fr": ["le", "et", "maison", "eau", "à"]}
