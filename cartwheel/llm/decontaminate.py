@@ -133,7 +133,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, least: int, threshold: float,
     size = items.agg(F.coalesce(F.sum(F.octet_length("item") + 16), F.lit(0)).alias("n")).first()["n"]
     result = "array<struct<item_id: long, coverage: double>>"
     if size <= broadcast_bytes:
-        rows = items.where("item is not null").orderBy("item_id", "item").collect()
+        rows = items.where("item is not null").dropDuplicates(["item_id", "item"]).orderBy("item_id", "item").collect()
         shared = spark.sparkContext.broadcast(Index([(r["item_id"], r["item"]) for r in rows], least))
 
         leaks = F.pandas_udf(_iterating(shared, threshold), result)
@@ -153,18 +153,28 @@ def _iterating(shared, threshold: float):
     return leaks
 
 
+def _split(rows: DataFrame, col: str) -> DataFrame:
+    """``rows`` plus words: the ``tokens`` of ``col``."""
+
+    def run(batches):
+        for batch in batches:
+            found = [tokens(t) for t in batch.column(col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], names=[*batch.schema.names, "words"])
+
+    return rows.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in [*rows.dtypes, ("words", "array<string>")]))
+
+
 def _joined(docs: DataFrame, items: DataFrame, least: int, threshold: float) -> DataFrame:
     """As above by a shuffle join of seeds; work is per distinct text and item."""
     width = F.least(F.lit(least), F.size("words"))
-    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
 
     def grams(n) -> F.Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, n)))
 
-    keyed = items.select("item_id", "item", words(F.col("item")).alias("words")).where(F.size("words") > 0).dropDuplicates(["item_id", "item"])
+    keyed = _split(items.select("item_id", "item").where("item is not null"), "item").where(F.size("words") > 0).dropDuplicates(["item_id", "item"])
     wanted = keyed.select("item_id", "item", F.size("words").alias("n"), width.alias("width"), F.explode(F.array_distinct(grams(width))).alias("seed"))
     texts = docs.select("text").where("text is not null").distinct()
-    own = texts.select("text", words(F.col("text")).alias("words"))
+    own = _split(texts, "text")
     sizes = F.array(*[F.lit(k) for k in range(1, least + 1)])
     has = own.select("text", "words", F.explode(F.filter(sizes, lambda k: k <= F.size("words"))).alias("width"))
     has = has.select(F.sha2("text", 256).alias("key"), "width", F.explode(F.array_distinct(grams(F.col("width")))).alias("seed"))

@@ -42,6 +42,17 @@ def test_leaks(spark, limit):
     assert decontaminate.find_leaks(docs.where("doc_id < 0"), bench, broadcast_bytes=limit).count() == 0
 
 
+def test_leaks_are_equal_both_ways(spark):
+    hindi = "यह किताब बहुत अच्छी है"
+    passage = "one two three four five six"
+    docs = frame(spark, [(1, f"x {hindi} y"), (2, passage), (3, "की में"), (4, "nothing of it")])
+    bench = items(spark, [(1, passage), (1, passage), (2, "यह किताब नहीं"), (3, "की तो में"), (4, hindi), (5, None)])
+    own = [sorted(map(str, decontaminate.find_leaks(docs, bench, least=4, broadcast_bytes=limit).collect())) for limit in (32 << 20, 0)]
+    assert own[0] == own[1]
+    got = {r["doc_id"]: r for r in decontaminate.find_leaks(docs, bench, broadcast_bytes=0).collect()}
+    assert got[2]["n_items"] == 1 and got[2]["items"] == [1] and got[1]["contaminated"] and not got[4]["contaminated"]
+
+
 def test_tiles_equal_repeated_longest_matches():
     rng = np.random.default_rng(2)
     for _ in range(40):
