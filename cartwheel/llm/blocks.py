@@ -64,44 +64,74 @@ def hash_rows(hashes: np.ndarray, buckets: int, block: int, more: np.ndarray | N
     return pa.Table.from_arrays(arrays, names=names)
 
 
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64)
+
+
 def _shared(table: pa.Table) -> pa.Table:
-    """(block, hashes): of each block's hashes in this bucket, those that others have too."""
-    raw = table.column("hashes").to_pylist()
-    sizes = np.array([len(x) // 8 for x in raw])
-    hashes = np.frombuffer(b"".join(raw), np.uint64)
-    del raw
-    if "more" in table.schema.names:
-        more = np.frombuffer(b"".join(table.column("more").to_pylist()), np.uint64)
-        order = np.lexsort((more, hashes))
-        h, m = hashes[order], more[order]
-        same = (h[1:] == h[:-1]) & (m[1:] == m[:-1])
-    else:
-        order = np.argsort(hashes)
-        h = hashes[order]
-        same = h[1:] == h[:-1]
-    dup = np.zeros(len(h), bool)
-    dup[1:] |= same
-    dup[:-1] |= same
-    hit = np.zeros(len(h), bool)
-    hit[order[dup]] = True
+    """(block, hashes, more): of each block's hashes in this bucket, those that others have too."""
+    sizes = np.array([len(x) // 8 for x in table.column("hashes").to_pylist()])
+    hashes = _numbers(table.column("hashes"))
+    more = _numbers(table.column("more")) if "more" in table.schema.names else None
+    hit = _twice(hashes, more)
     ends = np.cumsum(sizes)
-    blocks, out = [], []
+    blocks, out, others = [], [], []
     for block, a, b in zip(table.column("block").to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
-        own = hashes[a:b][hit[a:b]]
-        if len(own):
+        own = hit[a:b]
+        if own.any():
             blocks.append(block)
-            out.append(own.tobytes())
-    return pa.Table.from_arrays([pa.array(blocks, pa.int64()), pa.array(out, pa.binary())], names=["block", "hashes"])
+            out.append(hashes[a:b][own].tobytes())
+            others.append(b"" if more is None else more[a:b][own].tobytes())
+    return pa.Table.from_arrays([pa.array(blocks, pa.int64()), pa.array(out, pa.binary()), pa.array(others, pa.binary())], names=["block", "hashes", "more"])
+
+
+def _twice(one: np.ndarray, two: np.ndarray | None) -> np.ndarray:
+    """Whether each value, or pair of values, stands twice or more."""
+    order = np.argsort(one) if two is None else np.lexsort((two, one))
+    same = one[order][1:] == one[order][:-1]
+    if two is not None:
+        same &= two[order][1:] == two[order][:-1]
+    out = np.zeros(len(one), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
 
 
 def shared_hashes(rows: DataFrame) -> DataFrame:
     """Answers (block, hashes) to the rows of ``hash_rows``."""
-    return rows.groupBy("bucket").applyInArrow(_shared, "block long, hashes binary")
+    return shared_pairs(rows).select("block", "hashes")
+
+
+def shared_pairs(rows: DataFrame) -> DataFrame:
+    """Answers (block, hashes, more): hashes count as shared only if ``more`` is, too."""
+    return rows.groupBy("bucket").applyInArrow(_shared, "block long, hashes binary, more binary")
+
+
+def received_pairs(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return _numbers(answers.column("hashes")), _numbers(answers.column("more"))
+
+
+def distinct_pairs(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((two, one))
+    one, two = one[order], two[order]
+    new = np.ones(len(one), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    return one[new], two[new]
+
+
+def found_pairs(one: np.ndarray, two: np.ndarray, answered: np.ndarray, answered2: np.ndarray) -> np.ndarray:
+    """Whether each pair is among the answered ones or stands twice itself."""
+    hit = member(one, np.sort(answered))
+    if len(one):
+        hit |= repeated(one)[0]
+    own = np.flatnonzero(hit)
+    hit[own] = _twice(np.concatenate([one[own], answered]), np.concatenate([two[own], answered2]))[: len(own)]
+    return hit
 
 
 def received(answers: pa.Table) -> np.ndarray:
     """A block's answered hashes, sorted."""
-    return np.sort(np.frombuffer(b"".join(answers.column("hashes").to_pylist()), np.uint64))
+    return np.sort(_numbers(answers.column("hashes")))
 
 
 def member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:

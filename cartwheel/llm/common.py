@@ -7,6 +7,7 @@ sizes below, never by the corpus.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -30,9 +31,15 @@ _SHIPPED: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches small for texts of any length mix, and give executors this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Give executors this package, and lower the session's limits of an Arrow batch.
+
+    Plans run after the operator has returned, so the limits stay; they are only ever
+    lowered, to what keeps batches small for texts of any length.
+    """
+    as_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        if not 0 < as_bytes(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parents[1]
@@ -73,7 +80,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_table_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._cartwheel_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        path = getattr(df, "_cartwheel_path", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, or with underscores so many that no column of the frames has it."""
+    have = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def text_bytes(df: DataFrame, col: str = "text") -> int:
@@ -115,10 +142,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 # --- hashing -----------------------------------------------------------------
 
 _rng = np.random.default_rng(20240229)
-#: A random odd base and byte values for each of two independent hashes.
-_BASE = _rng.integers(1 << 62, 1 << 63, 4, dtype=np.uint64) | np.uint64(1)
-_BYTE = _rng.integers(0, 1 << 63, (2, 256), dtype=np.uint64)
-_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Seeds of two independent hashes, and the odd multiplier that both use.
+_SEED = _rng.integers(1 << 62, 1 << 63, 2, dtype=np.uint64)
+_MUL = np.uint64(0x9E3779B97F4A7C15)
+#: Longer words are hashed one by one.
+_LONG = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -128,28 +156,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers 0..n-1 and those of its inverse, modulo 2**64."""
-    have = _POW.get(which)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        base = int(_BASE[which])
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            x = np.full(size, b, np.uint64)
-            x[0] = 1
-            out.append(np.cumprod(x, dtype=np.uint64))
-        have = _POW[which] = (out[0], out[1])
-    return have[0][:n], have[1][:n]
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of the bytes of each span, eight at a time through ``mix``; long ones by keyed BLAKE2.
+
+    Nothing here is linear in the bytes, so no pair of texts is known that collides.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _MUL + _SEED[which])
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), np.dtype("<u8"), padded, strides=(1,))
+    row, at = np.flatnonzero((size > 0) & (size <= _LONG)), 0
+    while len(row):
+        rest = size[row] - at
+        x = eight[starts[row] + at]
+        short = np.flatnonzero(rest < 8)
+        x[short] &= (np.uint64(1) << (rest[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[row] = mix(out[row] * _MUL + x)
+        at += 8
+        row = row[rest > 8]
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        out[long] = digests(data, starts[long], size[long])[:, which]
+    return out
+
+
+def window_hashes(values: np.ndarray, width: int, which: int = 0) -> np.ndarray:
+    """Hash of each run of ``width`` hashes; runs that cross documents are the caller's to drop."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, done, run, size = None, 0, values, 1
+    while True:  # run[i] stands for the values i .. i + size - 1
+        if width & size:
+            out = run[done : done + n] if out is None else mix(out * _MUL + run[done : done + n] + _SEED[which])
+            done += size
+        if done == width:
+            return out
+        run = mix(run[:-size] * _MUL + run[size:] + _SEED[which])
+        size *= 2
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-    """Hash of values[s:e] for each span, in time independent of the spans' lengths."""
-    up, down = powers(which, len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=total[1:])
-    raw = (total[ends] - total[starts]) * down[starts]
-    return mix(raw + (ends - starts).astype(np.uint64))
+def digests(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2 of each span, as two numbers."""
+    raw = memoryview(np.ascontiguousarray(data)).cast("B")
+    found = [hashlib.blake2b(raw[s : s + n], digest_size=16).digest() for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
 
 
 _SPACE = np.zeros(256, bool)
@@ -173,20 +224,3 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after[cuts[(cuts > 0)] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
     return starts, ends, np.searchsorted(starts, offsets)
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    return span_hashes(_BYTE[which][data], starts, ends, which)
-
-
-def window_hashes(values: np.ndarray, width: int, which: int = 2) -> np.ndarray:
-    """Hash of each run of ``width`` values; those that cross documents are the caller's to drop."""
-    n = len(values) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return span_hashes(values, at, at + width, which)
-
-
-def byte_values(data: np.ndarray, which: int) -> np.ndarray:
-    return _BYTE[which][data]

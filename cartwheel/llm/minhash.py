@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, prepare, slices, span_hashes, utf8, word_hashes, words, written
+from .common import mix, prepare, slices, utf8, window_hashes, word_hashes, words, written
 from .components import components
 
 #: Parts into which one band's members are dealt.
@@ -58,7 +58,12 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     doc = np.repeat(np.arange(len(n)), count)
     at = first[:-1][doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    return doc, span_hashes(hashes, at, at + np.minimum(n[doc], size), 2)
+    out = np.zeros(len(doc), np.uint64)
+    length = np.minimum(n[doc], size)
+    for k in np.unique(length).tolist():
+        own = length == k
+        out[own] = window_hashes(hashes, k)[at[own]]
+    return doc, out
 
 
 def weighted(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

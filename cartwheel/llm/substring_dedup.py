@@ -6,7 +6,7 @@ h < period takes both i + h and j + h to positions in the cover: hashing the
 ``width - period + 1`` words that start there, at cover positions only, both windows get
 the same anchor.  So blocks first ask which anchors others have; only windows around an
 anchor found twice are then hashed whole, with two independent 64-bit hashes, and asked
-for in turn.  A window found twice takes all its words.
+for in turn.  A window of which both hashes are found twice takes all its words.
 
 Defined results: windows are judged on the input; a null text has no words; documents
 shorter than a window keep all words; equal windows of rows that share a doc_id (or
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import deal, each_answered, each_block, hash_rows, member, received, repeated, shared_hashes
+from .blocks import deal, distinct_pairs, each_answered, each_block, found_pairs, hash_rows, member, received, received_pairs, repeated, shared_hashes, shared_pairs
 from .common import utf8, window_hashes, word_hashes, words
 
 #: Perfect difference sets, by period.
@@ -69,10 +69,11 @@ class _Block:
         return np.flatnonzero((np.cumsum(near[:-1]) > 0) & (self.left >= self.width))
 
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of the windows that start at ``at``."""
         if not len(at):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         two = word_hashes(self.data, self.starts, self.ends, 1)
-        return window_hashes(self.one, self.width, 2)[at], window_hashes(two, self.width, 3)[at]
+        return window_hashes(self.one, self.width, 0)[at], window_hashes(two, self.width, 1)[at]
 
 
 def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
@@ -96,17 +97,13 @@ def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
         hit = member(hashes, received(answers))
         if len(hashes):
             hit |= repeated(hashes)[0]
-        one, two = block.windows(block.candidates(at, hit))
-        _, first = np.unique(one, return_index=True)
-        return hash_rows(one[first], window_buckets, table.column("block")[0].as_py(), two[first])
+        one, two = distinct_pairs(*block.windows(block.candidates(at, hit)))
+        return hash_rows(one, window_buckets, table.column("block")[0].as_py(), two)
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(table, width)
         at = np.flatnonzero(block.left >= width)
-        one, _ = block.windows(at)
-        hit = member(one, received(answers))
-        if len(one):
-            hit |= repeated(one)[0]
+        hit = found_pairs(*block.windows(at), *received_pairs(answers))
         gone = np.zeros(len(block.doc) + 1, np.int64)
         np.add.at(gone, at[hit], 1)
         np.add.at(gone, at[hit] + width, -1)
@@ -123,7 +120,7 @@ def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
 
     asked = each_block(blocks, ask, "bucket int, block long, hashes binary")
     again = each_answered(blocks, shared_hashes(asked), ask_windows, "bucket int, block long, hashes binary, more binary")
-    return each_answered(blocks, shared_hashes(again), finish, "doc_id long, n_words long, n_removed long, kept_text string")
+    return each_answered(blocks, shared_pairs(again), finish, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

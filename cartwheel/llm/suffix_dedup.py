@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import deal, each_answered, each_block, hash_rows, member, received, repeated, shared_hashes
-from .common import byte_values, mix, span_hashes, utf8
+from .common import digests, mix, utf8
 from .induced import suffixes
 
 #: Bytes of a minimizer.
@@ -126,8 +126,7 @@ def _stretch_rows(table: pa.Table, answers: pa.Table, width: int, shards: int) -
     # Equal stretches: the earliest goes on.
     keep = np.ones(len(first), bool)
     if len(first):
-        one = span_hashes(byte_values(block.data, 0), first, first + bytes_, 0)
-        two = span_hashes(byte_values(block.data, 1), first, first + bytes_, 1)
+        one, two = digests(block.data, first, bytes_).T
         order = np.lexsort((row, start, doc, two, one))
         same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
         keep[order[1:][same]] = False
@@ -168,8 +167,7 @@ def _repeats(table: pa.Table, width: int, memory: int) -> pa.Table:
     size = count + width - 1
     first = np.cumsum(size) - size
     # Equal stretches of several blocks: the earliest is sorted, the others are repeats.
-    one = span_hashes(byte_values(data, 0), first, first + size, 0)
-    two = span_hashes(byte_values(data, 1), first, first + size, 1)
+    one, two = digests(data, first, size).T
     order = np.lexsort((row, block, start, doc, two, one))
     lead = np.ones(len(order), bool)
     lead[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
@@ -178,7 +176,7 @@ def _repeats(table: pa.Table, width: int, memory: int) -> pa.Table:
     # Strings of one stretch differ, and so do those of different minimizers: a stretch that
     # is alone with its minimizer needs no sorting.
     shift = _join(table.column("shifts"), np.int16)[kept]
-    key = span_hashes(byte_values(data, 0), first[kept] + shift, first[kept] + shift + SEED, 0)
+    key = digests(data, first[kept] + shift, np.full(len(kept), SEED))[:, 0]
     if len(kept):
         kept = kept[repeated(key)[0]]
     kept = np.sort(kept)
