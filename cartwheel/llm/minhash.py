@@ -7,13 +7,14 @@ process, the same for every text.  A text keeps the earliest dart of each of
 ``coordinates`` coordinates, so two texts agree on a coordinate with the probability of
 their weighted Jaccard similarity.  Texts that agree on a whole band meet there.
 
-In each band's group all are compared exactly with one member, the centre.  Classes are
-the connected components of pairs that reach the threshold; then the centre leaves, and
-groups that still hold several classes go on with eight others a round, members of a
-centre's class being spared.  So small groups are compared in full, without all pairs being made.
-What groups hold after ``rounds`` rounds, large and loosely similar, is cut into blocks,
-and each block is compared with each of its group's, so every two texts that meet in a
-band are of one class or compared exactly.
+In each band's group all are compared exactly with one member, the centre: that of the
+least number, so a text meets few centres over its bands.  Classes are the connected
+components of pairs that reach the threshold; then the centre leaves, and groups that
+still hold several classes go on with the next, members of the centre's class being
+spared.  So small or tight groups are done without all pairs being made.  What groups
+hold after ``rounds`` rounds, large and loosely similar, is cut into blocks, and each
+block is compared with each of its group's inside a task, which returns only links: every
+two texts that meet in a band are of one class or compared exactly.
 
 Equal texts are one node from the start.  With the default 25 bands of 5, two texts of
 similarity 0.8 meet with probability 0.99995.
@@ -31,15 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, prepare, slices, utf8, window_hashes, word_hashes, words, written
+from .common import discard, mix, prepare, slices, unused, utf8, window_hashes, word_hashes, words, written
 from .components import components
 
-#: Parts into which one band's members are dealt.
+#: Parts into which one band's members are dealt when groups are first counted.
 SALT = 16
-#: Centres of a group in each round but the first.
-SLOTS = 8
+#: Members of a group that share a join key, about; larger groups have several.
+PART = 1 << 14
 #: Members and bytes of text of a block, about.
-BLOCK, BLOCK_BYTES = 128, 2 << 20
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Entries of a dense matrix of shingles.
 CELLS = 4 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -186,7 +187,7 @@ def common_shingles(left: pa.Array, right: pa.Array, size: int) -> tuple[np.ndar
 
 
 def _signed(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """``texts`` (doc_id, node, text) to (doc_id, node, bands)."""
+    """``texts`` (doc_id, node, text) to (doc_id, node, bytes, bands)."""
 
     def sign(batches):
         for batch in batches:
@@ -197,9 +198,9 @@ def _signed(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 keys = band_keys(dart_signatures(doc, hashes, count, n, bands * rows), bands)
                 some = np.bincount(doc, minlength=n) > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some) * bands]).astype(np.int32)), pa.array(keys[some].ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), lists], names=["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(np.diff(offsets)), lists], names=["doc_id", "node", "bytes", "bands"])
 
-    return texts.mapInArrow(sign, "doc_id long, node binary, bands array<long>")
+    return texts.mapInArrow(sign, "doc_id long, node binary, bytes long, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -217,26 +218,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
 
 def _several(members: DataFrame) -> DataFrame:
-    """(band) of groups that hold several labels."""
-    return members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-
-
-def _state(members: DataFrame, slots: int) -> DataFrame:
-    """(band, seq, label, centre) in groups that hold several labels.
-
-    A group has a centre, its least member, in each of ``slots`` slots; slots also deal
-    out a hot group's rows.
-    """
-    dealt = members.withColumn("slot", F.pmod(F.xxhash64("seq"), F.lit(slots)).cast("int"))
-    centres = dealt.groupBy("band", "slot").agg(F.min("seq").alias("centre"))
-    return dealt.join(centres.join(_several(members), "band", "left_semi"), ["band", "slot"]).select("band", "seq", "label", "centre")
-
-
-def _compared(state: DataFrame) -> DataFrame:
-    """(a, b, la, lb): members and centres of one group with different labels."""
-    centres = state.where("seq = centre").select("band", F.col("seq").alias("b"), F.col("label").alias("lb"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    rest = state.select("band", F.col("seq").alias("a"), F.col("label").alias("la"), F.pmod(F.xxhash64("seq"), F.lit(SALT)).cast("int").alias("salt"))
-    return rest.join(centres, ["band", "salt"]).where("la <> lb").select("a", "b", "la", "lb").distinct()
+    """(band, part, centre, lb, n, total) of groups that hold several labels, a row for each part of a group."""
+    groups = members.groupBy("band").agg(
+        F.min("label").alias("lo"),
+        F.max("label").alias("hi"),
+        F.min(F.struct("seq", "label")).alias("least"),
+        F.max("parts").alias("parts"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum("bytes").alias("total"),
+    )
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    return groups.where("lo <> hi").select("band", parts, F.col("least.seq").alias("centre"), F.col("least.label").alias("lb"), "n", "total")
 
 
 def _blocked(members: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
@@ -284,12 +276,9 @@ def _blocked(members: DataFrame, texts: DataFrame, threshold: float, size: int)
         pairs = np.unique(np.stack([np.concatenate(x) if x else np.zeros(0, np.int64) for x in (la, lb)]), axis=1)
         return pa.table({"la": pa.array(pairs[0]), "lb": pa.array(pairs[1])})
 
-    held = members.join(_several(members), "band", "left_semi")
-    sized = held.join(texts.select("seq", F.octet_length("text").alias("bytes")), "seq")
-    counted = sized.groupBy("band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = counted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    salted = held.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(SALT)).cast("int")).join(dealt, ["band", "salt"])
-    placed = salted.withColumn("block", F.pmod(F.xxhash64("seq", F.lit(1)), F.col("blocks")).cast("int"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_BYTES)).cast("int")
+    held = members.join(_several(members), ["band", "part"]).withColumn("blocks", blocks)
+    placed = held.withColumn("block", F.pmod(F.xxhash64("seq", F.lit(1)), F.col("blocks")).cast("int"))
     paired = placed.select("band", "seq", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     paired = paired.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "seq", "label")
     return paired.join(texts, "seq").groupBy("band", "i", "j").applyInArrow(compare, schema)
@@ -298,47 +287,58 @@ def _blocked(members: DataFrame, texts: DataFrame, threshold: float, size: int)
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` after ``links`` (la, lb)."""
     classes_ = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return written(labels.join(classes_, "label", "left").select("seq", F.coalesce("to", "label").alias("label")), "labels")
+    new = written(labels.join(classes_, "label", "left").select("seq", F.coalesce("to", "label").alias("label")), "labels")
+    discard(labels, links)
+    return new
 
 
 def _link(members: DataFrame, texts: DataFrame, threshold: float, size: int, rounds: int) -> DataFrame:
-    """(seq, label) of members after linking; ``members`` are (band, seq) of groups.
+    """(seq, label) of members after linking; ``members`` are (band, part, parts, seq, bytes) of groups.
 
     A round compares the members of groups that still hold several labels with the group's
-    centres (one at first, then SLOTS), unless their labels are equal, then takes the centres
-    out: a group is done when one label is left, or all pairs of different labels were
-    compared.  Groups that are not done after ``rounds`` rounds are compared by blocks.
+    centre, unless their labels are equal, then takes the centre out: a group is done when
+    one label is left.  Groups that are not done after ``rounds`` rounds are compared by blocks.
     """
     labels = members.select("seq", F.col("seq").alias("label")).distinct()
-    active = members.withColumn("label", F.col("seq"))
-    for done in range(rounds):
-        state = written(_state(active, SLOTS if done else 1), "groups")
+    active, states = members.withColumn("label", F.col("seq")), []
+    for _ in range(rounds):
+        state = written(active.join(_several(active), ["band", "part"]).drop("n", "total"), "groups")
+        discard(*states)
+        states = [state]
         if state.isEmpty():
             return labels
-        links = written(_verified(_compared(state), texts.select("seq", "text"), size).where(F.col("sim") >= threshold), "links")
+        # The same two texts meet in several bands, mostly with the same centre.
+        pairs = state.where("label <> lb").select(F.col("seq").alias("a"), F.col("centre").alias("b"), F.col("label").alias("la"), "lb").distinct()
+        links = written(_verified(pairs, texts.select("seq", "text"), size).where(F.col("sim") >= threshold), "links")
         if not links.isEmpty():
             labels = _merged(labels, links)
-        active = state.where("seq <> centre").select("band", "seq").join(labels, "seq")
-    links = written(_blocked(written(active, "rest"), texts, threshold, size).distinct(), "links")
+        active = state.where("seq <> centre").select("band", "part", "parts", "seq", "bytes").join(labels, "seq")
+    rest = written(active, "rest")
+    links = written(_blocked(rest, texts, threshold, size).distinct(), "links")
+    discard(rest, *states)
     return labels if links.isEmpty() else _merged(labels, links)
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5, rounds: int = 3) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5, rounds: int = 2) -> DataFrame:
     """doc_id, node (digest of the text), class_key, class_id, class_size of every row."""
     prepare(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     source = source.withColumn("node", F.unhex(F.md5("text")))
     signed = _signed(source, shingle, bands, rows)
-    merged = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    merged = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands"))
     nodes = written(merged.withColumn("seq", F.monotonically_increasing_id()), "nodes")
-    keys = nodes.select("seq", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    members = written(keys.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(SALT)).cast("int")).join(shared, ["band", "salt"]).select("band", "seq"), "members")
+    keys = nodes.select("seq", "bytes", F.explode("bands").alias("band")).withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(SALT)).cast("int"))
+    parts = (F.floor(F.col("n") / PART) + 1).cast("int").alias("parts")
+    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", parts, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    part = F.pmod(F.xxhash64("seq", F.lit(2)), F.col("parts")).cast("int").alias("part")
+    members = written(keys.join(shared, ["band", "salt"]).select("band", part, "parts", "seq", "bytes"), "members")
     wanted = members.select("seq").distinct().join(nodes.select("seq", "node", "least", "bands"), "seq")
     none = F.lit(-(1 << 63)).cast("long")
     keyed = source.withColumn("_id", F.coalesce("doc_id", none)).select("node", "_id", "text")
     texts = wanted.withColumn("_id", F.coalesce("least", none)).join(keyed, ["node", "_id"]).select("seq", "text", "bands").dropDuplicates(["seq"])
-    labels = _link(members, written(texts, "texts"), threshold, shingle, rounds)
+    texts = written(texts, "texts")
+    labels = written(_link(members, texts, threshold, shingle, rounds), "classes")
+    discard(members, texts)
     labelled = nodes.select("seq", "node", "least", "n").join(labels, "seq", "left")
     labelled = labelled.withColumn("class_key", F.coalesce("label", "seq"))
     sizes = labelled.groupBy("class_key").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
@@ -355,10 +355,11 @@ def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
     """One row of each class, that of the least doc_id; columns unchanged."""
     found = classes(docs, **params).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     kept = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("node").alias("node"))).alias("k"))
-    kept = kept.select(F.coalesce("k.id", F.lit(-(1 << 63)).cast("long")).alias("_kept_id"), F.col("k.node").alias("_kept_node"))
-    marked = docs.withColumns({"_kept_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")), "_kept_node": F.unhex(F.md5(F.coalesce("text", F.lit(""))))})
-    joined = marked.join(kept, ["_kept_id", "_kept_node"], "left_semi")
-    return joined.dropDuplicates(["_kept_id", "_kept_node"]).select(*docs.columns)
+    none = F.lit(-(1 << 63)).cast("long")
+    own = [unused("_kept_id", docs), unused("_kept_node", docs)]
+    kept = kept.select(F.coalesce("k.id", none).alias(own[0]), F.col("k.node").alias(own[1]))
+    marked = docs.withColumns({own[0]: F.coalesce(F.col("doc_id").cast("long"), none), own[1]: F.unhex(F.md5(F.coalesce("text", F.lit(""))))})
+    return marked.join(kept, own, "left_semi").dropDuplicates(own).select(*docs.columns)
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
