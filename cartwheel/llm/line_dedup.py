@@ -1,12 +1,13 @@
 """Site-relative line deduplication of web pages, in DataFrame operations.
 
 A page's lines are its text between block-level tags, white space collapsed.  For each
-host, the pages that contain a line are counted, and a line on more than ``ratio`` of
-the host's pages, and on ``least_pages`` or more of them, is boilerplate there and is
-dropped from all its pages.  Lines are counted by MD5; a host's boilerplate is at most
+host, the pages that contain a line are counted, and a line that repeats (stands on two
+pages at least) and stands on more than ``ratio`` of the host's pages is boilerplate
+there and is dropped from all its pages.  Lines are counted by MD5; a host's boilerplate is at most
 (lines a page / ratio) digests, so one row holds it.
 
-Defined results: null or empty html has no lines; a page whose url is null or names no
+Defined results: null or empty html has no lines; a host of one page loses no line (a
+share of one page tells nothing); a page whose url is null or names no
 host belongs to no site and keeps all lines; a line counts once a page however often it
 stands there; repeated rows count as pages of their own; an empty table gives an empty
 result; columns other than page_id, url and html are ignored.
@@ -38,11 +39,11 @@ def page_lines(html: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def boilerplate(pages: DataFrame, ratio: float, least_pages: int) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float) -> DataFrame:
     """(host, lines): the digests of each host's boilerplate lines."""
     sites = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> ''")
     lines = sites.select("host", F.explode(F.array_distinct(page_lines(F.col("html")))).alias("line"))
-    counted = lines.groupBy("host", F.unhex(F.md5("line")).alias("digest")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
+    counted = lines.groupBy("host", F.unhex(F.md5("line")).alias("digest")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     totals = sites.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     dealt = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salted = counted.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALT)).cast("int"))
@@ -50,12 +51,12 @@ def boilerplate(pages: DataFrame, ratio: float, least_pages: int) -> DataFrame:
     return found.groupBy("host").agg(F.collect_list("digest").alias("found"))
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = 0.25, least_pages: int = 5) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, ratio: float = 0.25) -> DataFrame:
     """page_id, host, n_lines, n_dropped and kept_text (lines joined by line feeds)."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), "html")
     # A host's pages are dealt out, its few digests copied: no task gets a whole site.
     salt = F.pmod(F.xxhash64("page_id", "html"), F.lit(SALT)).cast("int")
-    copied = boilerplate(pages, ratio, least_pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    copied = boilerplate(pages, ratio).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     joined = own.withColumn("salt", salt).join(copied, ["host", "salt"], "left")
     cut = joined.select("page_id", "host", page_lines(F.col("html")).alias("lines"), "found")
     keeps = F.when(F.col("found").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("found"), F.unhex(F.md5(x)))))
@@ -84,7 +85,7 @@ WITH cut AS (
 sites AS (SELECT host, count(*) AS pages FROM cut WHERE host <> '' GROUP BY host),
 seen AS (SELECT host, line, count(*) AS n
   FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM cut WHERE host <> '') GROUP BY host, line),
-bad AS (SELECT seen.host, line FROM seen JOIN sites USING (host) WHERE n >= 5 AND n > 0.25 * pages),
+bad AS (SELECT seen.host, line FROM seen JOIN sites USING (host) WHERE n > 1 AND n > 0.25 * pages),
 flat AS (SELECT r, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM cut),
 kept AS (SELECT r, string_agg(line, chr(10) ORDER BY k) AS txt, count(*) AS n FROM flat
   WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.host = flat.host AND bad.line = flat.line) GROUP BY r)

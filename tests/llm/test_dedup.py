@@ -208,6 +208,10 @@ def test_suffix_dedup_equals_brute_force(spark):
     base = "".join(rng.choice("abcdé f") for _ in range(1500))
     rows = [(i, base[(a := rng.randint(0, 1200)) : a + rng.randint(50, 400)] + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 120)))) for i in range(25)]
     rows += [(100, "a" * 700), (101, "ab" * 150), (102, None), (103, ""), (104, "a" * 300), (None, base[:300])]
+    assert sorted(suffix_result(spark, rows), key=key) == sorted(suffix_brute(rows), key=key)
+
+
+def suffix_brute(rows):
     order = lambda d: (d is not None, d or 0)
     first: dict = {}
     for d, t in rows:
@@ -222,11 +226,13 @@ def test_suffix_dedup_equals_brute_force(spark):
         for i in range(len(raw) - 99):
             if first[raw[i : i + 100]] < (order(d), i):
                 gone.update(range(i, i + 100))
-        spans = sum(i not in gone or i - 1 in gone for i in range(len(raw)) if i in gone)
         spans = sum(1 for i in gone if i - 1 not in gone)
         want.append((d, len(raw), len(gone), spans, bytes(c for i, c in enumerate(raw) if i not in gone)))
-    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept_bytes"])) for r in suffix_dedup.remove_earlier(frame(spark, rows)).collect()]
-    assert sorted(got, key=key) == sorted(want, key=key)
+    return want
+
+
+def suffix_result(spark, rows, **params):
+    return [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept_bytes"])) for r in suffix_dedup.remove_earlier(frame(spark, rows), **params).collect()]
 
 
 def test_line_dedup_by_hand(spark):
@@ -237,6 +243,17 @@ def test_line_dedup_by_hand(spark):
     assert got[10]["n_dropped"] == 0 and got[11]["kept_text"] == "T11\nHome\nown 11\nxy" and got[12]["n_lines"] == 0 and got[None]["n_lines"] == 0
 
 
+def test_line_dedup_goes_by_the_ratio_alone(spark):
+    rows = [(k, f"http://small.example/{k}", f"<p>menu</p><p>own {k}</p>", "x", "y") for k in range(3)]
+    rows += [(10, "http://one.example/", "<p>menu</p>", "x", "y"), (11, "http://two.example/", "<p>foot</p><p>foot</p>", "x", "y"), (11, "http://two.example/", "<p>foot</p><p>foot</p>", "x", "y")]
+    rows += [(20 + k, f"http://wide.example/{k}", f"<p>{'menu' if k < 2 else 'text'}</p><p>{k}</p>", "x", "y") for k in range(8)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, salt string, found string")
+    got = [(r["page_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in line_dedup.drop_boilerplate(docs).collect()]
+    want = [(k, 2, 1, f"own {k}") for k in range(3)] + [(10, 1, 0, "menu")] + [(11, 2, 2, "")] * 2
+    want += [(20 + k, 2, 0, f"menu\n{k}") for k in range(2)] + [(22 + k, 2, 1, str(2 + k)) for k in range(6)]
+    assert sorted(got) == sorted(want)
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [(1, "a")]).where("doc_id > 5")
     assert exact_dedup.exact_dedup(empty).count() == 0
@@ -244,3 +261,26 @@ def test_empty_tables(spark):
     assert substring_dedup.remove_repeats(empty).count() == 0
     assert suffix_dedup.remove_earlier(empty).count() == 0
     assert line_dedup.drop_boilerplate(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def thue_morse(n, letters):
+    word = [0]
+    while len(word) < n:
+        word += [1 - x for x in word]
+    return "".join(letters[x] for x in word[:n])
+
+
+def test_windows_that_collide_in_polynomial_hashes_are_told_apart(spark):
+    same = [f"w{i}" for i in range(34)]
+    rows = [(1, " ".join([*same, thue_morse(2048, "ab")])), (2, " ".join([*same, thue_morse(2048, "ba")]))]
+    rows += [(3, thue_morse(2048, "cd")), (4, thue_morse(2048, "dc"))]
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert [(got[k]["n_words"], got[k]["n_removed"]) for k in (1, 2, 3, 4)] == [(35, 0), (35, 0), (1, 0), (1, 0)]
+    assert {r["doc_id"]: r["class_size"] for r in minhash.near_duplicates(frame(spark, rows[2:])).collect()} == {3: 1, 4: 1}
+    texts = [(5, thue_morse(1024, "cd") + "x" * 9 + thue_morse(1024, "dc")), (6, "y" + thue_morse(1024, "dc"))]
+    assert sorted(suffix_result(spark, texts), key=key) == sorted(suffix_brute(texts), key=key)
+
+
+def test_near_dedup_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "k", b"n"), (2, "a b c d e f", "l", b"m")], "doc_id long, text string, _kept_id string, _KEPT_NODE binary")
+    assert [tuple(r) for r in minhash.drop_near_duplicates(docs).collect()] == [(1, "a b c d e f", "k", b"n")]
