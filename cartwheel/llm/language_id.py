@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +112,7 @@ class Scorer:
 
 def train(docs: DataFrame, sample_docs: int = 2500, longest: int = 4, penalty: float = 16.0) -> Model:
     """Fit on (doc_id, text, lang) rows whose lang is known; see the module."""
+    prepare(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
@@ -172,15 +174,20 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.4) -> Da
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def keeps(texts):
-        scorer = Scorer(shared.value)
-        found = [scorer(t) for t in texts]
-        import pandas as pd
+    return docs.where(F.pandas_udf(_keeping(shared, min_score), "boolean")(F.col("text")))
+
+
+def _keeping(shared, min_score: float):
+    import pandas as pd
 
-        return pd.Series([lang != UNKNOWN and score >= min_score for lang, score in found], dtype=bool)
+    def keeps(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(shared.value)  # one for all batches of a task: it remembers words
+        for texts in parts:
+            found = [scorer(t) for t in texts]
+            yield pd.Series([lang != UNKNOWN and score >= min_score for lang, score in found], dtype=bool)
 
-    return docs.where(keeps(F.col("text")))
+    keeps.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return keeps
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
