@@ -1,9 +1,10 @@
 """Item-to-item co-visitation: weighted pairs within sessions, and the best of each item.
 
-Pairs come from one equi-join: positions are cut into blocks as wide as a rule's reach,
-and the target side is dealt to its own and the two neighbouring blocks.  So a session
-of any length is many small join keys, and no key makes more than three times the square
-of the reach.
+Pairs come from one equi-join.  Sessions cut to a few events are joined whole, where the
+cut left them.  Of others, positions are cut into blocks as wide as a rule's reach, and
+the target side is dealt to its own and the two neighbouring blocks: a session of any
+length is many small join keys, and no key makes more than three times the square of the
+reach.
 """
 
 from __future__ import annotations
@@ -60,16 +61,27 @@ def rules(profile: str) -> tuple[Rule, ...]:
     return PROFILES[profile]
 
 
-def pairs(own: DataFrame, rule: Rule) -> DataFrame:
-    """(session, source_aid, target_aid, i, j, w) of ``indexed`` events; w is fixed-point."""
+#: Sessions of this many events or fewer are joined whole.
+WHOLE = 64
+
+
+def pairs(own: DataFrame, rule: Rule, longest: int | None = None) -> DataFrame:
+    """(session, source_aid, target_aid, i, j, w) of ``indexed`` events; w is fixed-point.
+
+    Where no session is longer than ``longest`` and that is short, sessions are joined
+    whole, in the partitioning that ``indexed`` made: no further exchange.
+    """
+    whole = longest is not None and longest <= WHOLE
     block = F.floor(F.col("i") / rule.reach)
-    left = own.where(F.col("type").isin(*rule.sources)).select("session", F.col("aid").alias("source_aid"), "i", F.col("ts").alias("source_ts"), block.alias("block"))
+    blocks = F.array(block - 1, block) if rule.forward else F.array(block - 1, block, block + 1)
+    left = own.where(F.col("type").isin(*rule.sources)).select("session", F.col("aid").alias("source_aid"), "i", F.col("ts").alias("source_ts"), *([] if whole else [block.alias("block")]))
     right = own.where(F.col("type").isin(*rule.targets)).select(
-        F.col("session").alias("_s"), F.col("aid").alias("target_aid"), F.col("i").alias("j"), F.col("ts").alias("target_ts"), F.col("type").alias("target_type"), F.explode(F.array(block - 1, block, block + 1) if not rule.forward else F.array(block - 1, block)).alias("_b")
+        F.col("session").alias("_s"), F.col("aid").alias("target_aid"), F.col("i").alias("j"), F.col("ts").alias("target_ts"), F.col("type").alias("target_type"), *([] if whole else [F.explode(blocks).alias("_b")])
     )
     gap = F.abs(F.col("target_ts") - F.col("source_ts"))
     near = (F.col("j") > F.col("i")) & (F.col("j") <= F.col("i") + rule.reach) if rule.forward else (F.col("i") != F.col("j")) & (F.abs(F.col("i") - F.col("j")) <= rule.reach)
-    joined = left.join(right, (F.col("session") == F.col("_s")) & (F.col("block") == F.col("_b")) & near & (F.col("source_aid") != F.col("target_aid")) & (gap <= F.lit(rule.seconds * 1000)))
+    keys = F.col("session") == F.col("_s")
+    joined = left.join(right, (keys if whole else keys & (F.col("block") == F.col("_b"))) & near & (F.col("source_aid") != F.col("target_aid")) & (gap <= F.lit(rule.seconds * 1000)))
     weight = F.lit(1.0)
     if rule.half_life is not None:
         weight = weight * F.pow(F.lit(0.5), gap / 1000.0 / F.lit(float(rule.half_life)))
@@ -98,13 +110,13 @@ def top_neighbours(found: DataFrame, k: int) -> DataFrame:
 
 def matrix(events: DataFrame, rule: Rule, k: int = 20, max_events: int | None = 30) -> DataFrame:
     """A rule's matrix over sessions cut to their last ``max_events`` events."""
-    return top_neighbours(pairs(indexed(tail(events, max_events)), rule), k)
+    return top_neighbours(pairs(indexed(tail(events, max_events)), rule, max_events), k)
 
 
 def suite(events: DataFrame, profile: str, k: int = 20, max_events: int | None = 30) -> dict[str, DataFrame]:
     """All matrices of a profile; the indexed events are computed once per plan by exchange reuse."""
     own = indexed(tail(events, max_events))
-    return {rule.name: top_neighbours(pairs(own, rule), k) for rule in rules(profile)}
+    return {rule.name: top_neighbours(pairs(own, rule, max_events), k) for rule in rules(profile)}
 
 
 def neighbours(matrices: DataFrame, items: DataFrame) -> DataFrame:

@@ -28,15 +28,18 @@ def retain(found: DataFrame, limit: int | None) -> DataFrame:
 def session_features(contexts: DataFrame) -> DataFrame:
     """One row per session: size, distinct items, times and counts by type, in file order."""
     before = F.lag("ts").over(Window.partitionBy("session").orderBy("pos"))
-    own = contexts.withColumn("gap", F.col("ts") - before)
+    nth = F.row_number().over(Window.partitionBy("session", "aid").orderBy("pos"))  # within the same exchange
+    own = contexts.withColumn("gap", F.col("ts") - before).withColumn("nth", nth)
     last_gap = F.max_by("gap", "pos")
     counts = [F.count_if(F.col("type") == t).alias(f"session_{t}_count") for t in schemas.TYPES]
     got = own.groupBy("session").agg(
-        F.count(F.lit(1)).alias("session_length"), F.min_by("ts", "pos").alias("_first"), F.max_by("ts", "pos").alias("_last"), F.coalesce(last_gap, F.lit(0)).cast("long").alias("session_last_gap_ms"), *counts
+        F.count(F.lit(1)).alias("session_length"),
+        F.count_if(F.col("nth") == 1).alias("session_unique_aids"),
+        F.min_by("ts", "pos").alias("_first"),
+        F.max_by("ts", "pos").alias("_last"),
+        F.coalesce(last_gap, F.lit(0)).cast("long").alias("session_last_gap_ms"),
+        *counts,
     )
-    # The item count is one more aggregate over the shuffle by session that the window made.
-    distinct = contexts.groupBy("session").agg(F.countDistinct("aid").alias("session_unique_aids"))
-    got = got.join(distinct, "session")
     span = F.col("_last") - F.col("_first")
     return got.select(
         "session",
@@ -74,9 +77,14 @@ def _is_source(source: str):
 
 
 def build(found: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Feature rows of labelled candidates: identifiers, candidate_rank and 47 features."""
+    """Feature rows of labelled candidates: identifiers, candidate_rank and 47 features.
+
+    Candidates may already carry their items' features; else they are joined.
+    """
     length = F.col("session_length")
-    rows = found.join(session_features(contexts), "session").join(item_features(contexts), ["session", "aid"], "left")
+    rows = found.join(session_features(contexts), "session")
+    if "aid_frequency" not in found.columns:
+        rows = rows.join(item_features(contexts), ["session", "aid"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return rows.select(
         "session",
@@ -117,10 +125,7 @@ def check_contract(rows: DataFrame, names: list[str]) -> None:
 
 def materialize(contexts: DataFrame, matrices: dict[str, DataFrame], popular: DataFrame, labels: DataFrame | None = None, budget: int = 250, retention: int | None = None, targets: tuple[str, ...] = schemas.TYPES, **options) -> DataFrame:
     """Feature rows of all targets: candidates, rank, label, retention, then features."""
-    from cartwheel.operators.candidates import candidates
+    from cartwheel.operators.candidates import all_candidates
 
-    out = None
-    for target in targets:
-        found = retain(label(candidates(contexts, matrices, popular, target, budget, **options), labels, target), retention)
-        out = found if out is None else out.unionByName(found)
-    return build(out, contexts)
+    found = all_candidates(contexts, matrices, popular, labels, targets, budget, **options)
+    return build(retain(found, retention), contexts)

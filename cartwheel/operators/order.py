@@ -22,10 +22,11 @@ def tail(events: DataFrame, n: int | None) -> DataFrame:
     return events.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= n).drop("_r")
 
 
-def recency(events: DataFrame, order: tuple[str, ...] = BY_TIME) -> DataFrame:
-    """(session, aid, rank): distinct items, that of the latest event first."""
-    last = indexed(events, order).groupBy("session", "aid").agg(F.max("i").alias("last"))
-    return last.select("session", "aid", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("last"))).cast("long").alias("rank"))
+def recency(events: DataFrame, order: tuple[str, ...] = BY_TIME, counted: str | None = None) -> DataFrame:
+    """(session, aid, rank): distinct items, that of the latest event first; ``counted`` names a column of their events."""
+    last = indexed(events, order).groupBy("session", "aid").agg(F.max("i").alias("last"), *([F.count(F.lit(1)).alias(counted)] if counted else []))
+    rank = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("last"))).cast("long").alias("rank")
+    return last.select("session", "aid", rank, *([counted] if counted else []))
 
 
 def head(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:

@@ -6,11 +6,12 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_sessions import events
 
 from cartwheel import schemas
 from cartwheel.operators import candidates as cand
-from cartwheel.operators import covisit, features, metrics, sampling, submission, vectors
+from cartwheel.operators import covisit, features, matrix_store, metrics, sampling, sequences, submission, vectors
 from cartwheel.operators.popularity import popularity
 
 T0 = 1_659_304_800_000
@@ -98,6 +99,97 @@ def test_legacy_sources_and_budgets(spark):
     assert set(ranked(cand.candidates(own, two, popular(spark), "clicks", 10, history_budget=0, covisit_budget=2))) == {20, 30}
 
 
+def test_legacy_order_decides_who_gets_the_remainder(spark):
+    assert cand.LEGACY_SEEDS["orders"] == ("carts_orders", "buy_to_buy", "time_decay", "all_to_buy", "recent_trend")
+    own = events(spark, (1, 10, 0, "C"))
+    near = lambda base: [(10, base + k, k + 1) for k in range(60)]
+    names = ("carts_orders", "buy_to_buy", "time_decay", "all_to_buy", "recent_trend")
+    for given, budget in ((names[1:], 181), (names, 182)):
+        matrices = matrix_of(spark, **{n: near(100 * (k + 1)) for k, n in enumerate(given)})
+        rows = cand.legacy_inputs(own, matrices, popular(spark), ("orders",), covisit_budget=budget)
+        counts = {r["source"]: r["count"] for r in rows.groupBy("source").count().collect()}
+        assert counts == {"history": 1, **{n: q for n, q in zip(given, cand.quotas(budget, len(given)), strict=True)}}
+        assert counts[given[0]] == budget // len(given) + 1
+
+
+@pytest.mark.parametrize("given", ["clicks_all_to_all", "adjacent_clicks"])
+def test_targets_without_a_matrix_keep_history_and_popularity(spark, given):
+    own = events(spark, (1, 10, 0, "C"))
+    matrices = matrix_of(spark, **{given: [(10, 20, 1)]})
+    assert set(ranked(cand.candidates(own, matrices, popular(spark, 40), "carts", 10))) == {10, 40}
+    assert set(ranked(cand.candidates(own, matrices, popular(spark, 40), "clicks", 10))) == {10, 20, 40}
+
+
+def test_whole_sessions_and_blocks_make_the_same_pairs(spark):
+    rng = random.Random(9)
+    own = covisit.indexed(events(spark, *[(s, rng.randint(1, 9), rng.randint(0, 40) * 500, rng.choice("CAO")) for s in range(5) for _ in range(30)]))
+    for rule in (*covisit.PUBLIC, *covisit.LEGACY):
+        each = [sorted(tuple(sorted(r.asDict().items())) for r in covisit.pairs(own, rule, n).collect()) for n in (30, None)]
+        assert each[0] == each[1] and each[0]
+
+
+def test_negatives_are_drawn_at_their_rate(spark):
+    rows = spark.range(200_000).selectExpr("id div 100 AS session", "cast(id % 100 AS int) AS aid", "0 AS label")
+    for rate in (0.05, 0.25, 0.4):
+        got = sampling.sample_negatives(rows, rate).count() / 200_000
+        assert abs(got - rate) < 4 * (rate * (1 - rate) / 200_000) ** 0.5
+    few = sampling.sample_negatives(rows, 0.25).groupBy("session").count().agg({"count": "stddev"}).first()[0]
+    assert 3.5 < few < 5.2  # like independent draws of 100 at 0.25: 4.33
+
+
+def test_query_tiles_equal_the_broadcast(spark):
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(60)], "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    a, b = (sorted(tuple(r) for r in vectors.nearest(rows, asked, 4, limit).collect()) for limit in (1 << 20, 100))
+    assert a == b and len(a) == 48
+
+
+def test_trained_quantizer_equals_plain_k_means(spark):
+    rng = random.Random(3)
+    points = [[rng.random() for _ in range(3)] for _ in range(50)]
+    rows = spark.createDataFrame(list(enumerate(points)), "vec_id long, embedding array<double>")
+    books = vectors.train_quantizer(rows, levels=2, clusters=4, iterations=3)
+    gap = lambda x, c: sum((p - q) ** 2 for p, q in zip(x, c, strict=True))
+    left = points
+    for level, book in enumerate(books):
+        order = [r["vec_id"] for r in rows.orderBy(F.xxhash64("vec_id", F.lit(2026 + level)), "vec_id").limit(4).collect()]
+        plain = [left[i] for i in order]
+        for _ in range(3):
+            code = [min(range(4), key=lambda k: (gap(x, plain[k]), k)) for x in left]
+            for k in set(code):
+                own = [x for x, c in zip(left, code, strict=True) if c == k]
+                plain[k] = [sum(d) / len(own) for d in zip(*own, strict=True)]
+        assert all(a == pytest.approx(b) for a, b in zip(book, plain, strict=True))
+        code = [min(range(4), key=lambda k: (gap(x, book[k]), k)) for x in left]
+        left = [[p - q for p, q in zip(x, book[c], strict=True)] for x, c in zip(left, code, strict=True)]
+        if level == 1:
+            got = {r["vec_id"]: r["codes"][1] for r in vectors.encode(rows, books).collect()}
+            assert got == dict(enumerate(code))
+
+
+def test_matrix_store_looks_items_up(spark):
+    matrix = spark.createDataFrame([(10, 20, 2.0, 1), (10, 30, 1.0, 2), (20, 30, 1.0, 1)], "source_aid int, target_aid int, weight double, rank long")
+    spark.sql("DROP TABLE IF EXISTS test_store")
+    assert matrix_store.build(matrix, "test_store", 4) == {"partitions": 4, "source_aids": 2, "neighbors": 3}
+    assert matrix_store.neighbours(spark, "test_store", 10) == [(20, 2.0, 1), (30, 1.0, 2)]
+    assert matrix_store.neighbours(spark, "test_store", 999) == []
+    assert matrix_store.lookup(spark, "test_store", spark.createDataFrame([(20,), (20,), (7,)], "aid int")).count() == 1
+    with pytest.raises(ValueError):
+        matrix_store.build(matrix, "test_store", 4)
+    spark.sql("DROP TABLE test_store")
+
+
+def test_retriever_contract(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [3.0, 3.0])], "aid int, item_vector array<double>")
+    own = sequences.prepare(events(spark, (1, 1, 0, "C"), (1, 1, 1, "C"), (2, 2, 0, "C"), (2, 1, 1, "C")), 4)
+    model = sequences.MeanRetriever(items)
+    got = {(r["session"], r["rank"]): (r["aid"], round(r["score"], 6)) for r in sequences.retrieve(model, own, "clicks", 2).collect()}
+    assert got == {(1, 1): (1, 1.0), (1, 2): (3, 0.707107), (2, 1): (3, 1.0), (2, 2): (1, 0.707107)}
+    pairs = spark.createDataFrame([(1, 2), (2, 3)], "session long, aid int")
+    assert {r["session"]: round(r["score"], 6) for r in sequences.score(model.encode(own, "clicks"), pairs, model.item_vectors()).collect()} == {1: 0.0, 2: 1.0}
+
+
 def test_baseline(spark):
     own = events(spark, (1, 1, 0, "C"))
     near = spark.createDataFrame([(1, 2, 4.0, 1)], "source_aid int, target_aid int, weight double, rank long")
