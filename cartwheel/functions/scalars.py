@@ -21,9 +21,18 @@ def fixed(value: Column, unit: float) -> Column:
     return F.floor(value * F.lit(unit) + F.lit(0.5)).cast("long")
 
 
+#: Range of ``portable_hash``.
+HASH_RANGE = 1 << 31
+
+
 def portable_hash(key: Column, seed: int) -> Column:
-    """Fifteen well-mixed bits of an id, the same in any SQL engine."""
-    return F.floor(F.pmod(key * F.lit(1103515245).cast("long") + F.lit(12345 + seed * 1_013_904_223).cast("long"), F.lit(1 << 31).cast("long")) / F.lit(65536)).cast("long")
+    """Thirty-one well-mixed bits of an id, the same in any SQL engine; keys beyond that fold."""
+    turn = lambda x: F.pmod(x * F.lit(73_244_475).cast("long"), F.lit(HASH_RANGE).cast("long"))
+    first = F.pmod(key, F.lit(HASH_RANGE - 1).cast("long")) * F.lit(1_103_515_245).cast("long") + F.lit(12_345 + seed * 1_013_904_223).cast("long")
+    a = F.pmod(first, F.lit(HASH_RANGE).cast("long"))
+    b = turn(a.bitwiseXOR(F.shiftright(a, 16)))
+    c = turn(b.bitwiseXOR(F.shiftright(b, 15)))
+    return c.bitwiseXOR(F.shiftright(c, 16))
 
 
 def length_bucket(length: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwheel.functions.scalars import portable_hash
+from cartwheel.functions.scalars import HASH_RANGE, portable_hash
 
 
 def limit_ranks(rows: DataFrame, limit: int, keep_positives: bool = True) -> DataFrame:
@@ -30,8 +30,8 @@ def sample_negatives(rows: DataFrame, rate: float | None, seed: int = 2026) -> D
     """All positives, and a share of the others drawn by a hash of (session, aid)."""
     if rate is None or rate >= 1.0:
         return rows
-    key = F.pmod(portable_hash(F.col("session") * 31 + F.col("aid"), seed), F.lit(10_000))
-    return rows.where((F.col("label") > 0) | (key < int(rate * 10_000)))
+    key = portable_hash(portable_hash(F.col("session"), seed) * 31 + F.col("aid"), seed)
+    return rows.where((F.col("label") > 0) | (key < int(rate * HASH_RANGE)))
 
 
 def positive_groups(rows: DataFrame) -> DataFrame:
@@ -56,4 +56,5 @@ def refit_union(windows: list[DataFrame], target: str, limit: int, queries: int
 
 
 def group_sizes(rows: DataFrame, column: str = "session") -> DataFrame:
+    """(column, n): rows of each group."""
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))

@@ -4,63 +4,65 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import dataclass, field
-from pathlib import Path
+import sys
+import time
+from collections.abc import Callable
 from typing import Any
 
+from pyspark.sql import SparkSession
+
+from cartwheel.sources import store
+
 
 def stable_hash(value: Any) -> str:
     """SHA-256 of the value's JSON with sorted keys and no blanks."""
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
 
 
-@dataclass
-class Manifest:
-    """What a stage was made from, and what it reports."""
+def save_report(spark: SparkSession, path: str, report: Any) -> None:
+    store.write_text(spark, path, json.dumps(report, indent=2, sort_keys=True, default=str))
+
 
-    stage: str
-    spec: str
-    result: dict[str, Any] = field(default_factory=dict)
+def _manifest(spark: SparkSession, folder: str) -> dict[str, Any] | None:
+    path = f"{folder}/manifest.json"
+    return json.loads(store.read_text(spark, path)) if store.exists(spark, path) else None
 
-    def write(self, folder: Path) -> None:
-        folder.mkdir(parents=True, exist_ok=True)
-        part = folder / "manifest.json.tmp"
-        part.write_text(json.dumps({"stage": self.stage, "spec": self.spec, "result": self.result}, indent=2, sort_keys=True))
-        part.replace(folder / "manifest.json")
 
-    @staticmethod
-    def read(folder: Path) -> Manifest | None:
-        path = folder / "manifest.json"
-        return Manifest(**json.loads(path.read_text())) if path.exists() else None
+def console(stage: str, state: str, seconds: float) -> None:
+    """Progress on standard error: a line for each stage, rewritten on a terminal."""
+    live = sys.stderr.isatty()
+    end = "\n" if state != "running" or not live else "\r"
+    if live or state != "running":
+        print(f"{stage:<40} {state:<8} {seconds:7.1f} s", end=end, file=sys.stderr, flush=True)
 
 
-def is_subset(part: Any, whole: Any) -> bool:
-    """Whether every key of ``part`` has the same value in ``whole``, at any depth."""
-    if isinstance(part, dict):
-        return isinstance(whole, dict) and all(k in whole and is_subset(v, whole[k]) for k, v in part.items())
-    return part == whole
+def silent(stage: str, state: str, seconds: float) -> None:
+    """Progress that nobody asked for."""
 
 
 class Run:
-    """A folder of stages; a stage that is finished for the same spec is read again."""
+    """A folder of stages, in any store; a stage that is finished for the same spec is read again."""
 
-    def __init__(self, folder: str | Path, spec: dict[str, Any]):
-        self.folder, self.spec = Path(folder), stable_hash(spec)
+    def __init__(self, spark: SparkSession, folder: str, spec: dict[str, Any], progress: Callable[[str, str, float], None] = silent):
+        self.spark, self.folder, self.spec, self.progress = spark, str(folder).rstrip("/"), stable_hash(spec), progress
         self.reused: list[str] = []
         self.made: list[str] = []
-        own = Manifest.read(self.folder)
-        if own and own.spec != self.spec:
+        own = _manifest(spark, self.folder)
+        if own and own["spec"] != self.spec:
             raise ValueError("the folder holds a run of another specification")
-        Manifest("run", self.spec, {"spec": spec}).write(self.folder)
+        save_report(spark, f"{self.folder}/manifest.json", {"stage": "run", "spec": self.spec, "result": {"spec": spec}})
 
-    def stage(self, name: str, make) -> tuple[Path, dict[str, Any]]:
+    def stage(self, name: str, make: Callable[[str], dict[str, Any] | None]) -> tuple[str, dict[str, Any]]:
         """``make(folder)`` writes the stage's tables and returns its report."""
-        folder = self.folder / name
-        done = Manifest.read(folder)
-        if done and done.spec == self.spec:
+        folder, begun = f"{self.folder}/{name}", time.monotonic()
+        done = _manifest(self.spark, folder)
+        if done and done["spec"] == self.spec:
             self.reused.append(name)
-            return folder, done.result
+            self.progress(name, "reused", 0.0)
+            return folder, done["result"]
+        self.progress(name, "running", 0.0)
         result = make(folder) or {}
-        Manifest(name, self.spec, result).write(folder)
+        save_report(self.spark, f"{folder}/manifest.json", {"stage": name, "spec": self.spec, "result": result})
         self.made.append(name)
+        self.progress(name, "done", time.monotonic() - begun)
         return folder, result

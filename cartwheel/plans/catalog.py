@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -167,6 +171,40 @@ def _submission(spark: SparkSession, d: str) -> DataFrame:
     return submission.submission(queries, submission.rules_predictions(rows), _popular(spark, d))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; a machine's own only where it is the whole cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="cartwheel-catalog-")
+        atexit.register(shutil.rmtree, folder, True)
+        shared = f"file://{folder}"
+    return f"{shared.rstrip('/')}/catalog/{name}-{uuid.uuid4().hex}"
+
+
+def _jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions written as JSON lines, read again and flattened."""
+    path = _scratch(spark, "sessions")
+    sessions.nest(_events(spark, d)).write.json(path)
+    return sessions.flatten(sessions.read_sessions(spark, path)).drop("pos")
+
+
+def _windows(field: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        made = split.two_windows(_events(spark, d))
+        first, second = (getattr(made[w], field).withColumn("win", F.lit(w)) for w in ("ranker_train", "local_validation"))
+        return first.unionByName(second)
+
+    return run
+
+
+def _submission_csv(spark: SparkSession, d: str) -> DataFrame:
+    path = _scratch(spark, "submission")
+    submission.write_csv(_submission(spark, d), path)
+    return spark.read.option("header", True).csv(path)
+
+
 def _prefix(spark: SparkSession, d: str) -> DataFrame:
     """The feature of a prefix of 100 sessions, here by session id."""
     events = _events(spark, d)
@@ -195,7 +233,7 @@ def _ramp(spark: SparkSession, d: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     own = order.indexed(order.tail(_events(spark, d), 30))
-    return covisit.pairs(own, _rule("carts_orders"))
+    return covisit.pairs(own, _rule("carts_orders"), 30)
 
 
 def _lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -227,11 +265,17 @@ def _refit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    """A ranker for each target, two rounds each, and its best 20 of all candidate lists."""
     from cartwheel.operators import ranker
 
-    rows, view = _rows(spark, d)
-    model = ranker.train(sampling.positive_groups(rows.where("target = 'clicks'")), rounds=3, max_depth=3)
-    return submission.score_predictions(model.score(rows.where("target = 'clicks'")))
+    rows, _ = _rows(spark, d)
+    tops = []
+    for target in schemas.TYPES:
+        own = rows.where(F.col("target") == target)
+        good = sampling.positive_groups(sampling.read_target(own, target, 80, None, True, 0.25))
+        model = ranker.train(good, rounds=2, max_depth=3)
+        tops.append(submission.score_predictions(model.score(own)))
+    return tops[0].unionByName(tops[1]).unionByName(tops[2])
 
 
 def _sequences(spark: SparkSession, d: str) -> DataFrame:
@@ -247,6 +291,9 @@ def queries() -> dict[str, Query]:
         "ingest_counts": _ingest_counts,
         "session_prefix_limit": _prefix,
         "events_union": lambda s, d: sessions.concatenate(_events(s, d), _users(s, d)),
+        "jsonl_flatten": _jsonl,
+        "two_windows_contexts": _windows("query_contexts"),
+        "two_windows_labels": _windows("labels"),
         "max_ts": lambda s, d: _events(s, d).agg(F.max("ts").alias("max_ts")),
         "known_aids": _known,
         "event_index": lambda s, d: order.indexed(_events(s, d)),
@@ -287,6 +334,7 @@ def queries() -> dict[str, Query]:
         "refit_union": _refit,
         "rules_top20": lambda s, d: submission.rules_predictions(_features(s, d)),
         "submission_rows": _submission,
+        "submission_csv": _submission_csv,
         "knn_cosine": _knn,
         "sequence_prep": _sequences,
         "rq_encode": _rq,

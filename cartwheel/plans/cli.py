@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from pathlib import Path
 
 from cartwheel.plans import config
 
@@ -50,8 +49,10 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--config")
     p.add_argument("--max-sessions", type=int)
     p.add_argument("--allow-low-score", action="store_true")
+    p.add_argument("--no-progress", action="store_true")
     p = add("run", "train", "test", "sample", "folder", help="train, infer and write a submission")
     p.add_argument("--config")
+    p.add_argument("--no-progress", action="store_true")
     add("smoke", help="three sessions end to end")
     return top
 
@@ -63,7 +64,7 @@ def _config(path: str | None) -> config.Config:
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
     if a.command == "check-config":
-        print(json.dumps(config.load(a.config).model_dump(mode="json"), indent=2))
+        print(json.dumps(config.load(a.config).as_dict(), indent=2))
         return 0
     if a.command == "diagnostics":
         import pyspark
@@ -71,12 +72,13 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps({"python": sys.version.split()[0], "pyspark": pyspark.__version__}))
         return 0
     from cartwheel import schemas
-    from cartwheel.operators import covisit, features, ranker, sampling, split
+    from cartwheel.operators import covisit, features, matrix_store, ranker, sampling, split
     from cartwheel.operators.popularity import popularity
-    from cartwheel.plans import pipeline
-    from cartwheel.sources import sessions
+    from cartwheel.plans import artifacts, pipeline
+    from cartwheel.sources import sessions, store
 
     spark = _session()
+    progress = artifacts.silent if getattr(a, "no_progress", True) else artifacts.console
     if a.command == "preprocess":
         raw = sessions.read_sessions(spark, a.source, a.max_sessions)
         sessions.write_events(sessions.flatten(raw), a.destination)
@@ -86,7 +88,7 @@ def main(argv: list[str] | None = None) -> int:
         views = {"": split.global_view(events, int(a.cutoff), a.label_end)} if a.command == "split" else split.two_windows(events, a.days, strategy=a.strategy)
         for name, view in views.items():
             for part in view._fields:
-                getattr(view, part).write.parquet(str(Path(a.destination) / name / part))
+                getattr(view, part).write.parquet("/".join(x for x in (a.destination, name, part) if x))
     elif a.command == "build-covisitation":
         rule = next(r for r in covisit.rules(a.profile) if r.name == a.rule)
         covisit.matrix(sessions.read_events(spark, a.events), rule, a.max_neighbors, a.max_events).write.parquet(a.destination)
@@ -94,9 +96,9 @@ def main(argv: list[str] | None = None) -> int:
         for name, matrix in covisit.suite(sessions.read_events(spark, a.events), a.profile, a.max_neighbors, a.max_events).items():
             matrix.write.parquet(f"{a.destination}/{name}")
     elif a.command == "build-matrix-store":
-        spark.read.parquet(a.matrix).write.bucketBy(a.buckets, "source_aid").sortBy("source_aid", "rank").saveAsTable(a.destination)
+        print(json.dumps(matrix_store.build(spark.read.parquet(a.matrix), a.destination, a.buckets)))
     elif a.command == "materialize-candidates":
-        matrices = {p.name: spark.read.parquet(str(p)) for p in sorted(Path(a.matrices).iterdir()) if p.is_dir()}
+        matrices = {name: spark.read.parquet(f"{a.matrices}/{name}") for name in store.folders(spark, a.matrices)}
         labels = spark.read.parquet(a.labels) if a.labels else None
         popular = popularity(sessions.read_events(spark, a.events))
         features.materialize(sessions.read_events(spark, a.contexts), matrices, popular, labels, retention=a.retention).write.partitionBy("target").parquet(a.destination)
@@ -107,9 +109,9 @@ def main(argv: list[str] | None = None) -> int:
             if not own.isEmpty():
                 ranker.train(own, a.rounds).save(f"{a.destination}/{target}")
     elif a.command == "run-validation":
-        print(json.dumps(pipeline.run_validation(spark, a.source, a.folder, _config(a.config), a.max_sessions, a.allow_low_score)))
+        print(json.dumps(pipeline.run_validation(spark, a.source, a.folder, _config(a.config), a.max_sessions, a.allow_low_score, progress)))
     elif a.command == "run":
-        print(json.dumps(pipeline.run_full(spark, a.train, a.test, a.sample, a.folder, _config(a.config))))
+        print(json.dumps(pipeline.run_full(spark, a.train, a.test, a.sample, a.folder, _config(a.config), progress=progress)))
     else:
         print(json.dumps(pipeline.run_smoke(spark)))
     return 0

@@ -18,7 +18,10 @@ def _fx(x: str, unit: str = "1e12") -> str:
 
 
 def _hash(key: str, seed: int) -> str:
-    return f"((({key}) * 1103515245 + {12345 + seed * 1_013_904_223}) % 2147483648) // 65536"
+    a = f"((({key}) % 2147483647) * 1103515245 + {12345 + seed * 1_013_904_223}) % 2147483648"
+    turn = lambda x, n: f"list_transform([{x}], lambda h: xor(h, h >> {n}) * 73244475 % 2147483648)[1]"
+    last = turn(turn(a, 16), 15)
+    return f"list_transform([{last}], lambda h: xor(h, h >> 16))[1]"
 
 
 def _pairs(own: str, sources: str, targets: str, reach: int, seconds: int, weight: str = "1.0", forward: bool = False) -> str:
@@ -157,6 +160,12 @@ def _legacy(target: str) -> dict[str, str]:
     return {f"{p}_in": " UNION ALL ".join(parts), f"{p}_cand": _fuse(f"{p}_in", 250)}
 
 
+# The window before: the same expressions one week earlier.
+_WINDOW = ("x_cut", "x_train", "x_known", "x_qev", "x_qk", "x_ctx", "x_lab")
+for _n in _WINDOW:
+    CTES[f"{_n}1"] = re.sub(rf"\b({'|'.join(_WINDOW)})\b", r"\g<1>1", CTES[_n])
+CTES["x_cut1"] = f"SELECT max(ts) - {2 * DAYS7} AS c, max(ts) - {DAYS7} AS e FROM x_ev"
+
 for _t in ("clicks", "carts", "orders"):
     CTES |= _public(_t) | _legacy(_t)
 
@@ -232,7 +241,10 @@ def queries() -> dict[str, str]:
         "events_retail": "SELECT session, aid, ts, type, pos FROM x_retail",
         "ingest_counts": "SELECT count(DISTINCT session) AS sessions, count(*) AS events FROM x_ev",
         "session_prefix_limit": "SELECT session, aid, ts, type, pos FROM x_ev WHERE session IN (SELECT DISTINCT session FROM x_ev ORDER BY session LIMIT 100)",
-        "events_union": "SELECT session, aid, ts, type, pos FROM x_ev UNION ALL SELECT session, aid, ts, type, pos + 72057594037927936 FROM x_user",
+        "events_union": "SELECT session, aid, ts, type, pos FROM x_ev UNION ALL SELECT session, aid, ts, type, pos + 1 + (SELECT max(pos) FROM x_ev) FROM x_user",
+        "jsonl_flatten": "SELECT session, aid, ts, type FROM x_ev",
+        "two_windows_contexts": "SELECT 'ranker_train' AS win, * FROM x_ctx1 UNION ALL SELECT 'local_validation', * FROM x_ctx",
+        "two_windows_labels": "SELECT 'ranker_train' AS win, * FROM x_lab1 UNION ALL SELECT 'local_validation', * FROM x_lab",
         "max_ts": "SELECT max(ts) AS max_ts FROM x_ev",
         "known_aids": f"""SELECT DISTINCT c AS cutoff, aid FROM (SELECT cc.c, x_ev.*, count(*) OVER (PARTITION BY cc.c, session) AS n FROM x_ev JOIN x_first USING (session),
             (SELECT c FROM x_cut UNION ALL SELECT c - {DAYS7} FROM x_cut) cc WHERE f <= cc.c AND ts < cc.c) WHERE n >= 2""",
@@ -277,13 +289,14 @@ def queries() -> dict[str, str]:
             (SELECT session FROM x_feat WHERE target = 'orders' AND (candidate_rank <= 80 OR label > 0) GROUP BY session HAVING sum(label) > 0 ORDER BY {_hash('session', 2026)}, session LIMIT 50)
             UNION SELECT session, target, aid, label, candidate_rank FROM x_feat WHERE target = 'orders' AND label > 0 AND session IN
             (SELECT session FROM x_feat WHERE target = 'orders' AND (candidate_rank <= 80 OR label > 0) GROUP BY session HAVING sum(label) > 0 ORDER BY {_hash('session', 2026)}, session LIMIT 50)""",
-        "sample_negatives": f"SELECT session, target, aid, label, candidate_rank FROM x_feat WHERE target = 'clicks' AND (label > 0 OR (candidate_rank <= 80 AND ({_hash('session * 31 + aid', 2026)}) % 10000 < 500))",
+        "sample_negatives": f"SELECT session, target, aid, label, candidate_rank FROM x_feat WHERE target = 'clicks' AND (label > 0 OR (candidate_rank <= 80 AND {_hash(_hash('session', 2026) + ' * 31 + aid', 2026)} < 107374182))",
         "positive_groups": "SELECT session, target, aid, label, candidate_rank FROM x_feat WHERE target = 'carts' AND session IN (SELECT session FROM x_feat WHERE target = 'carts' GROUP BY session HAVING sum(label) > 0)",
         "refit_union": "SELECT g || ':' || session AS query_group, session, aid, label, candidate_rank FROM x_feat, (SELECT unnest(['0', '1']) AS g) WHERE target = 'carts' AND (candidate_rank <= 80 OR label > 0) AND session IN (SELECT session FROM x_feat WHERE target = 'carts' GROUP BY session HAVING sum(label) > 0)",
         "rules_top20": "SELECT session, target, aid, CAST(-rank AS DOUBLE) AS score, rank FROM x_top",
         "submission_rows": """SELECT session || '_' || target AS session_type, string_agg(aid, ' ' ORDER BY r) AS labels FROM (
             SELECT session, target, aid, row_number() OVER (PARTITION BY session, target ORDER BY min(o)) AS r FROM (SELECT session, target, aid, rank AS o FROM x_top
             UNION ALL SELECT session, x_subq.target, aid, 1000000 + rank FROM x_subq JOIN x_pop ON x_pop.target = x_subq.target) GROUP BY session, target, aid QUALIFY r <= 20) GROUP BY session, target""",
+        "submission_csv": "@submission_rows",
         "knn_cosine": f"""SELECT query_id, vec_id, round(similarity, 9) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (
             SELECT a.vec_id AS query_id, b.vec_id, {cosine} AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) QUALIFY rank <= 10""",
         "sequence_prep": "SELECT session, list(aid ORDER BY i) AS aids, list(type ORDER BY i) AS types, CAST(count(*) AS BIGINT) AS length FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, pos) AS i, row_number() OVER (PARTITION BY session ORDER BY ts DESC, pos DESC) AS back FROM x_user) WHERE back <= 12 GROUP BY session",
@@ -295,6 +308,7 @@ def queries() -> dict[str, str]:
     for t in ("clicks", "carts", "orders"):
         for kind, p in (("public", "x_p"), ("legacy", "x_l")):
             out[f"cand_{kind}_{t}"] = f"SELECT session, aid, score, best_rank, list_transform(evidence, lambda e: e.source) AS sources, candidate_rank FROM {p}{t}_cand"
+    out = {k: out[v[1:]] if v.startswith("@") else v for k, v in out.items()}
     return {k: _merge(v) for k, v in out.items()}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,16 +17,24 @@ _KINDS = {"click": "clicks", "view": "clicks", "signup": "carts", "purchase": "o
 def read_sessions(spark: SparkSession, path: str, max_sessions: int | None = None) -> DataFrame:
     """(line, session, events) of a JSON-lines source; malformed records raise.
 
-    ``line`` rises in file order.  ``max_sessions`` keeps the first lines of the source.
+    ``line`` numbers records from 0 by file name, place in the file and order there, however
+    the scan deals files to partitions.  ``max_sessions`` keeps the first lines, without a sort.
     """
-    df = spark.read.schema(schemas.SESSION).option("mode", "FAILFAST").json(path).withColumn("line", F.monotonically_increasing_id())
-    return df if max_sessions is None else df.orderBy("line").limit(max_sessions)
+    raw = spark.read.schema(schemas.SESSION).option("mode", "FAILFAST").json(path)
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    placed = raw.select("session", "events", *split, F.monotonically_increasing_id().alias("id"))
+    # A row for each split: what comes before it, and its first id.
+    splits = raw.select(*split, F.monotonically_increasing_id().alias("id")).groupBy("file", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("file", "start", (before - F.col("first")).alias("offset"))
+    out = placed.join(offsets, ["file", "start"]).select((F.col("id") + F.col("offset")).alias("line"), "session", "events")
+    return out if max_sessions is None else out.where(F.col("line") < max_sessions)
 
 
 def flatten(sessions: DataFrame) -> DataFrame:
-    """One row per event; ``pos`` keeps the order of lines and of events in a line."""
+    """One row per event; ``pos`` keeps the order of lines and of events in a line (2**24 at most)."""
     rows = sessions.select("session", "line", F.posexplode("events").alias("k", "e"))
-    return rows.select("session", F.col("e.aid").alias("aid"), F.col("e.ts").alias("ts"), checked_type(F.col("e.type")).alias("type"), (F.shiftleft(F.col("line"), 20) + F.col("k")).alias("pos"))
+    return rows.select("session", F.col("e.aid").alias("aid"), F.col("e.ts").alias("ts"), checked_type(F.col("e.type")).alias("type"), (F.shiftleft(F.col("line"), 24) + F.col("k")).alias("pos"))
 
 
 def counts(sessions: DataFrame) -> DataFrame:
@@ -40,13 +49,19 @@ def nest(events: DataFrame) -> DataFrame:
     return rows.select("session", F.transform("e", lambda x: F.struct(x["aid"].alias("aid"), x["ts"].alias("ts"), x["type"].alias("type"))).alias("events"))
 
 
-def fingerprint(path: str) -> str:
-    """SHA-256 of a local file's bytes, read in blocks."""
-    digest = hashlib.sha256()
-    with open(path, "rb") as source:
-        while block := source.read(1 << 20):
-            digest.update(block)
-    return digest.hexdigest()
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """SHA-256 over name, size and time of change of a source's files, in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    files, todo = [], list(found or [])
+    while todo:
+        status = todo.pop()
+        if status.isDirectory():
+            inner = status.getPath()
+            todo += list(inner.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(inner))
+        else:
+            files.append([status.getPath().toString(), status.getLen(), status.getModificationTime()])
+    return hashlib.sha256(json.dumps(sorted(files)).encode()).hexdigest()
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -58,11 +73,13 @@ def write_events(events: DataFrame, path: str, mode: str = "errorifexists") -> N
 
 
 def concatenate(*tables: DataFrame) -> DataFrame:
-    """All rows in the order of the tables: ``pos`` of later tables comes after."""
-    out = None
+    """All rows in the order of the tables: ``pos`` of a table begins after the greatest of the one before."""
+    out, begin = None, 0
     for k, table in enumerate(tables):
-        part = table.select("session", "aid", "ts", "type", (F.lit(k << 56).cast("long") + F.col("pos")).alias("pos"))
+        part = table.select("session", "aid", "ts", "type", (F.lit(begin).cast("long") + F.col("pos")).alias("pos"))
         out = part if out is None else out.unionByName(part)
+        if k < len(tables) - 1:
+            begin += (table.agg(F.max("pos")).first()[0] or 0) + 1
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 
@@ -38,6 +39,29 @@ def test_ingest_counts_order_and_limit(spark, tmp_path):
     assert sessions.counts(first).first().asDict() == {"sessions": 2, "events": 2}
 
 
+def test_lines_follow_file_names_and_places(spark, tmp_path):
+    rng, want = random.Random(1), []
+    for k in range(13):
+        rows = [(100 * k + i, [{"aid": len(want) + i, "ts": 1, "type": "clicks"}]) for i in range(rng.randint(1, 60))]
+        (tmp_path / f"part-{k:02d}.jsonl").write_text("".join(json.dumps({"session": s, "events": e}) + "\n" for s, e in rows))
+        want += [e[0]["aid"] for _, e in rows]
+    keys = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        raw = sessions.read_sessions(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 13
+        assert [r["line"] for r in raw.orderBy("line").collect()] == list(range(len(want)))
+        assert [r["aid"] for r in sessions.flatten(raw).orderBy("pos").collect()] == want
+        assert sorted(r["session"] for r in sessions.read_sessions(spark, str(tmp_path), 20).collect()) == sorted(r["session"] for r in raw.orderBy("line").limit(20).collect())
+        twice = sessions.concatenate(sessions.flatten(raw), sessions.flatten(raw))
+        assert [r["aid"] for r in twice.orderBy("pos").collect()] == want + want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_unknown_type_and_malformed_line_raise(spark, tmp_path):
     path = write_json(tmp_path, (7, [(1, 100, "views")]))
     with pytest.raises(Exception, match="unknown event type"):
