@@ -173,12 +173,62 @@ def test_license_scan(spark):
         want = (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places})))
         assert tuple(got[d][c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels")) == want, (d, t)
         assert set(want[4].split(",")) - {""} <= set(got[d]["labels"].split(",")) and 0 <= got[d]["score"] <= 1
-    full = "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
-    one = license_scan.scan(frame(spark, [(1, f"x {full} y"), (2, "cc by nc")])).orderBy("doc_id").collect()
-    assert one[0]["labels"] == "mit" and one[0]["base_labels"] == "" and one[0]["score"] == 1.0
+    full = f"x {license_scan.TEMPLATES[1].words} y"
+    one = license_scan.scan(frame(spark, [(1, full), (2, "licensed under cc by nc 4 0")])).orderBy("doc_id").collect()
+    assert [(r["labels"], r["base_labels"], r["score"]) for r in one] == [("mit", "", 1.0), ("cc-by-nc", "", 1.0)]
     assert license_scan.scan(frame(spark, [(1, "a")]).where("doc_id > 1")).count() == 0
 
 
+def brute_matches(words, rare, look):
+    """Labels and score by trying every template at every start."""
+    templates = license_scan.TEMPLATES
+    seen = Counter(w for t in templates for w in set(t.words.split()))
+    rank = lambda w: (seen[w], w)
+    index = [{w for w in sorted(set(t.words.split()), key=rank)[:rare]} for t in templates]
+    own = set(sorted({w for ws in index for w in ws} & set(words), key=rank)[:look])
+    labels, score = set(), 0.0
+    for t, chosen in zip(templates, index, strict=True):
+        text = t.words.split()
+        places = [i for i, w in enumerate(text) if w in chosen]
+        for start in range(-len(text), len(words)):
+            n = sum(0 <= start + i < len(words) and words[start + i] == text[i] and text[i] in own for i in places)
+            keys = [(license_scan._find(text, k.split()), k.split()) for k in t.keys]
+            if 2 * n >= len(places) and any(start + at >= 0 and words[start + at : start + at + len(k)] == k for at, k in keys):
+                labels.add(t.label)
+                score = max(score, n / len(places))
+    return labels, score
+
+
+@pytest.mark.parametrize("look", [256, 5])
+def test_license_labels_equal_brute_force(spark, look):
+    rng = random.Random(17)
+    rows = []
+    for i in range(60):
+        words = []
+        for _ in range(rng.randint(0, 3)):
+            t = rng.choice(license_scan.TEMPLATES).words.split()
+            a = rng.choice([0, 0, rng.randrange(len(t))])
+            part = [w if rng.random() < 0.9 else rng.choice(["zz", "license", "the"]) for w in t[a : a + rng.randint(3, 40)]]
+            if rng.random() < 0.3:
+                part.insert(rng.randrange(len(part)), "extra")
+            words += [f"w{rng.randrange(99)}" for _ in range(rng.randint(0, 4))] + part
+        rows.append((i if i % 7 else None, f"n{i} " + " ".join(words)))
+    rows += [(500, "license " * 30_000 + license_scan.TEMPLATES[9].words), (501, None), (501, "mit license")]
+    key = lambda t: re.findall(r"\S+", t or "")
+    got = Counter((r["doc_id"], r["n_words"], r["labels"], round(r["score"], 9)) for r in license_scan.scan(frame(spark, rows), look=look).collect())
+    want = Counter()
+    for d, t in rows:
+        words = key(t)
+        if len(words) > 1000:
+            labels, score = ({"bsd"}, 1.0) if look > 5 else brute_matches(words[-60:], 8, look)
+        else:
+            labels, score = brute_matches(words, 8, look)
+        base = {x for p, x in license_scan.BASE.items() if f" {p} " in f" {' '.join(words)} "}
+        want[d, len(words), ",".join(sorted(labels | base)), round(score, 9)] += 1
+    assert (got - want, want - got) == (Counter(), Counter())
+    assert sum("," in x[2] for x in want) > (3 if look > 5 else 0)
+
+
 def test_plans_fill_bins_as_well_as_plain_best_fit():
     rng = random.Random(9)
     for _ in range(120):
