@@ -1,12 +1,17 @@
 """Exact deduplication with a log-structured merge index, in DataFrame operations only.
 
-Each task of a flush is a memtable: it writes its rows as one run, sorted by
-digest, with Parquet's Bloom filter and min/max statistics on the digest.
-Compaction merges runs into one that has a row for each digest with the identifier
-that stays.  A lookup joins digests with the compacted run; the texts of all hits
-are then compared byte by byte (smallest against largest text of a digest, which
-pre-aggregates in every task), and a digest that two texts share is resolved by the
-texts themselves.
+Texts are digested in one pass.  The digests are flushed in bounded slices: a memtable
+merges what its slice repeats and writes a sorted run, a row for each digest with the
+identifier that stays and a count, and a filter of the run, bitmaps of two bits a digest
+in slots.  Compaction merges ``FAN`` runs of a level into one of the next, until one is
+left.  A run's digests are probed against the filters of the others that it is merged
+with: what none of them may hold is copied, and only the rest, repeats and a few false
+alarms, is shuffled and merged.  Hits, digests of several rows, are then verified by their
+texts byte by byte (smallest against largest text of a digest); a digest that two texts
+share is resolved by the texts themselves.
+
+Filters and hits are broadcast only if they measure ``BROADCAST`` bytes or less; beyond
+that they are joined by slot, or by digest dealt to ``SALT`` parts.
 
 Defined results: a null text equals the empty text; a null ``doc_id`` ranks below
 all others; of rows that tie on text and ``doc_id`` exactly one stays; an empty
@@ -15,128 +20,196 @@ table gives an empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_table_path
+from .common import discard, unused, written
 
-#: Parts into which the rows of one digest are dealt for the byte comparison.
+#: Parts into which the rows of one digest are dealt.
 SALT = 32
+#: Digests of a slice at most, and slices at least; runs that are merged at once.
+FLUSH_ROWS, LEAST_FLUSHES, FAN = 1 << 28, 4, 4
+#: Bits of a bitmap, and bits of a filter for each digest, about.
+SLOT_BITS, DIGEST_BITS = 1 << 15, 16
+#: Bytes of a table that may be broadcast.
+BROADCAST = 32 << 20
+#: Bytes of a digest in memory, about.
+DIGEST_BYTES = 64
 
 
 def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+@dataclass
+class Run:
+    """(digest, best, n), a row for each digest, and the filter (slot, bits) of the digests."""
+
+    rows: DataFrame
+    filter: DataFrame
+
+
+def _places(slots: int) -> tuple[Column, Column, Column]:
+    """A digest's slot and its two bits there."""
+    h = F.xxhash64("digest")
+    return F.pmod(h, F.lit(slots)).cast("int"), F.pmod(F.shiftrightunsigned(h, 20), F.lit(SLOT_BITS)), F.pmod(F.shiftrightunsigned(h, 40), F.lit(SLOT_BITS))
+
+
+def _set(bits: str, place: str) -> Column:
+    """Whether a bitmap (null: empty) has the bit at ``place``."""
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(F.col(place) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), F.pmod(F.col(place), F.lit(8))).cast("int")) != 0, F.lit(False))
+
+
 class MergeIndex:
-    """Runs of (digest, doc_id, seq) in the shared folder; ``seq`` numbers rows."""
+    """Runs of digests in the shared folder, by level."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, keep: str = "smallest"):
+    def __init__(self, spark: SparkSession, rows: int, keep: str = "smallest", flush_rows: int = FLUSH_ROWS, fan: int = FAN):
         if keep not in ("smallest", "largest"):
             raise ValueError("keep is 'smallest' or 'largest'")
-        self.spark, self.keep = spark, keep
-        self.path = path or new_table_path(spark, "lsm")
-        self.flushed = 0
-
-    def _write(self, df: DataFrame, where: str) -> None:
-        (
-            df.write.option("compression", "zstd")
-            .option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.adaptive.enabled", "true")
-            .parquet(where)
-        )
-
-    def flush(self, digests: DataFrame) -> None:
-        """Write a generation of sorted runs from (digest, doc_id) rows."""
-        numbered = digests.withColumn("seq", F.monotonically_increasing_id())
-        self._write(numbered.sortWithinPartitions("digest"), f"{self.path}/level0/run={self.flushed}")
-        self.flushed += 1
-
-    def rows(self) -> DataFrame:
-        schema = "digest binary, doc_id long, seq long, run int"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/level0")
+        self.spark, self.keep, self.flush_rows, self.fan, self.count = spark, keep, flush_rows, fan, rows
+        self.slots = 1 << max(0, (rows * DIGEST_BITS // SLOT_BITS).bit_length())
+        self.levels: list[list[Run]] = [[]]
+        #: Rows that compaction copied unshuffled, because no other run's filter had them.
+        self.copied = 0
+
+    def _best(self) -> Column:
+        return (F.max if self.keep == "largest" else F.min)("best")
+
+    def add(self, rows: DataFrame) -> None:
+        """Flush (digest, doc_id, seq) rows in bounded slices."""
+        # (has an id, id, seq) is a total order in which a null id always loses.
+        ranked = F.col("doc_id").isNotNull() if self.keep == "largest" else F.col("doc_id").isNull()
+        own = rows.select("digest", F.struct(ranked.alias("ranked"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "seq").alias("best"), F.lit(1).cast("long").alias("n"))
+        flushes = max(LEAST_FLUSHES, -(-self.count // self.flush_rows))
+        for k in range(flushes):
+            self.flush(own.where(F.pmod(F.xxhash64("best.seq"), F.lit(flushes)) == k))
+
+    def _merge(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("digest").agg(self._best().alias("best"), F.sum("n").alias("n"))
+
+    def flush(self, rows: DataFrame) -> None:
+        """Write a memtable as a sorted run of level 0, with its filter."""
+        slot, one, two = _places(self.slots)
+        merged = self._merge(rows).withColumn("slot", slot)
+        # By slot, so that a bitmap is made in one task and each slot is one stretch of a run.
+        run = written(merged.repartition("slot").sortWithinPartitions("slot", "digest"), "run")
+        bits = run.select("slot", F.explode(F.array(one, two)).alias("bit"))
+        filter_ = written(bits.groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bits")), "filter")
+        self.levels[0].append(Run(run.drop("slot"), filter_))
+        self.levels[0][-1].rows._cartwheel_path = run._cartwheel_path
+
+    def _probed(self, runs: list[Run]) -> DataFrame:
+        """Rows of the runs, and whether the filter of another run has them."""
+        slot, one, two = _places(self.slots)
+        rows = reduce(DataFrame.unionByName, [r.rows.withColumn("run", F.lit(k)) for k, r in enumerate(runs)])
+        filters = reduce(DataFrame.unionByName, [r.filter.withColumn("run", F.lit(k)) for k, r in enumerate(runs)])
+        wide = filters.groupBy("slot").agg(*[F.first(F.when(F.col("run") == k, F.col("bits")), ignorenulls=True).alias(f"b{k}") for k, _ in enumerate(runs)])
+        if self.slots * SLOT_BITS // 8 * len(runs) <= BROADCAST:
+            wide = F.broadcast(wide)
+        met = rows.withColumns({"slot": slot, "one": one, "two": two}).join(wide, "slot", "left")
+        maybe = reduce(lambda a, b: a | b, [(F.col("run") != k) & _set(f"b{k}", "one") & _set(f"b{k}", "two") for k, _ in enumerate(runs)])
+        return met.select("digest", "best", "n", maybe.alias("maybe"))
 
     def compact(self) -> DataFrame:
-        """Merge all runs: a row for each digest with the row that stays and its count."""
-        # (has an id, id, run, seq) is a total order in which a null id always loses.
+        """Merge runs level by level: a row for each digest with the row that stays and its count."""
+        level = 0
+        while True:
+            runs = self.levels[level]
+            if len(runs) == 1 and level == len(self.levels) - 1:
+                break
+            if level == len(self.levels) - 1:
+                self.levels.append([])
+            for at in range(0, len(runs), self.fan):
+                group = runs[at : at + self.fan]
+                if len(group) == 1:
+                    self.levels[level + 1].append(group[0])
+                    continue
+                probed = written(self._probed(group), "probed")
+                plain = probed.where(~F.col("maybe")).drop("maybe")
+                self.copied += plain.count()
+                merged = written(plain.unionByName(self._merge(probed.where("maybe"))), "run")
+                both = reduce(DataFrame.unionByName, [r.filter for r in group])
+                made = Run(merged, written(both.groupBy("slot").agg(F.bitmap_or_agg("bits").alias("bits")), "filter"))
+                discard(probed, *[x for r in group for x in (r.rows, r.filter)])
+                self.levels[level + 1].append(made)
+            self.levels[level] = []
+            level += 1
+        last = self.levels[level][0]
         largest = self.keep == "largest"
-        ranked = F.col("doc_id").isNotNull() if largest else F.col("doc_id").isNull()
-        best = F.struct(ranked.alias("ranked"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "run", "seq")
-        merged = (
-            self.rows()
-            .groupBy("digest")
-            .agg((F.max if largest else F.min)(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
-            .select(
-                "digest",
-                F.when(F.col("best.ranked") == F.lit(largest), F.col("best.id")).alias("keep_id"),
-                F.col("best.run").alias("keep_run"),
-                F.col("best.seq").alias("keep_seq"),
-                "group_size",
-            )
-        )
-        where = f"{self.path}/level1-{self.flushed}"
-        self._write(merged.sortWithinPartitions("digest"), where)
-        return self.spark.read.schema(merged.schema).parquet(where)
-
-
-def _resolve(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """Give each row of the runs its group's outcome."""
-    hits = index.where("group_size > 1")
-    joined = rows.join(hits, "digest", "left")
+        return last.rows.select("digest", F.when(F.col("best.ranked") == F.lit(largest), F.col("best.id")).alias("keep_id"), F.col("best.seq").alias("keep_seq"), F.col("n").alias("group_size"))
+
+
+def _meet(rows: DataFrame, hits: DataFrame, count: int, key: str, how: str, on: str = "digest") -> DataFrame:
+    """``rows`` joined with ``hits`` (a row for each digest) by digest; ``key`` deals equal digests out."""
+    if count * DIGEST_BYTES <= BROADCAST:
+        return rows.join(F.broadcast(hits), on, how)
+    salt = unused("salt", rows, hits)
+    copied = hits.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int")).join(copied, [on, salt], how).drop(salt)
+
+
+def _resolve(rows: DataFrame, hits: DataFrame, count: int) -> DataFrame:
+    """Give each row its group's outcome; a digest that isn't among the hits is its row's alone."""
+    joined = _meet(rows, hits, count, "seq", "left")
     single = F.col("group_size").isNull()
     return joined.select(
         "digest",
         "doc_id",
         F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (single | ((F.col("run") == F.col("keep_run")) & (F.col("seq") == F.col("keep_seq")))).alias("kept"),
+        (single | (F.col("seq") == F.col("keep_seq"))).alias("kept"),
     )
 
 
-def exact_dedup(docs: DataFrame, keep: str = "smallest", digest=sha256_digest) -> DataFrame:
+def _indexed(digests: DataFrame, keep: str, **options) -> tuple[DataFrame, DataFrame, int]:
+    """Numbered (digest, doc_id, seq) rows, the hits among their digests, and how many."""
+    rows = written(digests.withColumn("seq", F.monotonically_increasing_id()), "digests")
+    index = MergeIndex(rows.sparkSession, rows.count(), keep, **options)
+    index.add(rows)
+    compacted = index.compact()
+    hits = written(compacted.where("group_size > 1"), "hits")
+    discard(*[x for level in index.levels for r in level for x in (r.rows, r.filter)])
+    return rows, hits, hits.count()
+
+
+def exact_dedup(docs: DataFrame, keep: str = "smallest", digest=sha256_digest, **options) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     ``digest`` maps the text column to a binary digest; equal digests of different
     texts are found by comparing the texts and never merge them.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     keyed = source.withColumn("digest", digest(F.col("text")))
-    index = MergeIndex(spark, keep=keep)
-    index.flush(keyed.select("digest", "doc_id"))
-    compacted = index.compact()
-    clashing = _clashes(keyed, compacted.where("group_size > 1").select("digest"))
-    out = _resolve(index.rows(), compacted)
+    rows, hits, count = _indexed(keyed.select("digest", "doc_id"), keep, **options)
+    clashing = _clashes(keyed, hits.select("digest"), count)
+    out = _resolve(rows, hits, count)
     if digest is sha256_digest and clashing.isEmpty():
         return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
-    return _with_sha(out, keyed, clashing, keep)
+    return _with_sha(out, keyed, clashing, keep, **options)
 
 
-def _clashes(keyed: DataFrame, hits: DataFrame) -> DataFrame:
-    """Digests that more than one text has: byte verification of every hit."""
-    salted = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    texts = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
-    part = texts.join(salted, ["digest", "salt"]).groupBy("digest", "salt").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
+def _clashes(keyed: DataFrame, hits: DataFrame, count: int) -> DataFrame:
+    """Digests that more than one text has: byte verification of every hit, and of hits alone."""
+    texts = _meet(keyed, hits, count, "doc_id", "inner").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
+    part = texts.groupBy("digest", "salt").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
     spans = part.groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    found = spans.where("lo <> hi").select("digest")
-    path = new_table_path(keyed.sparkSession, "clashes")
-    found.write.parquet(path)
-    return keyed.sparkSession.read.schema(found.schema).parquet(path)
+    return written(spans.where("lo <> hi").select("digest"), "clashes")
 
 
-def _with_sha(out: DataFrame, keyed: DataFrame, clashing: DataFrame, keep: str) -> DataFrame:
+def _with_sha(out: DataFrame, keyed: DataFrame, clashing: DataFrame, keep: str, **options) -> DataFrame:
     """Results where the digest isn't the text's SHA-256 or is shared by several texts.
 
     Clashing digests are grouped anew by the text itself; for the others the text's
     SHA-256 is taken from any text of the digest, all being equal.
     """
-    spark = keyed.sparkSession
     shas = keyed.join(clashing, "digest", "left_anti").groupBy("digest").agg(F.min(F.sha2("text", 256)).alias("text_sha256"))
     plain = out.join(clashing, "digest", "left_anti").join(shas, "digest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
     again = keyed.join(clashing, "digest", "left_semi").select(F.col("text").cast("binary").alias("digest"), "doc_id")
-    index = MergeIndex(spark, keep=keep)
-    index.flush(again)
-    split = _resolve(index.rows(), index.compact())
+    split = _resolve(*_indexed(again, keep, **options))
     return plain.unionByName(split.select("doc_id", "keep_id", "group_size", "kept", F.sha2("digest", 256).alias("text_sha256")))
 
 
@@ -145,13 +218,16 @@ def drop_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
 
     Rows are told apart by doc_id; of rows that tie on doc_id and text one stays.
     """
-    columns = docs.columns
-    text = F.coalesce(F.col("text"), F.lit(""))
-    digest = sha256_digest(text)
-    kept = exact_dedup(docs, keep).where("kept").select(F.col("doc_id").alias("_kept_id"), F.unhex("text_sha256").alias("_digest"))
-    marked = docs.withColumn("_digest", digest)
-    joined = marked.join(kept, (marked["_digest"] == kept["_digest"]) & marked["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
-    return joined.dropDuplicates(["_digest"]).select(*columns)
+    id_, digest, keep_id = (unused(x, docs) for x in ("_id", "_digest", "_keep_id"))
+    none = F.lit(-(1 << 63)).cast("long")
+    found = exact_dedup(docs, keep).where("kept and group_size > 1")
+    stays = written(found.select(F.unhex("text_sha256").alias(digest), F.coalesce("doc_id", none).alias(keep_id)), "stays")
+    marked = docs.withColumns({digest: sha256_digest(F.coalesce(F.col("text"), F.lit(""))), id_: F.coalesce(F.col("doc_id").cast("long"), none)})
+    met = _meet(marked, stays, stays.count(), id_, "left", digest)
+    # Only the rows that stay of groups are shuffled, to leave one of those that tie.
+    alone = met.where(F.col(keep_id).isNull())
+    grouped = met.where(F.col(keep_id) == F.col(id_)).dropDuplicates([digest])
+    return alone.unionByName(grouped).select(*docs.columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

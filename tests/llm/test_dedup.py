@@ -39,6 +39,46 @@ def test_exact_dedup(spark, keep, digest):
     assert Counter(r["text_sha256"] for r in got if r["kept"]) == {hashlib.sha256(t.encode()).hexdigest(): 1 for t in groups}
 
 
+@pytest.mark.parametrize("broadcast", [32 << 20, 0])
+def test_merge_index_flushes_probes_and_compacts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(exact_dedup, "BROADCAST", broadcast)
+    rng = random.Random(5)
+    rows = [(rng.choice([None, rng.randrange(900)]), f"text {rng.choice([0, rng.randrange(700)])}") for _ in range(900)]
+    keyed = frame(spark, rows).select(exact_dedup.sha256_digest(F.col("text")).alias("digest"), "doc_id", F.monotonically_increasing_id().alias("seq"))
+    index = exact_dedup.MergeIndex(spark, 900, "largest", flush_rows=100, fan=3)
+    index.add(keyed)
+    assert [len(x) for x in index.levels] == [9]
+    assert all(r.rows.count() == r.rows.select("digest").distinct().count() for r in index.levels[0])
+    merged = index.compact()
+    assert [len(x) for x in index.levels] == [0, 0, 1] and index.copied > 0
+    groups: dict = {}
+    for d, t in rows:
+        groups.setdefault(hashlib.sha256(t.encode()).digest(), []).append(-1 if d is None else d)
+    got = {bytes(r["digest"]): (-1 if r["keep_id"] is None else r["keep_id"], r["group_size"]) for r in merged.collect()}
+    assert got == {k: (max(v), len(v)) for k, v in groups.items()}
+    out = exact_dedup.exact_dedup(frame(spark, rows), "largest", flush_rows=100, fan=2).collect()
+    assert Counter((r["keep_id"], r["group_size"]) for r in out) == Counter((None if max(v) < 0 else max(v), len(v)) for v in groups.values() for _ in v)
+    assert Counter(r["text_sha256"] for r in out if r["kept"]) == {k.hex(): 1 for k in groups}
+
+
+def test_filters_hold_every_digest(spark):
+    index = exact_dedup.MergeIndex(spark, 5000)
+    index.flush(spark.range(5000).selectExpr("unhex(sha2(cast(id AS string), 256)) AS digest", "named_struct('ranked', false, 'id', id, 'seq', id) AS best", "1L AS n"))
+    index.flush(spark.range(5000, 9000).selectExpr("unhex(sha2(cast(id AS string), 256)) AS digest", "named_struct('ranked', false, 'id', id, 'seq', id) AS best", "1L AS n"))
+    index.flush(spark.range(4000, 5000).selectExpr("unhex(sha2(cast(id AS string), 256)) AS digest", "named_struct('ranked', false, 'id', id, 'seq', id) AS best", "1L AS n"))
+    probed = index._probed(index.levels[0]).groupBy("best.id", "maybe").count().collect()
+    maybe = {r["id"]: r["maybe"] for r in probed}
+    assert all(maybe[k] for k in range(4000, 5000))
+    assert sum(maybe[k] for k in maybe if not 4000 <= k < 5000) < 0.15 * 8000
+
+
+def test_drop_copies_with_clashing_names_and_ties(spark):
+    rows = [(1, "a", "p", b"q", "r"), (1, "a", "p", b"q", "r"), (None, "a", "s", b"t", "u"), (2, None, "v", b"w", "x"), (3, "b", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _digest binary, _keep_id string")
+    got = exact_dedup.drop_copies(docs, "largest")
+    assert got.columns == docs.columns and sorted((tuple(r) for r in got.collect()), key=key) == sorted([rows[0], rows[3], rows[4]], key=key)
+
+
 def test_drop_copies_keeps_columns(spark):
     got = exact_dedup.drop_copies(frame(spark, EDGE), "largest")
     assert got.columns == ["doc_id", "text", "block", "node"]
