@@ -73,8 +73,6 @@ class MergeIndex:
         self.spark, self.keep, self.flush_rows, self.fan, self.count = spark, keep, flush_rows, fan, rows
         self.slots = 1 << max(0, (rows * DIGEST_BITS // SLOT_BITS).bit_length())
         self.levels: list[list[Run]] = [[]]
-        #: Rows that compaction copied unshuffled, because no other run's filter had them.
-        self.copied = 0
 
     def _best(self) -> Column:
         return (F.max if self.keep == "largest" else F.min)("best")
@@ -130,10 +128,11 @@ class MergeIndex:
                     continue
                 probed = written(self._probed(group), "probed")
                 plain = probed.where(~F.col("maybe")).drop("maybe")
-                self.copied += plain.count()
                 merged = written(plain.unionByName(self._merge(probed.where("maybe"))), "run")
                 both = reduce(DataFrame.unionByName, [r.filter for r in group])
-                made = Run(merged, written(both.groupBy("slot").agg(F.bitmap_or_agg("bits").alias("bits")), "filter"))
+                # The last run is not merged any more and needs no filter.
+                more = len(runs) > self.fan or level + 1 < len(self.levels) - 1
+                made = Run(merged, written(both.groupBy("slot").agg(F.bitmap_or_agg("bits").alias("bits")), "filter") if more else both)
                 discard(probed, *[x for r in group for x in (r.rows, r.filter)])
                 self.levels[level + 1].append(made)
             self.levels[level] = []
