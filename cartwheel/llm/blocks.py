@@ -107,6 +107,19 @@ def shared_pairs(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(_shared, "block long, hashes binary, more binary")
 
 
+def shared_counts(rows: DataFrame) -> DataFrame:
+    """Answers (block, hashes, more): shared hashes, and how many blocks have each."""
+    return rows.groupBy("bucket").applyInArrow(_counted, "block long, hashes binary, more binary")
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    every = _numbers(table.column("hashes"))
+    distinct, count = np.unique(every, return_counts=True)
+    shared = _shared(table)
+    more = [count[np.searchsorted(distinct, np.frombuffer(x, np.uint64))].astype(np.uint64).tobytes() for x in shared.column("hashes").to_pylist()]
+    return pa.Table.from_arrays([shared.column("block"), shared.column("hashes"), pa.array(more, pa.binary())], names=["block", "hashes", "more"])
+
+
 def received_pairs(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return _numbers(answers.column("hashes")), _numbers(answers.column("more"))
 

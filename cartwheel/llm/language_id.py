@@ -59,21 +59,21 @@ class Model:
         self.languages, self.grams, self.longest, self.penalty = languages, grams, longest, penalty
         self.first, self.langs, self.above = first, langs, above
 
-    def scores(self, rows: list[int], times: list[int]) -> np.ndarray:
+    def scores(self, rows: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Sum over rows, each taken so many times, for each language."""
-        own, many = np.asarray(rows, np.int64), np.asarray(times, np.float64)
-        low = self.first[own]
-        size = self.first[own + 1] - low
+        low = self.first[rows]
+        size = self.first[rows + 1] - low
         at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return np.bincount(self.langs[at], self.above[at] * np.repeat(many, size), len(self.languages)) - self.penalty * many.sum()
+        return np.bincount(self.langs[at], self.above[at] * np.repeat(times, size), len(self.languages)) - self.penalty * times.sum()
 
-    def unseen(self, word: str) -> np.ndarray:
+    def unseen(self, word: str) -> tuple[int, ...]:
+        """Rows of an unseen word's known n-grams of the greatest length that has any."""
         for n in range(self.longest, 0, -1):
             known = self.grams[n]
-            rows = [known[g] for g in ngrams(word, n) if g in known]
+            rows = tuple(known[g] for g in ngrams(word, n) if g in known)
             if rows:
-                return self.scores(rows, [1] * len(rows)) / len(rows)
-        return np.full(len(self.languages), -self.penalty)
+                return rows
+        return ()
 
 
 class Scorer:
@@ -88,23 +88,32 @@ class Scorer:
         if not words or not model.languages:
             return UNKNOWN, 0.0
         counts = Counter(words)
-        known, memo, rows, times = model.grams[0], self.memo, [], []
-        total = np.zeros(len(model.languages))
-        for word, n in counts.items():
-            row = known.get(word)
-            if row is not None:
-                rows.append(row)
-                times.append(n)
-            else:
-                own = memo.get(word)
-                if own is None:
+        known, memo = model.grams[0].get, self.memo
+        rows = np.fromiter((known(w, -1) for w in counts), np.int64, len(counts))
+        times = np.fromiter(counts.values(), np.float64, len(counts))
+        lost = 0.0
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            # An unseen word counts as the mean of its n-grams: each takes its share.
+            own = list(counts)
+            more: list[int] = []
+            shares: list[float] = []
+            for k, n in zip(missing.tolist(), times[missing].tolist(), strict=True):
+                word = own[k]
+                grams = memo.get(word)
+                if grams is None:
                     if len(memo) >= self.most:
                         memo.clear()
-                    own = memo[word] = model.unseen(word)
-                total += n * own
-        if rows:
-            total += model.scores(rows, times)
-        mean = total / len(words)
+                    grams = memo[word] = model.unseen(word)
+                if grams:
+                    more += grams
+                    shares += [n / len(grams)] * len(grams)
+                else:
+                    lost += n
+            seen = rows >= 0
+            rows = np.concatenate([rows[seen], np.array(more, np.int64)])
+            times = np.concatenate([times[seen], np.array(shares)])
+        mean = (model.scores(rows, times) - model.penalty * lost) / len(words)
         best = int(np.argmax(mean))
         odds = np.exp((mean - mean[best]) * min(len(words), 20))
         return model.languages[best], float(1.0 / odds.sum())
@@ -120,9 +129,11 @@ def train(docs: DataFrame, sample_docs: int = 2500, longest: int = 4, penalty: f
 
     def count(batches):
         for batch in batches:
-            found: Counter = Counter()
+            seen: dict[str, Counter] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                own = Counter(letter_words(text))
+                seen.setdefault(lang, Counter()).update(letter_words(text))
+            found: Counter = Counter()
+            for lang, own in seen.items():
                 for word, k in own.items():
                     found[lang, 0, word] += k
                     for n in range(1, longest + 1):

@@ -8,8 +8,9 @@ votes, by every posting of it, for a template that starts at the place less the
 template that gets half of its postings or more at one start is a match if one of its key
 phrases stands there too, word for word, where the template has it.
 
-Texts are read once: what has licence words goes to a table in the shared folder, and the
-index is looked up from there.  The index is as large as the templates, so it is broadcast.
+Texts are read once: those that have the word of the highest IDF of some phrase, without
+which nothing matches, go to a table in the shared folder, and the index is looked up from
+there.  The index is as large as the templates, so it is broadcast.
 
 Defined results: a null text is empty; a text without licence words has no places, null
 first_word and last_word, empty labels and score 0; the score is the greatest share of a
@@ -87,19 +88,21 @@ class Index:
     postings: tuple[tuple[str, int, int], ...]
     words: tuple[str, ...]
     sizes: tuple[int, ...]
+    #: Of each phrase, key or base, the word of the highest IDF: no match without one of them.
+    anchors: tuple[str, ...]
 
 
-def build_index(templates: tuple[Template, ...], rare: int) -> Index:
+def build_index(templates: tuple[Template, ...], rare: int, phrases: tuple[str, ...] = ()) -> Index:
     seen = Counter(w for t in templates for w in set(t.words.split()))
     idf = {w: math.log(len(templates) / n) for w, n in seen.items()}
-    rank = lambda w: (-idf[w], w)
+    rank = lambda w: (-idf.get(w, math.inf), w)
     postings = []
     for k, t in enumerate(templates):
         own = t.words.split()
         chosen = set(sorted(set(own), key=rank)[:rare])
         postings += [(w, k, i) for i, w in enumerate(own) if w in chosen]
     sizes = Counter(k for _, k, _ in postings)
-    return Index(tuple(postings), tuple(sorted({w for w, _, _ in postings}, key=rank)), tuple(sizes[k] for k in range(len(templates))))
+    return Index(tuple(postings), tuple(sorted({w for w, _, _ in postings}, key=rank)), tuple(sizes[k] for k in range(len(templates))), tuple(sorted({min(p.split(), key=rank) for p in (*phrases, *(k for t in templates for k in t.keys))})))
 
 
 def phrase_places(words: str, phrase: str) -> Column:
@@ -134,9 +137,9 @@ def matches(files: DataFrame, templates: tuple[Template, ...], rare: int, look:
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] | None = None, rare: int = 8, look: int = 256) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     base = BASE if base is None else base
-    known = sorted({*build_index(templates, rare).words, *(p.split()[0] for p in base)})
+    anchors = strings(build_index(templates, rare, tuple(base)).anchors)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), word_array(F.col("text")).alias("w"))
-    files = written(read.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.arrays_overlap("w", strings(known)), F.col("w")).alias("w")), "licence")
+    files = written(read.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.arrays_overlap("w", anchors), F.col("w")).alias("w")), "licence")
     places = [phrase_places("w", p) for p in base]
     own = files.select("rid", "doc_id", "n_words", *[F.coalesce(p, F.array().cast("array<int>")).alias(f"p{i}") for i, p in enumerate(places)])
     labels = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(base.values())]))

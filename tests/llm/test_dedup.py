@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cartwheel.llm import exact_dedup, induced, line_dedup, minhash, substring_dedup, suffix_dedup
+from cartwheel.llm import blocks, exact_dedup, induced, line_dedup, minhash, substring_dedup, suffix_dedup
 
 EDGE = [(1, "a"), (2, "a"), (None, "a"), (3, ""), (4, None), (2, "a"), (5, "b"), (6, "c"), (None, "zz")]
 
@@ -223,8 +223,8 @@ def test_substring_dedup_equals_brute_force(spark, width):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
-@pytest.mark.parametrize("base, memory", [(0, 50), (3, 10_000), (10_000, 1 << 20)])
-def test_induced_sorting_equals_sorted_suffixes(base, memory):
+@pytest.mark.parametrize("base, memory, batch", [(0, 800, 3), (3, 160_000, 7), (0, 3000, 1000), (10_000, 16 << 20, 1000)])
+def test_induced_sorting_equals_sorted_suffixes(base, memory, batch):
     rng = random.Random(base)
     for _ in range(60):
         n, letters = rng.randint(0, 150), rng.choice([1, 2, 4])
@@ -232,7 +232,9 @@ def test_induced_sorting_equals_sorted_suffixes(base, memory):
         if n > 40:
             text[3:20] = text[20:37]
         order, common = [], []
-        for pos, lcp in induced.suffixes(text, 30, memory, base):
+        budget = induced.Budget(memory, base)
+        budget.batch = batch
+        for pos, lcp in induced.suffixes(text, 30, budget):
             order += pos.tolist()
             common += lcp.tolist()
         assert sorted(order) == list(range(n + 1))
@@ -251,6 +253,24 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert sorted(suffix_result(spark, rows), key=key) == sorted(suffix_brute(rows), key=key)
 
 
+def test_suffix_dedup_of_shards_larger_than_memory(spark, monkeypatch):
+    """Passages that share a frequent phrase, in shards that pass the budget many times over."""
+    monkeypatch.setattr(suffix_dedup, "LEAST_SHARDS", 2)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 20_000)
+    rng = random.Random(4)
+    phrase = "the phrase that very many of the passages hold, word for word"
+    passages = [" ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet"]) + rng.choice("xyz") for _ in range(12)) + f" {phrase} " + "".join(rng.choice("abc ") for _ in range(90)) for _ in range(60)]
+    rows = [(i, "".join(rng.choice(passages)[: rng.randint(150, 400)] + rng.choice("qrs") * rng.randint(0, 2) for _ in range(6))) for i in range(120)]
+    want = sorted(suffix_brute(rows), key=key)
+    for hot in (1 << 30, 2):
+        report = suffix_dedup.shard_report(frame(spark, rows), memory=4000, hot_blocks=hot).collect()
+        assert sum(r["symbols"] for r in report) > 20 * 4000
+        assert all(r["spilled"] > 4000 and r["mapped"] > 4000 and r["recursions"] >= 1 for r in report if r["symbols"] > 10_000)
+        assert any(r["recursions"] >= 1 for r in report)
+        assert sorted(suffix_result(spark, rows, memory=4000, hot_blocks=hot), key=key) == want
+    assert sorted(suffix_result(spark, rows), key=key) == want
+
+
 def suffix_brute(rows):
     order = lambda d: (d is not None, d or 0)
     first: dict = {}
