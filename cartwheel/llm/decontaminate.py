@@ -1,19 +1,22 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are lower-cased runs of word characters.  Seeds, hashes of ``least`` consecutive
-words that roll over the text, join documents with benchmark items.  Where the items'
-words that any seed covers could reach the threshold, the pair is tiled: seeds in a row
-on one diagonal are a match, checked word by word; the longest match becomes a tile, and
-all others keep only what no tile has marked, until none of ``least`` words is left.  An
-item is leaked if tiles, in whatever order they stand, cover ``threshold`` of its words.
+words, join documents with benchmark items.  Where the items' words that any shared seed
+covers could reach the threshold, the pair is tiled: running Karp-Rabin searches with a
+rolling hash of falling length for the longest matches of words that no tile has marked,
+each checked word by word; the longest becomes a tile and marks its words, what is left
+of others stays in the queue, until none of ``least`` words is left.  Of a document only
+words that shared seeds cover can be in a tile, so only those are searched.  An item is
+leaked if tiles, in whatever order they stand, cover ``threshold`` of its words.
 
 The benchmark's index is broadcast only if its texts measure ``broadcast_bytes`` or less;
 beyond it, seeds are joined by a shuffle.  Both ways give the same rows.
 
 Defined results: a null or empty text is clean; an item without words matches nothing,
 one shorter than ``least`` words must stand whole; the best item is that of the greatest
-coverage, ties by the smallest item_id (null last); null and repeated ids pass through;
-an empty table on either side is fine; columns other than ids and texts are ignored.
+coverage, ties by the smallest item_id (null last); a benchmark row given twice counts
+once; null and repeated doc_ids pass through; an empty table on either side is fine;
+columns other than ids and texts are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, mix
+from .common import mix, prepare, unused
 
 _WORD = re.compile(r"\w+")
 
@@ -45,32 +48,75 @@ def seed_hashes(ids: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place in document, place in item, words) from seed pairs (i, j)."""
-    heap: list[tuple[int, int, int]] = []
-    at = np.array(sorted((i - j, j) for i, j in seeds), np.int64).reshape(-1, 2)
-    cut = np.flatnonzero((np.diff(at[:, 0]) != 0) | (np.diff(at[:, 1]) != 1)) + 1
-    for part in np.split(at, cut):
-        if len(part):
-            diagonal, j = map(int, part[0])
-            heap.append((-(len(part) + width - 1), j, diagonal + j))
-    heapq.heapify(heap)
-    free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
+#: Modulus and base of the rolling hash, and the length that the search begins with.
+_PRIME, _BASE, SEARCH = (1 << 61) - 1, 1_000_003, 20
+
+
+def rolling(words: list[int], free: list[bool], size: int) -> Iterator[tuple[int, int]]:
+    """(place, hash) of each ``size`` consecutive words that are all free, rolled from one to the next."""
+    top = pow(_BASE, size, _PRIME)
+    value = run = 0
+    for k, word in enumerate(words):
+        if not free[k]:
+            value = run = 0
+            continue
+        value = (value * _BASE + word + 2) % _PRIME
+        run += 1
+        if run > size:
+            value = (value - (words[k - size] + 2) * top) % _PRIME
+        if run >= size:
+            yield k - size + 1, value
+
+
+def _matches(doc: list[int], item: list[int], free_doc: list[bool], free_item: list[bool], size: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(-words, place in item, place in document) of all longest matches of ``size`` words or more.
+
+    A match of more than twice as many words ends the search: it is to begin again there.
+    """
+    where: dict[int, list[int]] = {}
+    for j, h in rolling(item, free_item, size):
+        where.setdefault(h, []).append(j)
     found = []
-    while heap:
-        size, j, i = heapq.heappop(heap)
-        size = -size
-        free = free_doc[i : i + size] & free_item[j : j + size] & (doc[i : i + size] == item[j : j + size])
-        if free.all():
-            found.append((i, j, size))
-            free_doc[i : i + size] = False
-            free_item[j : j + size] = False
+    for i, h in rolling(doc, free_doc, size):
+        for j in where.get(h, ()):
+            if i and j and free_doc[i - 1] and free_item[j - 1] and doc[i - 1] == item[j - 1]:
+                continue  # part of the match that begins before
+            k = 0
+            while i + k < len(doc) and j + k < len(item) and free_doc[i + k] and free_item[j + k] and doc[i + k] == item[j + k]:
+                k += 1
+            if k > 2 * size:
+                return [], k
+            if k >= size:
+                found.append((-k, j, i))
+    return found, size
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (place in document, place in item, words), the longest first."""
+    own, other = doc.tolist(), item.tolist()
+    free_doc, free_item = [True] * len(own), [True] * len(other)
+    size, out = max(width, min(SEARCH, len(other))), []
+    while True:
+        heap, longest = _matches(own, other, free_doc, free_item, size)
+        if longest > size:
+            size = longest
             continue
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            if b - a >= width:
-                heapq.heappush(heap, (a - b, j + a, i + a))
-    return found
+        heapq.heapify(heap)
+        while heap:
+            n, j, i = heapq.heappop(heap)
+            n = -n
+            free = [free_doc[i + k] and free_item[j + k] for k in range(n)]
+            if all(free):
+                out.append((i, j, n))
+                free_doc[i : i + n] = free_item[j : j + n] = [False] * n
+                continue
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], np.array(free, np.int8), [0]])))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                if b - a >= size:  # shorter ones are found again at their length
+                    heapq.heappush(heap, (a - b, j + a, i + a))
+        if size == width or not any(free_item):
+            return out
+        size = max(width, size // 2)
 
 
 class Index:
@@ -80,16 +126,19 @@ class Index:
         self.vocabulary: dict[str, int] = {}
         self.ids = [k for k, _ in items]
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens(t)], np.int64) for _, t in items]
+        #: By seed width: seed hashes in order, their items and places.
         self.widths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         rows: dict[int, list] = {}
+        self.seeds: list[np.ndarray] = []
         for n, own in enumerate(self.words):
-            if len(own):
-                width = min(least, len(own))
-                rows.setdefault(width, []).extend((h, n, j) for j, h in enumerate(seed_hashes(own, width).tolist()))
+            width = min(least, len(own))
+            self.seeds.append(seed_hashes(own, width) if width else np.zeros(0, np.uint64))
+            rows.setdefault(width, []).extend((h, n, j) for j, h in enumerate(self.seeds[-1].tolist()))
         for width, found in rows.items():
-            found.sort()
-            hashes, items_, places = zip(*found, strict=True)
-            self.widths[width] = (np.array(hashes, np.uint64), np.array(items_, np.int64), np.array(places, np.int64))
+            if width:
+                found.sort()
+                hashes, items_, places = zip(*found, strict=True)
+                self.widths[width] = (np.array(hashes, np.uint64), np.array(items_, np.int64), np.array(places, np.int64))
 
     def match(self, text: str | None, threshold: float) -> list[tuple[int, float]]:
         """(index of the item, coverage) of each leaked item."""
@@ -97,38 +146,49 @@ class Index:
         doc = np.array([get(w, -1) for w in tokens(text)], np.int64)
         out = []
         for width, (hashes, items, places) in self.widths.items():
-            known = doc >= 0
-            run = np.cumsum(np.concatenate([[0], known]))
+            run = np.cumsum(np.concatenate([[0], doc >= 0]))
             i = np.flatnonzero(run[width:] - run[:-width] == width) if len(doc) >= width else np.zeros(0, np.int64)
             if not len(i):
                 continue
             own = np.zeros(len(i), np.uint64)
             for k in range(width):
                 own = mix(own * np.uint64(0x9E3779B97F4A7C15) + doc[i + k].astype(np.uint64) + np.uint64(1))
-            lo, hi = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+            # Each distinct seed once, so there are no more rows than the index has.
+            distinct = np.unique(own)
+            lo, hi = np.searchsorted(hashes, distinct, "left"), np.searchsorted(hashes, distinct, "right")
             n = hi - lo
             if not n.any():
                 continue
             row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at, item, place = np.repeat(i, n), items[row], places[row]
+            item, place = items[row], places[row]
             # Words of each item that some seed covers bound what tiles can cover.
             span = int(place.max()) + width + 1
             covered = np.unique((item[:, None] * span + place[:, None] + np.arange(width)).ravel()) // span
-            which, count = np.unique(covered, return_counts=True)
-            for k, c in zip(which.tolist(), count.tolist(), strict=True):
+            for k, c in zip(*(x.tolist() for x in np.unique(covered, return_counts=True)), strict=True):
                 need = threshold * len(self.words[k])
                 if c >= need:
-                    mine = item == k
-                    total = sum(t[2] for t in tiles(doc, self.words[k], list(zip(at[mine].tolist(), place[mine].tolist(), strict=True)), width))
+                    total = sum(t[2] for t in tiles(_covered(doc, i[np.isin(own, self.seeds[k])], width), self.words[k], width))
                     if total >= need:
                         out.append((k, total / len(self.words[k])))
         return sorted(out, key=lambda x: (-x[1], self.ids[x[0]] is None, self.ids[x[0]] or 0, x[0]))
 
 
-def _leaks(docs: DataFrame, benchmark: DataFrame, least: int, threshold: float, broadcast_bytes: int) -> DataFrame:
-    """``docs`` (any columns, with text) plus _items: array of (item_id, coverage), best first."""
+def _covered(doc: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """The words that seeds at ``places`` cover, runs of them parted by a word that no item has."""
+    mark = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(mark, places, 1)
+    np.add.at(mark, places + width, -1)
+    inside = np.cumsum(mark[:-1]) > 0
+    ends = inside & ~np.append(inside[1:], False)
+    own = np.where(inside, doc, -1)
+    return own[inside | np.concatenate([[False], ends[:-1]])]
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, least: int, threshold: float, broadcast_bytes: int) -> tuple[DataFrame, str]:
+    """``docs`` (any columns, with text) plus an array of (item_id, coverage), best first, and its column's name."""
     spark = docs.sparkSession
     prepare(spark)
+    found = unused("_items", docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("item") + 16), F.lit(0)).alias("n")).first()["n"]
     result = "array<struct<item_id: long, coverage: double>>"
@@ -137,8 +197,8 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, least: int, threshold: float,
         shared = spark.sparkContext.broadcast(Index([(r["item_id"], r["item"]) for r in rows], least))
 
         leaks = F.pandas_udf(_iterating(shared, threshold), result)
-        return docs.withColumn("_items", leaks(F.col("text")))
-    return _joined(docs, items, least, threshold)
+        return docs.withColumn(found, leaks(F.col("text"))), found
+    return _joined(docs, items, least, threshold, found), found
 
 
 def _iterating(shared, threshold: float):
@@ -164,7 +224,7 @@ def _split(rows: DataFrame, col: str) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in [*rows.dtypes, ("words", "array<string>")]))
 
 
-def _joined(docs: DataFrame, items: DataFrame, least: int, threshold: float) -> DataFrame:
+def _joined(docs: DataFrame, items: DataFrame, least: int, threshold: float, found: str) -> DataFrame:
     """As above by a shuffle join of seeds; work is per distinct text and item."""
     width = F.least(F.lit(least), F.size("words"))
 
@@ -172,15 +232,15 @@ def _joined(docs: DataFrame, items: DataFrame, least: int, threshold: float) ->
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, n)))
 
     keyed = _split(items.select("item_id", "item").where("item is not null"), "item").where(F.size("words") > 0).dropDuplicates(["item_id", "item"])
-    wanted = keyed.select("item_id", "item", F.size("words").alias("n"), width.alias("width"), F.explode(F.array_distinct(grams(width))).alias("seed"))
+    wanted = keyed.select("item_id", "item", F.size("words").alias("n"), width.alias("width"), F.explode(grams(width)).alias("seed"))
     texts = docs.select("text").where("text is not null").distinct()
     own = _split(texts, "text")
     sizes = F.array(*[F.lit(k) for k in range(1, least + 1)])
     has = own.select("text", "words", F.explode(F.filter(sizes, lambda k: k <= F.size("words"))).alias("width"))
     has = has.select(F.sha2("text", 256).alias("key"), "width", F.explode(F.array_distinct(grams(F.col("width")))).alias("seed"))
     shared = has.join(wanted, ["width", "seed"]).groupBy("key", "item_id", "item", "n", "width").agg(F.count(F.lit(1)).alias("seeds"))
-    # A distinct seed can stand several times in an item, so any shared seed makes a pair.
-    pairs = shared.select("key", "item_id", "item")
+    # The places of an item that shared seeds have bound what tiles can cover.
+    pairs = shared.where(F.col("seeds") * F.col("width") >= threshold * F.col("n")).select("key", "item_id", "item")
 
     def tile(batches):
         for batch in batches:
@@ -193,15 +253,16 @@ def _joined(docs: DataFrame, items: DataFrame, least: int, threshold: float) ->
     sources = texts.withColumn("key", F.sha2("text", 256))
     tiled = pairs.join(sources, "key").mapInArrow(tile, "key string, item_id long, coverage double").where("coverage is not null")
     order = lambda a, b: F.when(a["coverage"] != b["coverage"], F.when(a["coverage"] > b["coverage"], -1).otherwise(1)).when(a["item_id"].eqNullSafe(b["item_id"]), 0).when(b["item_id"].isNull() | (a["item_id"] < b["item_id"]), -1).otherwise(1)
-    best = tiled.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("item_id", "coverage")), order).alias("_items"))
-    joined = docs.withColumn("_key", F.sha2("text", 256)).join(best.withColumnRenamed("key", "_key"), "_key", "left")
-    return joined.withColumn("_items", F.coalesce("_items", F.array().cast("array<struct<item_id: bigint, coverage: double>>"))).drop("_key")
+    key = unused("_key", docs)
+    best = tiled.groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_list(F.struct("item_id", "coverage")), order).alias(found))
+    joined = docs.withColumn(key, F.sha2("text", 256)).join(best, key, "left")
+    return joined.withColumn(found, F.coalesce(found, F.array().cast("array<struct<item_id: bigint, coverage: double>>"))).drop(key)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 4, threshold: float = 0.5, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, contaminated, n_items, best_item, coverage (0 if clean) and the leaked items."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = _leaks(own, benchmark, least, threshold, broadcast_bytes)
+    found, _ = _leaks(own, benchmark, least, threshold, broadcast_bytes)
     return found.select(
         "doc_id",
         (F.size("_items") > 0).alias("contaminated"),
@@ -214,7 +275,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 4, threshold:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 4, threshold: float = 0.5, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Rows of ``docs`` that hold no benchmark item; columns unchanged."""
-    return _leaks(docs, benchmark, least, threshold, broadcast_bytes).where(F.size("_items") == 0).select(*docs.columns)
+    rows, found = _leaks(docs, benchmark, least, threshold, broadcast_bytes)
+    return rows.where(F.size(found) == 0).select(*docs.columns)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

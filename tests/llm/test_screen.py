@@ -53,28 +53,79 @@ def test_leaks_are_equal_both_ways(spark):
     assert got[2]["n_items"] == 1 and got[2]["items"] == [1] and got[1]["contaminated"] and not got[4]["contaminated"]
 
 
+def brute_tiles(doc, item, least):
+    """Lengths of the tiles: the longest free match again and again, the first in the item and then the document."""
+    free_d, free_i, found = [True] * len(doc), [True] * len(item), []
+    while True:
+        best = (0, 0, 0)
+        for j in range(len(item)):
+            for i in range(len(doc)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and free_d[i + n] and free_i[j + n]:
+                    n += 1
+                if n > best[2]:
+                    best = (i, j, n)
+        if best[2] < least:
+            return found
+        i, j, n = best
+        free_d[i : i + n] = free_i[j : j + n] = [False] * n
+        found.append(n)
+
+
 def test_tiles_equal_repeated_longest_matches():
     rng = np.random.default_rng(2)
-    for _ in range(40):
+    for k in range(90):
         doc, item = rng.integers(0, 4, rng.integers(3, 30)), rng.integers(0, 4, rng.integers(3, 15))
-        seeds = [(i, j) for i in range(len(doc) - 2) for j in range(len(item) - 2) if (doc[i : i + 3] == item[j : j + 3]).all()]
-        got = decontaminate.tiles(doc, item, seeds, 3)
-        free_d, free_i, want = np.ones(len(doc), bool), np.ones(len(item), bool), []
-        while True:
-            best = (0, 0, 0)
-            for j in range(len(item)):
-                for i in range(len(doc)):
-                    n = 0
-                    while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and free_d[i + n] and free_i[j + n]:
-                        n += 1
-                    if n > best[2]:
-                        best = (i, j, n)
-            if best[2] < 3:
-                break
-            i, j, n = best
-            free_d[i : i + n] = free_i[j : j + n] = False
-            want.append(n)
-        assert sorted((n for _, _, n in got), reverse=True) == want
+        if k % 3 == 0:  # long matches, found from a longer search on
+            item = rng.integers(0, 9, 70)
+            doc = np.concatenate([item[30:], rng.integers(0, 9, 5), item[:40], item[10:14]])
+        assert [n for _, _, n in decontaminate.tiles(doc, item, 3)] == brute_tiles(doc.tolist(), item.tolist(), 3)
+
+
+def test_rolled_hashes_equal_those_from_scratch():
+    rng = random.Random(3)
+    words, free = [rng.randrange(5) for _ in range(60)], [rng.random() < 0.9 for _ in range(60)]
+    for size in (1, 3, 7):
+        got = dict(decontaminate.rolling(words, free, size))
+        assert got.keys() == {i for i in range(61 - size) if all(free[i : i + size])}
+        assert all(h == next(decontaminate.rolling(words[i : i + size], [True] * size, size))[1] for i, h in got.items())
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0], ids=["broadcast", "shuffle"])
+def test_leaks_equal_brute_force(spark, limit):
+    rng = random.Random(23)
+    vocabulary = [f"w{i}" for i in range(12)]
+    bench = [(k if k % 5 else None, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 2, 6, 14, 40])))) for k in range(14)]
+    bench += [bench[1], (3, None), (90, "der Fluß ½ fließt"), (91, " ".join(vocabulary * 20))]
+    rows = []
+    for i in range(50):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 12))]
+        if rng.random() < 0.7:
+            own = (rng.choice(bench)[1] or "").split()
+            cut = rng.randint(0, len(own))
+            words += own[cut:] + ["zz"] + own[:cut]
+        rows.append((i if i % 9 else None, ", ".join(words).upper()))
+    rows += [(700, "Der FLUSS ½ FLIESST"), (701, "der fluß ½ fließt."), (702, "w1 " * 30_000), (702, "w1 " * 30_000)]
+    want = Counter()
+    for d, t in rows:
+        doc, hits = decontaminate.tokens(t), []
+        for k, text in {x for x in bench if x[1] is not None}:
+            item = decontaminate.tokens(text)
+            if item:
+                own = doc[:200] if len(doc) > 1000 else doc  # the long one repeats one word
+                total = sum(brute_tiles(own, item, min(4, len(item))))
+                if total >= 0.5 * len(item):
+                    hits.append((-total / len(item), k is None, k or 0))
+        hits.sort()
+        best = hits[0] if hits else (0.0, True, 0)
+        want[d, bool(hits), len(hits), None if best[1] else best[2], round(-best[0], 9)] += 1
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, _items string, _key string")
+    got = decontaminate.find_leaks(docs, items(spark, bench), broadcast_bytes=limit).collect()
+    assert Counter((r["doc_id"], r["contaminated"], r["n_items"], r["best_item"], round(r["coverage"], 9)) for r in got) == want
+    assert 5 < sum(n for k, n in want.items() if k[1]) < 50
+    kept = decontaminate.drop_leaks(docs, items(spark, bench), broadcast_bytes=limit)
+    assert kept.columns == docs.columns and kept.count() == sum(n for k, n in want.items() if not k[1])
+    assert {(r["_items"], r["_key"]) for r in kept.collect()} == {("x", "y")}
 
 
 def brute_spans(text):
