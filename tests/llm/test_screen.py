@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -196,6 +201,82 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, blank).collect()} == {"und"}
 
 
+def brute_languages(rows, longest=4, penalty=16.0):
+    """(prediction, score) of each text from counts in plain dictionaries."""
+    letters = lambda t: [w for w in re.findall(r"[^\W\d_]+", (t or "").lower()) if any(c.isalpha() for c in w)]
+    seen: dict = defaultdict(Counter)
+    for d, text, lang, _ in rows:
+        if d is not None and lang is not None and text is not None and zlib.crc32(str(d).encode()) % 4 != 2:
+            for w in letters(text):
+                seen[lang, 0][w] += 1
+                for n in range(1, longest + 1):
+                    padded = f" {w} "
+                    seen[lang, n].update(padded[i : i + n] for i in range(len(padded) - n + 1))
+    for (_, n), own in seen.items():
+        if n == 0:
+            for w in [w for w, k in own.items() if k < 2]:
+                del own[w]
+    languages = sorted({lang for lang, _ in seen})
+    total = {key: sum(own.values()) for key, own in seen.items()}
+    value = lambda lang, n, g: max(math.log(seen[lang, n][g] / total[lang, n]), -penalty) if seen[lang, n][g] else -penalty
+    known = lambda n, g: any(seen[lang, n][g] for lang in languages)
+
+    def word(w):
+        if known(0, w):
+            return [value(lang, 0, w) for lang in languages]
+        for n in range(longest, 0, -1):
+            padded = f" {w} "
+            grams = [g for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if known(n, g)]
+            if grams:
+                return [sum(value(lang, n, g) for g in grams) / len(grams) for lang in languages]
+        return [-penalty] * len(languages)
+
+    out = []
+    for _, text, _, _ in rows:
+        words = Counter(letters(text))
+        if not words or not languages:
+            out.append(("und", 0.0))
+            continue
+        n = sum(words.values())
+        each = {w: word(w) for w in words}
+        mean = [sum(k * each[w][x] for w, k in words.items()) / n for x in range(len(languages))]
+        best = max(range(len(languages)), key=lambda x: (mean[x], -x))
+        out.append((languages[best], 1 / sum(math.exp((m - mean[best]) * min(n, 20)) for m in mean)))
+    return out
+
+
+def test_language_id_equals_brute_force(spark):
+    rng = random.Random(19)
+    stems = {"aa": ["ka", "lo", "mi"], "bb": ["ka", "zu", "re"], "cc": ["жа", "ли", "ζη", "ka"]}
+    make = lambda lang: "".join(rng.choice(stems[lang]) for _ in range(rng.randint(1, 3)))
+    rows = []
+    for i in range(90):
+        lang = rng.choice(["aa", "aa", "bb", "cc"])
+        rows.append((i if i % 11 else None, " ".join(make(lang) + rng.choice(["", ".", "7", "'s"]) for _ in range(rng.randint(0, 30))), rng.choice([lang, lang, None]), "x"))
+    rows += [(500, None, "aa", "x"), (501, "12 ½", "bb", "x"), (502, "қ ?? 漢字", None, "x"), (503, "kamizu " * 60_000, None, "x"), (503, "kamizu " * 60_000, None, "x")]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = language_id.identify(docs, language_id.train(docs)).collect()
+    want = Counter((d, pred, round(score, 6)) for (d, *_), (pred, score) in zip(rows, brute_languages(rows), strict=True))
+    assert Counter((r["doc_id"], r["lang_pred"], round(r["score"], 6)) for r in got) == want
+    assert {p for _, p, _ in want} == {"aa", "bb", "cc", "und"}
+
+
+def test_workers_get_the_package(tmp_path):
+    """Training first, with the package on the driver's path alone."""
+    root = Path(language_id.__file__).resolve().parents[2]
+    code = f"""
+import sys; sys.path.append({str(root)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from cartwheel.llm import language_id
+docs = spark.createDataFrame([(i, "the house", "en") for i in range(8)], "doc_id long, text string, lang string")
+print("found", language_id.identify(docs, language_id.train(docs)).where("lang_pred = 'en'").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "found 8" in done.stdout, done.stderr[-2000:]
+
+
 def test_small_languages_beside_a_large_one(spark):
     rng = random.Random(15)
     ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2]
