@@ -1,11 +1,14 @@
-"""Secret scanning: fixed patterns, and a character CNN over every other candidate.
-
-A candidate is a maximal run of 16 or more key characters that has a digit and a
-letter.  The network sees the candidate, the text around it and which is which (a long one
-by overlapping windows and by parts, of which the greatest score counts); it is
-written in numpy and trained here on labelled findings that a seeded generator makes
-(``findings`` of them, half secrets), its score calibrated on a held-out part and its
-threshold the highest that still finds ``recall`` of the held-out secrets.
+"""Secret scanning: fixed patterns, and a character CNN over every candidate.
+
+A candidate is a maximal run of 8 or more key characters that is no plain word, number or
+path: it has two of small letters, capitals after its first letter, and digits.  The
+network sees the candidate, the text around it and which is which (a long one by
+overlapping windows and by parts, of which the greatest score counts); it is written in
+numpy and trained here on labelled findings that a seeded generator makes (``findings`` of
+them, half secrets: keys, tokens, passwords named or in prose; half look-alikes:
+identifiers, UUIDs, versions, dates, paths, addresses).  Its score is calibrated on a
+held-out part and its threshold the highest that still finds ``recall`` of the held-out
+secrets.
 
 Pattern spans always stay; candidates that overlap one only get no span of their own.
 
@@ -34,9 +37,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-_PART = re.compile(r"[A-Za-z0-9+_-]{16,}")
-_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+_PART = re.compile(r"[A-Za-z0-9+_-]{8,}")
+#: Two of: a small letter, a capital that isn't the run's first letter, a digit.
+_MIXED = re.compile(r"(?=[^a-z]*[a-z])(?=[^A-Za-z]*[A-Za-z][^A-Z]*[A-Z])|(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -52,7 +56,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _CANDIDATE.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0])]
+    return [m.span() for m in _CANDIDATE.finditer(text) if _MIXED.match(m[0])]
 
 
 # --- the network -------------------------------------------------------------
@@ -86,7 +90,7 @@ def views(text: str, s: int, e: int) -> Iterator[tuple[str, str, str]]:
         yield before, text[at : at + INSIDE], after
     yield before, text[e - INSIDE : e], after
     for m in _PART.finditer(text, s, e):
-        if len(m[0]) <= INSIDE and _DIGIT.search(m[0]) and _LETTER.search(m[0]):
+        if len(m[0]) <= INSIDE and _MIXED.match(m[0]):
             yield before, m[0], after
 
 
@@ -222,13 +226,28 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
     one = lambda *xs: xs[rng.integers(len(xs))]
     prose = lambda: " ".join(word() for _ in range(rng.integers(2, 6)))
 
+    ascii_word = lambda: "".join(rng.choice(list(low[:26]), rng.integers(2, 9)))
+    number = lambda k: str(rng.integers(0, 10**k))
+
+    def password() -> str:
+        """Eight to fifteen characters: random ones, or a word bent by digits and signs."""
+        if rng.random() < 0.6:
+            return draw("b64", rng.integers(8, 16))
+        bent = "".join({"a": "4", "e": "3", "o": "0", "i": "1"}.get(c, c) if rng.random() < 0.7 else c.upper() for c in ascii_word() + ascii_word())
+        return bent + one("", "_", "-", "=", "+") + number(4)
+
     def secret() -> tuple[str, str]:
+        if rng.random() < 0.3:
+            return one("password is ", "the password: ", "pwd ", "pass: ", "login admin with ", "passphrase ", "PIN and key ", "my password was ", "credentials root / "), password()
         name = one("auth", "key", "private_key", "access_key", "bearer", "Authorization: Bearer", "credential", "client_id", "signing", "session")
         value = one(lambda: draw("hex", rng.integers(16, 64)), lambda: draw("mix", rng.integers(16, 48)), lambda: draw("b64", rng.integers(20, 64)) + one("", "=", "=="), lambda: one("ghp_", "sk-", "xoxb-", "glpat-", "pk_live_") + draw("mix", rng.integers(16, 40)), lambda: draw("up", rng.integers(16, 32)))()
-        return one("", "", f"{name} ", f"{name}: ", f'{name} = "', f"{name}=" if len(value) > 99 else f"{name} '"), value
+        return one("", "", f"{name} ", f"{name}: ", f'{name} = "', f"{name} '"), value
+
+    def camel() -> str:
+        first = one("get", "set", "is", "load", "make", "find", "update", "on", ascii_word(), ascii_word().capitalize())
+        return first + "".join(ascii_word().capitalize() for _ in range(rng.integers(1, 4))) + one("", "", "Id", "URL", "JSON", "V2") + one("", "", number(2))
 
     def plain() -> tuple[str, str]:
-        number = lambda k: str(rng.integers(0, 10**k))
         value = one(
             lambda: f"{word()}{number(3)}.{word()}example.com",
             lambda: f"{word()}/{word()}/{number(4)}/{word()}.html",
@@ -239,9 +258,19 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
             lambda: f"v{number(1)}.{number(2)}.{number(2)}-{word()}-{word()}",
             lambda: f"{word()}{number(2)}.{word()}{number(2)}.{word()}.org",
             lambda: f"{number(6)}.{number(6)}.{number(4)}{word()}",
+            camel,
+            camel,
+            lambda: f"{camel()}.{camel()}",
+            lambda: f"{ascii_word().upper()}_{ascii_word().upper()}_{number(2)}{ascii_word()}",
+            lambda: "-".join(draw("hex", k) for k in (8, 4, 4, 4, 12)),
+            lambda: f"{one('INV', 'No', 'Ref', 'ISBN', 'SKU')}-{number(4)}-{number(6)}{ascii_word()[:1]}",
+            lambda: f"src/{ascii_word()}/{camel()}.{one('py', 'java', 'ts', 'cpp')}",
+            lambda: one("/", "www.", "") + "/".join(one(ascii_word, ascii_word, ascii_word, lambda: number(4), lambda: f"v{number(1)}", lambda: f"{ascii_word()}.{ascii_word()}")() for _ in range(rng.integers(3, 12))) + one("", ".html", ".tar.gz", ".json"),
+            lambda: f"{ascii_word()}{number(4)}",
+            lambda: f"{ascii_word().capitalize()}{ascii_word().capitalize()}",
         )()
         value = "".join(c for c in value if c.isascii())
-        return one("", "", "see ", "file ", "on ", "id "), value
+        return one("", "", "see ", "file ", "on ", "id ", "call ", "class ", "the "), value
 
     items, labels = [], []
     while len(items) < n:
@@ -249,7 +278,7 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
         lead, value = secret() if label else plain()
         head = f"{prose()} {lead}"
         m = _CANDIDATE.search(value)
-        if not m or not (_DIGIT.search(m[0]) and _LETTER.search(m[0])):
+        if not m or not _MIXED.match(m[0]):
             continue
         text = f"{head}{value}" + one(" ", '" ', ". ", ", ", "\n") + prose()
         items.append((text, len(head) + m.start(), len(head) + m.end()))
@@ -258,13 +287,14 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
 
 
 @lru_cache(maxsize=4)
-def trained(findings: int = 2400, recall: float = 0.98, seed: int = 5) -> CharCNN:
+def trained(findings: int = 4800, recall: float = 0.98, seed: int = 5) -> CharCNN:
     """The network, from ``findings`` labelled findings; a quarter is held out."""
     items, labels = labelled_findings(findings, seed)
-    codes = encode(items)
     cut = findings * 3 // 4
+    # Every view of a finding has the finding's label: here a secret is its whole candidate.
+    shown = [(view, label) for item, label in zip(items[:cut], labels[:cut].tolist(), strict=True) for view in views(*item)]
     net = CharCNN()
-    net.fit(codes[:cut], labels[:cut])
+    net.fit(_codes([view for view, _ in shown]), np.array([label for _, label in shown]))
     net.calibrate(items[cut:], labels[cut:], recall)
     return net
 

@@ -159,6 +159,27 @@ def test_secret_scan(spark):
     assert (scores[labels > 0] >= net.threshold).mean() >= 0.95 and (scores[labels == 0] >= net.threshold).mean() <= 0.05
 
 
+def test_network_tells_passwords_from_identifiers():
+    net, rng = secret_scan.trained(), random.Random(1)
+    parts = ["User", "Profile", "Account", "Order", "Item", "Page", "Model", "Service", "Handler", "Token"]
+    names = [rng.choice(["get", "set", "find"]) + "".join(rng.choices(parts, k=rng.randint(2, 4))) + rng.choice(["", "ById7", "V2"]) for _ in range(300)]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def share(values, lead):
+        found = [(f"{lead}{v} every day", len(lead), len(lead) + len(v)) for v in values]
+        assert all(secret_scan.candidates(t)[-1] == (s, e) for t, s, e in found)
+        return (secret_scan.scores(net, found) >= net.threshold).mean()
+
+    passwords = ["".join(rng.choices(letters, k=10)) + "aB" for _ in range(300)]
+    assert share(names, "we call ") <= 0.03
+    assert share(passwords, "my password is ") >= 0.95 and share(passwords, "we log in with ") >= 0.5
+
+
+def test_candidates_are_runs_that_mix_letters():
+    text = "plainwords Capitalised 12345678 a1b2c3d4 camelCaseX SHORT1 foo/bar-baz LOUDWORDS aB3_x/y.z"
+    assert [text[s:e] for s, e in secret_scan.candidates(text)] == ["a1b2c3d4", "camelCaseX", "aB3_x/y.z"]
+
+
 def test_secret_inside_a_long_run(spark):
     rng = random.Random(21)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
