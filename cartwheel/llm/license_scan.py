@@ -8,9 +8,8 @@ votes, by every posting of it, for a template that starts at the place less the
 template that gets half of its postings or more at one start is a match if one of its key
 phrases stands there too, word for word, where the template has it.
 
-Texts are read once: those that have the word of the highest IDF of some phrase, without
-which nothing matches, go to a table in the shared folder, and the index is looked up from
-there.  The index is as large as the templates, so it is broadcast.
+Texts are read once: those in which some phrase stands, key or base, without which nothing
+matches, go to a table in the shared folder, and the index is looked up from there.  The index is as large as the templates, so it is broadcast.
 
 Defined results: a null text is empty; a text without licence words has no places, null
 first_word and last_word, empty labels and score 0; the score is the greatest share of a
@@ -23,6 +22,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,7 +139,11 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dic
     base = BASE if base is None else base
     anchors = strings(build_index(templates, rare, tuple(base)).anchors)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), word_array(F.col("text")).alias("w"))
-    files = written(read.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.arrays_overlap("w", anchors), F.col("w")).alias("w")), "licence")
+    # Words hold no blanks, so a phrase stands in the array if it stands in the joined words.
+    joined = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    phrases = sorted({*base, *(k for t in templates for k in t.keys)})
+    stands = reduce(lambda a, b: a | b, [joined.contains(f" {p} ") for p in phrases])
+    files = written(read.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.arrays_overlap("w", anchors) & stands, F.col("w")).alias("w")), "licence")
     places = [phrase_places("w", p) for p in base]
     own = files.select("rid", "doc_id", "n_words", *[F.coalesce(p, F.array().cast("array<int>")).alias(f"p{i}") for i, p in enumerate(places)])
     labels = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(base.values())]))
