@@ -456,3 +456,62 @@ def test_pipeline_equals_its_stages(spark, tmp_path):
         docs = written(stage(spark, docs, str(tmp_path)), name)
         assert name == corpus_pipeline.STAGES[-1][0] or docs.columns == columns
     assert {(r["doc_id"], r["ids_crc32"]) for r in docs.collect()} == {(r["doc_id"], r["ids_crc32"]) for r in got.collect()}
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage again by plain loops: languages, equal texts, all pairs, all tiles, token ids."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(31)
+    words = {"en": "the and house water through we over".split(), "de": "der und haus wasser durch wir aus".split()}
+    bench = [(1, "seven grey geese flew over the quiet lake before dawn broke"), (2, "one two three"), (None, "wind and rain fell on roofs of old stone all night")]
+    rows = []
+    for _ in range(70):
+        lang = rng.choice(list(words))
+        own = [rng.choice(words[lang]) + rng.choice(["", "s", "x", "en", "in"]) for _ in range(rng.randint(8, 80))]
+        if rng.random() < 0.2:
+            own[4:4] = rng.choice(bench)[1].split()[rng.randint(0, 6) :]
+        rows.append((len(rows), " ".join(own), rng.choice([lang, lang, None]), "s", 1))
+        if rng.random() < 0.4:
+            for _ in range(rng.randint(0, 5)):
+                own[rng.randrange(len(own))] = rng.choice(words[lang])
+            rows.append((len(rows), " ".join(own), lang, "s", 1))
+        if rng.random() < 0.2:
+            rows.append((len(rows), rows[-1][1], None, "t", 2))
+    rows += [(len(rows), "12 ?", "en", "s", 1), (None, None, None, None, None), (None, rows[3][1], "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    items(spark, bench).write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    order = lambda d: (d is not None, d or 0)
+    kept = [r for r, (pred, score) in zip(rows, brute_languages([x[:4] for x in rows]), strict=True) if pred != "und" and score >= 0.4]
+    by_text: dict = {}
+    for r in kept:
+        if r[1] not in by_text or order(r[0]) > order(by_text[r[1]][0]):
+            by_text[r[1]] = r
+    kept = sorted(by_text.values(), key=lambda r: (r[0] is None, r[0] or 0))  # the least id of a class stays
+    shingles = [Counter(tuple(r[1].split()[i : i + 5]) for i in range(max(1, len(r[1].split()) - 4))) for r in kept]
+    label = list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            if sum((shingles[i] & shingles[j]).values()) >= 0.8 * sum((shingles[i] | shingles[j]).values()):
+                gone, stays = max(label[i], label[j]), min(label[i], label[j])
+                label = [stays if x == gone else x for x in label]
+    near = [kept[k] for k in sorted(set(label))]
+    assert len(near) < len(kept) < len(rows)
+
+    def leaks(text):
+        doc = decontaminate.tokens(text)
+        each = [decontaminate.tokens(t) for _, t in bench]
+        return any(sum(brute_tiles(doc, item, min(4, len(item)))) >= 0.5 * len(item) for item in each)
+
+    clean = [r for r in near if not leaks(r[1])]
+    assert len(clean) < len(near)
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    want = Counter((r[0], zlib.crc32(np.array([*tokenizer.encode(r[1], add_special_tokens=False).ids, 1], "<u4").tobytes())) for r in clean)
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == want
+    ends = Counter()
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends[r["sequence_id"]]
+        ends[r["sequence_id"]] += r["length"]
+    assert max(ends.values()) <= 4096
