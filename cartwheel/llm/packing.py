@@ -1,9 +1,11 @@
 """Best-fit packing of tokenised documents after Martello-Toth reduction.
 
 A packing depends only on how many pieces there are of each length, and lengths run
-from 1 to the capacity.  So tasks cut documents into pieces and count lengths; the
-driver plans over that histogram (at most capacity x SALT numbers at any input size),
-and every piece looks up its place by its rank among pieces of its length.
+from 1 to the capacity.  So tasks cut documents into pieces and count lengths; the driver
+plans over that histogram (a number for each length at any input size), and every piece
+looks up its place by its rank among pieces of its length.  Ranks are dealt to parts of
+a bounded size, whose counts add up to where each part begins.  A piece as long as a
+sequence is one, and needs no rank.
 
 The plan first fixes sets that dominate all other sets with the same largest member
 (an item that nothing joins; a pair that fills the bin or that no larger set can beat;
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import prepare, written
 
-#: Parts into which the pieces of one length are dealt for numbering.
-SALT = 64
+#: Pieces that are numbered in one part, about, and parts of a length at least.
+PART_PIECES, LEAST_PARTS = 1 << 20, 64
 
 
 def default_tokenizer() -> str:
@@ -248,34 +250,38 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 409
     """One row per piece, with sequence_id and offset; at most ``capacity`` tokens a sequence."""
     spark = docs.sparkSession
     cut = written(pieces(docs, tokenizer_path or default_tokenizer(), capacity, end_id, with_ids), "pieces")
-    cut = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALT)).cast("int"))
-    # At most capacity x SALT rows, whatever the input.
-    found = cut.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).collect()
-    count = np.zeros((capacity + 1, SALT), np.int64)
-    for r in found:
-        count[r["length"], r["_salt"]] = r["n"]
-    before = np.zeros_like(count)
-    np.cumsum(count[:, :-1], axis=1, out=before[:, 1:])
-    places = plan({int(k): int(count[k].sum()) for k in np.flatnonzero(count.sum(axis=1))}, capacity)
-    shared = spark.sparkContext.broadcast((before, places))
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = cut.withColumn("_rank", F.row_number().over(order))
+    parts = max(LEAST_PARTS, cut.count() // PART_PIECES)
+    rest = cut.where(F.col("length") < capacity).withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
+    counted = rest.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("n"))
+    begins = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = counted.groupBy("length").agg(F.sum("n").alias("n")).collect()  # a row for each length
+    shared = spark.sparkContext.broadcast(plan({r["length"]: r["n"] for r in found}, capacity))
+    order = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")
+    own = rest.withColumn("_own", F.row_number().over(order) - 1)
+    ranked = own.join(counted.select("length", "_part", begins.alias("_begin")), ["length", "_part"])
+    ranked = ranked.select(*cut.columns, (F.col("_begin") + F.col("_own")).alias("_rank"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long"
 
     def place(batches):
-        before, at = shared.value
-        width = int(before.sum()) + 1
-        keys = at["length"] * width + at["first"]
+        at = shared.value
+        # Segments of a length are in order of their first ranks.
+        lengths, segment = np.unique(at["length"], return_index=True)
+        last = np.append(segment[1:], len(at["length"]))
         for batch in batches:
             length = batch.column("length").to_numpy()
-            rank = before[length, batch.column("_salt").to_numpy()] + batch.column("_rank").to_numpy() - 1
-            i = np.searchsorted(keys, length * width + rank, side="right") - 1
+            rank = batch.column("_rank").to_numpy()
+            i = np.zeros(len(length), np.int64)
+            which = np.searchsorted(lengths, length)
+            for k in np.unique(which).tolist():
+                mine = which == k
+                i[mine] = segment[k] + np.searchsorted(at["first"][segment[k] : last[k]], rank[mine], side="right") - 1
             rank = rank - at["first"][i]
             extra = [at["sequence"][i] + rank // at["each"][i], at["offset"][i] + rank % at["each"][i] * length]
             names = [x for x in batch.schema.names if x[0] != "_"]
             yield pa.RecordBatch.from_arrays([batch.column(x) for x in names] + [pa.array(x, pa.int64()) for x in extra], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, schema)
+    alone = cut.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    return ranked.mapInArrow(place, schema).unionByName(alone)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
