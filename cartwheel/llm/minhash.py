@@ -41,6 +41,8 @@ SALT = 16
 PART = 1 << 14
 #: Members and bytes of text of a block, about.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
+#: Bytes of keys that may be broadcast, and of one key in memory, about.
+BROADCAST, KEY_BYTES = 32 << 20, 64
 #: Entries of a dense matrix of shingles.
 CELLS = 4 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -319,6 +321,11 @@ def _link(members: DataFrame, texts: DataFrame, threshold: float, size: int, rou
     return labels if links.isEmpty() else _merged(labels, links)
 
 
+def _small(keys: DataFrame, count: int) -> DataFrame:
+    """``keys``, to be broadcast if they measure ``BROADCAST`` bytes or less: then no text is shuffled to be looked up."""
+    return F.broadcast(keys) if count * KEY_BYTES <= BROADCAST else keys
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5, rounds: int = 2) -> DataFrame:
     """doc_id, node (digest of the text), class_key, class_id, class_size of every row."""
     prepare(docs.sparkSession)
@@ -332,13 +339,15 @@ def classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: in
     shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", parts, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     part = F.pmod(F.xxhash64("seq", F.lit(2)), F.col("parts")).cast("int").alias("part")
     members = written(keys.join(shared, ["band", "salt"]).select("band", part, "parts", "seq", "bytes"), "members")
-    wanted = members.select("seq").distinct().join(nodes.select("seq", "node", "least", "bands"), "seq")
+    wanted = written(members.select("seq").distinct().join(nodes.select("seq", "node", "least", "bands"), "seq"), "wanted")
     none = F.lit(-(1 << 63)).cast("long")
-    keyed = source.withColumn("_id", F.coalesce("doc_id", none)).select("node", "_id", "text")
-    texts = wanted.withColumn("_id", F.coalesce("least", none)).join(keyed, ["node", "_id"]).select("seq", "text", "bands").dropDuplicates(["seq"])
+    keyed = source.select("node", F.coalesce("doc_id", none).alias("_id"), "text")
+    keys = wanted.select("node", F.coalesce("least", none).alias("_id"), "seq")
+    met = keyed.join(_small(keys, wanted.count()), ["node", "_id"]).dropDuplicates(["seq"])
+    texts = met.select("seq", "text").join(wanted.select("seq", "bands"), "seq")
     texts = written(texts, "texts")
     labels = written(_link(members, texts, threshold, shingle, rounds), "classes")
-    discard(members, texts)
+    discard(members, texts, wanted)
     labelled = nodes.select("seq", "node", "least", "n").join(labels, "seq", "left")
     labelled = labelled.withColumn("class_key", F.coalesce("label", "seq"))
     sizes = labelled.groupBy("class_key").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
@@ -353,13 +362,18 @@ def near_duplicates(docs: DataFrame, **params) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
     """One row of each class, that of the least doc_id; columns unchanged."""
-    found = classes(docs, **params).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("node").alias("node"))).alias("k"))
     none = F.lit(-(1 << 63)).cast("long")
-    own = [unused("_kept_id", docs), unused("_kept_node", docs)]
-    kept = kept.select(F.coalesce("k.id", none).alias(own[0]), F.col("k.node").alias(own[1]))
-    marked = docs.withColumns({own[0]: F.coalesce(F.col("doc_id").cast("long"), none), own[1]: F.unhex(F.md5(F.coalesce("text", F.lit(""))))})
-    return marked.join(kept, own, "left_semi").dropDuplicates(own).select(*docs.columns)
+    id_, node, stays = (unused(x, docs) for x in ("_id", "_node", "_stays"))
+    found = written(classes(docs, **params).where("class_size > 1"), "several")
+    least = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_key").agg(F.min(F.struct(F.coalesce("doc_id", none).alias("id"), F.col("node").alias("node"))).alias("k"))
+    each = found.select(F.coalesce("doc_id", none).alias("id"), "node").distinct()
+    kept = least.select("k.id", "k.node", F.lit(True).alias("kept"))
+    several = written(each.join(kept, ["id", "node"], "left").select(F.col("id").alias(id_), F.col("node").alias(node), F.coalesce("kept", F.lit(False)).alias(stays)), "stays")
+    marked = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), none), node: F.unhex(F.md5(F.coalesce("text", F.lit(""))))})
+    met = marked.join(_small(several, several.count()), [id_, node], "left")
+    # Only rows of classes are shuffled, to leave one of those that tie on doc_id and text.
+    alone = met.where(F.col(stays).isNull())
+    return alone.unionByName(met.where(F.col(stays)).dropDuplicates([id_, node])).select(*docs.columns)
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
