@@ -10,6 +10,7 @@ reach.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,10 +114,23 @@ def matrix(events: DataFrame, rule: Rule, k: int = 20, max_events: int | None =
     return top_neighbours(pairs(indexed(tail(events, max_events)), rule, max_events), k)
 
 
-def suite(events: DataFrame, profile: str, k: int = 20, max_events: int | None = 30) -> dict[str, DataFrame]:
-    """All matrices of a profile; the indexed events are computed once per plan by exchange reuse."""
+def suite_table(events: DataFrame, profile: str, k: int = 20, max_events: int | None = 30) -> DataFrame:
+    """All matrices of a profile as one table, by ``rule``: one pass over the events and one sum by pair."""
     own = indexed(tail(events, max_events))
-    return {rule.name: top_neighbours(pairs(own, rule, max_events), k) for rule in rules(profile)}
+    found = [pairs(own, rule, max_events).select(F.lit(rule.name).alias("rule"), "source_aid", "target_aid", "w") for rule in rules(profile)]
+    total = reduce(DataFrame.unionByName, found).groupBy("rule", "source_aid", "target_aid").agg(F.sum("w").alias("w"))
+    ranked = head(total, ["rule", "source_aid"], [F.desc("w"), "target_aid"], k)
+    return ranked.select("rule", "source_aid", "target_aid", (F.col("w") / F.lit(WEIGHT_UNIT)).alias("weight"), "rank")
+
+
+def matrices_of(table: DataFrame, profile: str) -> dict[str, DataFrame]:
+    """The matrices in a table of ``suite_table``."""
+    return {rule.name: table.where(F.col("rule") == rule.name).drop("rule") for rule in rules(profile)}
+
+
+def suite(events: DataFrame, profile: str, k: int = 20, max_events: int | None = 30) -> dict[str, DataFrame]:
+    """All matrices of a profile."""
+    return matrices_of(suite_table(events, profile, k, max_events), profile)
 
 
 def neighbours(matrices: DataFrame, items: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def recall(predictions: DataFrame, labels: DataFrame, k: int = schemas.TOP_K) ->
     ``predictions`` are (session, type, aid, rank); repeated items count once.
     """
     if not 1 <= k <= schemas.TOP_K:
-        raise ValueError("k must be between 1 and 20")
+        raise ValueError(f"recall is cut at 1 to {schemas.TOP_K} items")
     truth = labels.select("session", "type", "aid").distinct()
     top = predictions.where(F.col("rank") <= k).select("session", "type", "aid").distinct().withColumn("hit", F.lit(1))
     joined = truth.join(top, ["session", "type", "aid"], "left")
@@ -53,7 +53,7 @@ def _positives(rows: DataFrame) -> DataFrame:
 def recall_at(rows: DataFrame, labels: DataFrame, cutoffs: tuple[int, ...] = (20, 50, 80, 100, 150)) -> DataFrame:
     """(target, cutoff, hits, denominator, recall); denominators stay capped at 20."""
     if not cutoffs or min(cutoffs) < 1:
-        raise ValueError("cutoffs must contain positive values")
+        raise ValueError("every cutoff is 1 or more")
     hits = _positives(rows).groupBy("target").agg(*[F.count_if(F.col("candidate_rank") <= c).alias(f"c{c}") for c in cutoffs])
     long = denominators(labels).join(hits, "target", "left")
     stacked = long.select("target", "denominator", F.explode(F.array(*[F.struct(F.lit(c).cast("long").alias("cutoff"), F.coalesce(f"c{c}", F.lit(0)).cast("long").alias("hits")) for c in cutoffs])).alias("x"))

@@ -38,20 +38,25 @@ def labels_of(future: DataFrame, order: tuple[str, ...] = ("ts", "pos")) -> Data
 def split_global(events: DataFrame, cutoff: int, end: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Events before the cutoff, and labels from those in [cutoff, end)."""
     if end is not None and end <= cutoff:
-        raise ValueError("label end must be greater than cutoff")
+        raise ValueError("labels have to end after the cutoff")
     future = events.where(F.col("ts") >= cutoff)
     return events.where(F.col("ts") < cutoff), labels_of(future if end is None else future.where(F.col("ts") < end))
 
 
-def split_at(events: DataFrame, length: Column) -> tuple[DataFrame, DataFrame]:
-    """The first ``length`` events of each session by time, and labels from the rest.
+def cut_at(events: DataFrame, length: Column) -> DataFrame:
+    """Events with ``i``, their place by time, and ``k``, the length of their session's context.
 
     ``length`` may use ``session`` and ``n``, the session's events; 1 to n - 1.
     """
     own = indexed(events).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("session"))).withColumn("k", length.cast("long"))
-    message = F.concat(F.lit("context length must be between 1 and "), (F.col("n") - 1).cast("string"))
-    checked = own.withColumn("k", F.when((F.col("k") >= 1) & (F.col("k") < F.col("n")), F.col("k")).otherwise(F.raise_error(message).cast("long")))
-    return checked.where("i < k").select(*_EVENT), labels_of(checked.where("i >= k"), ("i",))
+    message = F.concat(F.lit("a context has between 1 and "), (F.col("n") - 1).cast("string"), F.lit(" events"))
+    return own.withColumn("k", F.when((F.col("k") >= 1) & (F.col("k") < F.col("n")), F.col("k")).otherwise(F.raise_error(message).cast("long")))
+
+
+def split_at(events: DataFrame, length: Column) -> tuple[DataFrame, DataFrame]:
+    """The first ``length`` events of each session by time, and labels from the rest."""
+    cut = cut_at(events, length)
+    return cut.where("i < k").select(*_EVENT), labels_of(cut.where("i >= k"), ("i",))
 
 
 def context_length(seed: int) -> Column:
@@ -83,15 +88,30 @@ def known_items(events: DataFrame, cutoffs: tuple[int, ...]) -> DataFrame:
     return counted.where("_n >= 2").select("cutoff", "aid").distinct()
 
 
-def official_view(events: DataFrame, cutoff: int, end: int, seed: int = 42, known: DataFrame | None = None) -> View:
-    """Sessions that begin in (cutoff, end] are cut at a drawn length; earlier ones train."""
+def official_roles(events: DataFrame, cutoff: int, end: int, seed: int = 42, known: DataFrame | None = None) -> DataFrame:
+    """Events of an official split with their ``role``: train, context or future; all views are filters of it.
+
+    Sessions that begin in (cutoff, end] are cut at a drawn length; earlier ones train.
+    """
     if cutoff >= end:
-        raise ValueError("cohort end must be greater than cutoff")
+        raise ValueError("the cohort has to end after the cutoff")
     train = train_events(events, cutoff)
     known = train.select("aid").distinct() if known is None else known
     later = first_times(events).where((F.col("first_ts") > cutoff) & (F.col("first_ts") <= end)).join(known, "aid", "left_semi")
-    contexts, labels = split_at(at_least(later, 2).select(*_EVENT), context_length(seed))
-    return View(train.unionByName(contexts), contexts, labels)
+    cut = cut_at(at_least(later, 2).select(*_EVENT), context_length(seed))
+    role = F.when(F.col("i") < F.col("k"), "context").otherwise("future").alias("role")
+    return train.withColumn("role", F.lit("train")).unionByName(cut.select(*_EVENT, role))
+
+
+def view_of(roles: DataFrame) -> View:
+    """The view that the roles of ``official_roles`` make."""
+    contexts = roles.where("role = 'context'").select(*_EVENT)
+    return View(roles.where("role <> 'future'").select(*_EVENT), contexts, labels_of(roles.where("role = 'future'")))
+
+
+def official_view(events: DataFrame, cutoff: int, end: int, seed: int = 42, known: DataFrame | None = None) -> View:
+    """Sessions that begin in (cutoff, end] are cut at a drawn length; earlier ones train."""
+    return view_of(official_roles(events, cutoff, end, seed, known))
 
 
 def global_view(events: DataFrame, cutoff: int, end: int | None = None) -> View:
@@ -105,7 +125,7 @@ def global_view(events: DataFrame, cutoff: int, end: int | None = None) -> View:
 def two_windows(events: DataFrame, days: int = 7, seed: int = 42, strategy: str = "official_random_event") -> dict[str, View]:
     """Consecutive windows: ``ranker_train``, then ``local_validation`` up to the latest event."""
     if days < 1:
-        raise ValueError("validation days must be positive")
+        raise ValueError("a validation window needs a day at least")
     last = max_ts(events)
     cut = last - days * schemas.DAY_MS
     train_cut = cut - days * schemas.DAY_MS

@@ -39,11 +39,11 @@ def submission(queries: DataFrame, predictions: DataFrame, backfill: DataFrame,
 def read_queries(sample: DataFrame) -> DataFrame:
     """(session, target, pos) of a sample submission's rows; each session needs each target once."""
     if list(sample.columns) != ["session_type", "labels"]:
-        raise ValueError("sample submission must have the columns session_type,labels")
+        raise ValueError("a sample has two columns, session_type and labels")
     parts = sample.select(F.regexp_extract("session_type", r"^(.*)_([^_]+)$", 1).cast("long").alias("session"), F.regexp_extract("session_type", r"^(.*)_([^_]+)$", 2).alias("target"), F.monotonically_increasing_id().alias("pos"))
     odd = parts.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("target").alias("d"), F.count_if(~F.col("target").isin(*schemas.TYPES)).alias("unknown"))
     if not odd.where("n <> 3 or d <> 3 or unknown > 0").isEmpty():
-        raise ValueError("sample submission has incomplete or repeated session targets")
+        raise ValueError("each session of a sample needs each target once")
     return parts
 
 

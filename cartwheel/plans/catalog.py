@@ -62,28 +62,16 @@ def _official(spark: SparkSession, d: str) -> split.View:
 
 
 def _view(spark: SparkSession, d: str) -> split.View:
-    made: list[split.View] = []
-
-    def part(name: str) -> DataFrame:
-        def make() -> DataFrame:
-            if not made:
-                made.append(_official(spark, d))
-            return getattr(made[0], name)
-
-        return _kept(spark, d, name, make)
+    def make() -> DataFrame:
+        events = _events(spark, d)
+        return split.official_roles(events, *_cut(events))
 
-    return split.View(*[part(name) for name in split.View._fields])
+    return split.view_of(_kept(spark, d, "roles", make))
 
 
 def _suite(spark: SparkSession, d: str, profile: str) -> dict[str, DataFrame]:
-    made: dict[str, DataFrame] = {}
-
-    def make(name: str) -> DataFrame:
-        if not made:
-            made.update(covisit.suite(_view(spark, d).matrix_events, profile, NEIGHBOURS))
-        return made[name]
-
-    return {r.name: _kept(spark, d, f"{profile}/{r.name}", lambda n=r.name: make(n)) for r in covisit.rules(profile)}
+    table = _kept(spark, d, profile, lambda: covisit.suite_table(_view(spark, d).matrix_events, profile, NEIGHBOURS))
+    return covisit.matrices_of(table, profile)
 
 
 def _popular(spark: SparkSession, d: str) -> DataFrame:

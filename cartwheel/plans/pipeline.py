@@ -48,16 +48,17 @@ def _ingest(spark: SparkSession, run: Run, name: str, source: str, max_sessions:
 
 def _matrices(spark: SparkSession, run: Run, name: str, events: DataFrame, cfg: Config) -> dict[str, DataFrame]:
     def make(folder: str) -> dict[str, Any]:
-        made = covisit.suite(events, cfg.covisitation.profile, cfg.covisitation.max_neighbors, cfg.covisitation.max_events_per_session)
-        for rule, matrix in made.items():
-            _save(matrix, f"{folder}/{rule}")
+        table = covisit.suite_table(events, cfg.covisitation.profile, cfg.covisitation.max_neighbors, cfg.covisitation.max_events_per_session)
+        table.write.mode("overwrite").option("compression", "zstd").partitionBy("rule").parquet(f"{folder}/matrices")
         _save(popularity(events, max(1, cfg.candidates.popularity_budget)), f"{folder}/popularity")
         popular = _load(spark, f"{folder}/popularity").orderBy("target", "rank").collect()
         save_report(spark, f"{folder}/popularity.json", {t: [r["aid"] for r in popular if r["target"] == t] for t in schemas.TYPES})
-        return {"rules": sorted(made)}
+        return {"rules": [r.name for r in covisit.rules(cfg.covisitation.profile)]}
 
-    folder, result = run.stage(name, make)
-    return {r: _load(spark, f"{folder}/{r}") for r in [*result["rules"], "popularity"]}
+    folder, _ = run.stage(name, make)
+    schema = "source_aid int, target_aid int, weight double, rank long, rule string"  # a rule may have no pair at all
+    table = spark.read.schema(schema).parquet(f"{folder}/matrices")
+    return {**covisit.matrices_of(table, cfg.covisitation.profile), "popularity": _load(spark, f"{folder}/popularity")}
 
 
 def write_parts(rows_of: Callable[[DataFrame], DataFrame], contexts: DataFrame, folder: str, parts: int) -> tuple[int, int]:
