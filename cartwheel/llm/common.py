@@ -75,16 +75,34 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cartwheel/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables of ``written`` that are still there, in order.
+_TABLES: list[DataFrame] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage."""
+    """Write ``df`` once to the shared folder and read it back: cuts the lineage.
+
+    The table stays, as a checkpoint does, until it is discarded.
+    """
     spark = df.sparkSession
     path = new_table_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._cartwheel_path = path
+    _TABLES.append(back)
     return back
 
 
+def tables() -> int:
+    """How many tables there are: a mark for ``sweep``."""
+    return len(_TABLES)
+
+
+def sweep(mark: int, *kept: DataFrame) -> None:
+    """Discard all tables written since the mark but ``kept``."""
+    discard(*[df for df in _TABLES[mark:] if not any(df is k for k in kept)])
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that nothing reads any more; other frames are left alone."""
     for df in tables:
@@ -93,6 +111,7 @@ def discard(*tables: DataFrame) -> None:
             spark = df.sparkSession
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _TABLES[:] = [x for x in _TABLES if x._cartwheel_path != path]
 
 
 def unused(name: str, *frames: DataFrame) -> str:
