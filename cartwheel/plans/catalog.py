@@ -78,6 +78,14 @@ def _popular(spark: SparkSession, d: str) -> DataFrame:
     return _kept(spark, d, "popularity", lambda: popularity(_view(spark, d).matrix_events))
 
 
+def stage_inputs(spark: SparkSession, d: str) -> tuple[split.View, dict[str, DataFrame], DataFrame]:
+    """Views, matrices and popularity, computed and kept: what candidate generation reads."""
+    view, matrices, popular = _view(spark, d), _suite(spark, d, "public_v575"), _popular(spark, d)
+    for df in (*view, *matrices.values(), popular):
+        df.count()
+    return view, matrices, popular
+
+
 def _global(spark: SparkSession, d: str) -> split.View:
     events = _events(spark, d)
     return split.global_view(events, _cut(events)[0])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cartwheel.llm import decontaminate, exact_dedup, language_id, minhash, packing
-from cartwheel.llm.common import written
+from cartwheel.llm.common import discard, sweep, tables, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +46,19 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Language models, similarity classes and token ids are beyond SQL; tests/llm holds a brute force.
+#: Language models, similarity classes and token ids are beyond SQL; tests/llm has the whole by plain loops.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder before the next."""
+    """All stages over ``documents``, each written to the shared folder before the next.
+
+    A stage's table, and what it wrote on the way, goes when the next one is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        mark, before = tables(), docs
+        docs = written(stage(spark, before, sf_dir), name)
+        sweep(mark, docs)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
