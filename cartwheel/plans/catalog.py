@@ -195,10 +195,22 @@ def _windows(field: str) -> Query:
     return run
 
 
+def _jsonl_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """The first 100 records of a source of several files."""
+    path = _scratch(spark, "sessions")
+    sessions.nest(_events(spark, d)).repartitionByRange(12, "session").sortWithinPartitions("session").write.json(path)
+    return sessions.flatten(sessions.read_sessions(spark, path, 100)).drop("pos")
+
+
 def _submission_csv(spark: SparkSession, d: str) -> DataFrame:
-    path = _scratch(spark, "submission")
-    submission.write_csv(_submission(spark, d), path)
-    return spark.read.option("header", True).csv(path)
+    """From a sample's rows to a submission's, through files."""
+    rows, view = _rows(spark, d)
+    wanted = view.query_contexts.select("session").distinct().withColumn("target", F.explode(F.array(*[F.lit(t) for t in schemas.TYPES])))
+    sample, out = _scratch(spark, "sample"), _scratch(spark, "submission")
+    wanted.select(F.concat_ws("_", F.col("session").cast("string"), "target").alias("session_type"), F.lit("1").alias("labels")).write.option("header", True).csv(sample)
+    asked = submission.read_queries(spark.read.option("header", True).csv(sample))
+    submission.write_csv(submission.submission(asked.select("session", "target"), submission.rules_predictions(rows), _popular(spark, d)), out)
+    return spark.read.option("header", True).csv(out)
 
 
 def _prefix(spark: SparkSession, d: str) -> DataFrame:
@@ -288,6 +300,7 @@ def queries() -> dict[str, Query]:
         "session_prefix_limit": _prefix,
         "events_union": lambda s, d: sessions.concatenate(_events(s, d), _users(s, d)),
         "jsonl_flatten": _jsonl,
+        "jsonl_prefix_limit": _jsonl_prefix,
         "two_windows_contexts": _windows("query_contexts"),
         "two_windows_labels": _windows("labels"),
         "max_ts": lambda s, d: _events(s, d).agg(F.max("ts").alias("max_ts")),

@@ -243,6 +243,7 @@ def queries() -> dict[str, str]:
         "session_prefix_limit": "SELECT session, aid, ts, type, pos FROM x_ev WHERE session IN (SELECT DISTINCT session FROM x_ev ORDER BY session LIMIT 100)",
         "events_union": "SELECT session, aid, ts, type, pos FROM x_ev UNION ALL SELECT session, aid, ts, type, pos + 1 + (SELECT max(pos) FROM x_ev) FROM x_user",
         "jsonl_flatten": "SELECT session, aid, ts, type FROM x_ev",
+        "jsonl_prefix_limit": "SELECT session, aid, ts, type FROM x_ev WHERE session IN (SELECT DISTINCT session FROM x_ev ORDER BY session LIMIT 100)",
         "two_windows_contexts": "SELECT 'ranker_train' AS win, * FROM x_ctx1 UNION ALL SELECT 'local_validation', * FROM x_ctx",
         "two_windows_labels": "SELECT 'ranker_train' AS win, * FROM x_lab1 UNION ALL SELECT 'local_validation', * FROM x_lab",
         "max_ts": "SELECT max(ts) AS max_ts FROM x_ev",
