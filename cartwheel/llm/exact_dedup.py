@@ -32,6 +32,8 @@ from .common import discard, unused, written
 SALT = 32
 #: Digests of a slice at most, and slices at least; runs that are merged at once.
 FLUSH_ROWS, LEAST_FLUSHES, FAN = 1 << 28, 4, 4
+#: Bits below the partition's number in ``monotonically_increasing_id``.
+_ROW_BITS = 33
 #: Bits of a bitmap, and bits of a filter for each digest, about.
 SLOT_BITS, DIGEST_BITS = 1 << 15, 16
 #: Bytes of a table that may be broadcast.
@@ -78,13 +80,24 @@ class MergeIndex:
         return (F.max if self.keep == "largest" else F.min)("best")
 
     def add(self, rows: DataFrame) -> None:
-        """Flush (digest, doc_id, seq) rows in bounded slices."""
+        """Flush (digest, doc_id, seq) rows, numbered by ``monotonically_increasing_id``, in bounded slices."""
         # (has an id, id, seq) is a total order in which a null id always loses.
         ranked = F.col("doc_id").isNotNull() if self.keep == "largest" else F.col("doc_id").isNull()
-        own = rows.select("digest", F.struct(ranked.alias("ranked"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "seq").alias("best"), F.lit(1).cast("long").alias("n"))
-        flushes = max(LEAST_FLUSHES, -(-self.count // self.flush_rows))
-        for k in range(flushes):
-            self.flush(own.where(F.pmod(F.xxhash64("best.seq"), F.lit(flushes)) == k))
+        best = F.struct(ranked.alias("ranked"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "seq").alias("best")
+        for part in self._slices(rows, max(LEAST_FLUSHES, -(-self.count // self.flush_rows))):
+            self.flush(part.select("digest", best, F.lit(1).cast("long").alias("n")))
+
+    def _slices(self, rows: DataFrame, flushes: int) -> list[DataFrame]:
+        """Rows by runs of the scan's partitions, which are ranges of ``seq``: a flush reads its own files alone.
+
+        Where there are fewer partitions than flushes, rows are dealt by hash.
+        """
+        top = rows.agg(F.max("seq")).first()[0] or 0
+        parts = (top >> _ROW_BITS) + 1
+        if parts < flushes:
+            return [rows.where(F.pmod(F.xxhash64("seq"), F.lit(flushes)) == k) for k in range(flushes)]
+        edges = [(k * parts // flushes) << _ROW_BITS for k in range(flushes + 1)]
+        return [rows.where((F.col("seq") >= a) & (F.col("seq") < b)) for a, b in zip(edges, edges[1:], strict=False)]
 
     def _merge(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy("digest").agg(self._best().alias("best"), F.sum("n").alias("n"))

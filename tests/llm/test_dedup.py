@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cartwheel.llm import blocks, exact_dedup, induced, line_dedup, minhash, substring_dedup, suffix_dedup
+from cartwheel.llm import exact_dedup, induced, line_dedup, minhash, substring_dedup, suffix_dedup
 
 EDGE = [(1, "a"), (2, "a"), (None, "a"), (3, ""), (4, None), (2, "a"), (5, "b"), (6, "c"), (None, "zz")]
 
@@ -61,6 +61,14 @@ def test_merge_index_flushes_probes_and_compacts(spark, monkeypatch, broadcast):
     assert Counter(r["text_sha256"] for r in out if r["kept"]) == {k.hex(): 1 for k in groups}
 
 
+@pytest.mark.parametrize("parts", [1, 13])
+def test_slices_hold_every_row_once(spark, parts):
+    rows = spark.range(0, 500, 1, parts).withColumn("seq", F.monotonically_increasing_id())
+    slices = exact_dedup.MergeIndex(spark, 500)._slices(rows, 5)
+    found = [[r["id"] for r in x.collect()] for x in slices]
+    assert len(found) == 5 and all(found) and sorted(sum(found, [])) == list(range(500))
+
+
 def test_filters_hold_every_digest(spark):
     index = exact_dedup.MergeIndex(spark, 5000)
     index.flush(spark.range(5000).selectExpr("unhex(sha2(cast(id AS string), 256)) AS digest", "named_struct('ranked', false, 'id', id, 'seq', id) AS best", "1L AS n"))
@@ -256,7 +264,7 @@ def test_suffix_dedup_equals_brute_force(spark):
 def test_suffix_dedup_of_shards_larger_than_memory(spark, monkeypatch):
     """Passages that share a frequent phrase, in shards that pass the budget many times over."""
     monkeypatch.setattr(suffix_dedup, "LEAST_SHARDS", 2)
-    monkeypatch.setattr(blocks, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_TEXT", 20_000)
     rng = random.Random(4)
     phrase = "the phrase that very many of the passages hold, word for word"
     passages = [" ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet"]) + rng.choice("xyz") for _ in range(12)) + f" {phrase} " + "".join(rng.choice("abc ") for _ in range(90)) for _ in range(60)]
