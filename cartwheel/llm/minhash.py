@@ -278,7 +278,8 @@ def _blocked(members: DataFrame, texts: DataFrame, threshold: float, size: int)
         pairs = np.unique(np.stack([np.concatenate(x) if x else np.zeros(0, np.int64) for x in (la, lb)]), axis=1)
         return pa.table({"la": pa.array(pairs[0]), "lb": pa.array(pairs[1])})
 
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_BYTES)).cast("int")
+    # Not more blocks than members: a very long text is a block of its own.
+    blocks = F.least(F.col("n"), F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_BYTES))).cast("int")
     held = members.join(_several(members), ["band", "part"]).withColumn("blocks", blocks)
     placed = held.withColumn("block", F.pmod(F.xxhash64("seq", F.lit(1)), F.col("blocks")).cast("int"))
     paired = placed.select("band", "seq", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))

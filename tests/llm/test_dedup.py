@@ -205,6 +205,16 @@ def test_blocks_compare_every_pair(spark, monkeypatch, block, cells):
         assert (n[i], n2[j], common[i, j]) == (sum(a.values()), sum(b.values()), sum((a & b).values()))
 
 
+def test_near_dedup_of_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 1000)
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(9999)}" for _ in range(30_000)]
+    rows = [(k, " ".join(words[: 29_000 + 300 * k])) for k in range(4)] + [(9, " ".join(reversed(words)))]
+    for rounds in (0, 2):
+        got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in minhash.near_duplicates(frame(spark, rows), rounds=rounds).collect()}
+        assert got == {0: (0, 4), 1: (0, 4), 2: (0, 4), 3: (0, 4), 9: (9, 1)}
+
+
 def repeats_fixture():
     rng = random.Random(5)
     words = [rng.choice(["alpha", "be", "é", "d,", "omega"]) + str(rng.randint(0, 99)) for _ in range(400)]
