@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +76,13 @@ def encode(vectors: DataFrame, codebooks: list[list[list[float]]]) -> DataFrame:
     return _encoded(vectors.select("vec_id", "embedding"), codebooks).select("vec_id", "codes")
 
 
+def centroid_means(vectors: DataFrame, books: list[list[list[float]]], book: list[list[float]]) -> DataFrame:
+    """(code, mean): of what ``books`` leave of the vectors, the mean of those nearest to each centroid of ``book``."""
+    left = _encoded(vectors.select("vec_id", "embedding"), books).select("vec_id", F.col("r").alias("embedding"))
+    coded = _encoded(left, [book]).select(F.get("codes", F.lit(0)).alias("code"), array_to_vector("embedding").alias("v"))
+    return coded.groupBy("code").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("mean"))
+
+
 def train_quantizer(vectors: DataFrame, levels: int = 3, clusters: int = 256, iterations: int = 10, seed: int = 2026) -> list[list[list[float]]]:
     """Codebooks by k-means on residuals; a cluster that gets no vector keeps its centroid.
 
@@ -91,10 +98,7 @@ def train_quantizer(vectors: DataFrame, levels: int = 3, clusters: int = 256, it
         first = rows.orderBy(F.xxhash64("vec_id", F.lit(seed + level)), "vec_id").limit(clusters)
         book = [list(r["r"]) for r in _encoded(first, books).select("r", "vec_id").orderBy(F.xxhash64("vec_id", F.lit(seed + level)), "vec_id").collect()]
         for _ in range(iterations):
-            # Each vector's residual before this level, and its code there.
-            left = _encoded(rows, books).select("vec_id", F.col("r").alias("embedding"))
-            coded = _encoded(left, [book]).select(F.get("codes", F.lit(0)).alias("code"), array_to_vector("embedding").alias("v"))
-            for r in coded.groupBy("code").agg(Summarizer.mean(F.col("v")).alias("mean")).collect():
-                book[r["code"]] = r["mean"].toArray().tolist()
+            for r in centroid_means(rows, books, book).collect():
+                book[r["code"]] = r["mean"]
         books.append(book)
     return books

@@ -213,6 +213,92 @@ def _submission_csv(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.option("header", True).csv(out)
 
 
+def _events_parquet(spark: SparkSession, d: str) -> DataFrame:
+    path = _scratch(spark, "events")
+    sessions.write_events(_events(spark, d), path)
+    return sessions.read_events(spark, path)
+
+
+def _matrix_sink(spark: SparkSession, d: str) -> DataFrame:
+    """All matrices of a profile written by rule, and one of them read."""
+    path = _scratch(spark, "matrices")
+    covisit.suite_table(_view(spark, d).matrix_events, "public_v575", NEIGHBOURS).write.partitionBy("rule").parquet(path)
+    return covisit.matrices_of(spark.read.parquet(path), "public_v575")["carts_orders"]
+
+
+def _candidate_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate rows written in three parts by session, as the pipelines write them."""
+    from cartwheel.plans.pipeline import write_parts
+
+    view, matrices, popular = _view(spark, d), _suite(spark, d, "public_v575"), _popular(spark, d)
+    path = _scratch(spark, "rows")
+
+    def rows_of(part: DataFrame) -> DataFrame:
+        labels = view.labels.join(part.select("session").distinct(), "session", "left_semi")
+        return features.materialize(part, matrices, popular, labels, 250, 120).select(*_ROW)
+
+    write_parts(rows_of, view.query_contexts, path, 3)
+    return spark.read.parquet(path).drop("part")
+
+
+def _by_score(spark: SparkSession, d: str) -> DataFrame:
+    """The best 20 by a score: here that of fusion, written by target and read."""
+    path = _scratch(spark, "predictions")
+    scored = _features(spark, d).select("session", "target", "aid", F.col("candidate_score").alias("score"))
+    submission.score_predictions(scored).write.partitionBy("target").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _means(spark: SparkSession, d: str) -> DataFrame:
+    """One step of k-means from the first eight vectors."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    book = [[float(x) for x in r["embedding"]] for r in rows.where("vec_id < 8").orderBy("vec_id").collect()]
+    means = vectors.centroid_means(rows, [], book)
+    return means.select("code", F.posexplode("mean").alias("d", "x")).select("code", "d", F.round("x", 6).alias("x"))
+
+
+def _gates(spark: SparkSession, d: str) -> DataFrame:
+    """What both gates decide on a grid of reports."""
+    from cartwheel.plans import pipeline
+    from cartwheel.plans.config import Config
+
+    out = []
+    for rules in (0.50, 0.54, 0.60):
+        for found in (0.60, 0.62, 0.70):
+            report = {"rules_recall_at_20": rules, "candidate_recall_at_100": found, "ranker_recall_at_20": found - 0.1}
+            try:
+                pipeline.check_quality(report, Config())
+                passed = True
+            except ValueError:
+                passed = False
+            out.append((rules, found, passed, pipeline.publication_strategy(report, "validated")))
+    return spark.createDataFrame(out, "rules double, found double, passed boolean, strategy string")
+
+
+def _smoke(spark: SparkSession, d: str) -> DataFrame:
+    from cartwheel.plans.pipeline import run_smoke
+
+    got = run_smoke(spark)
+    return spark.createDataFrame([(round(got["weighted_recall_at_20"], 9), got["submission_rows"], got["items"])], "weighted_recall double, submission_rows long, items long")
+
+
+def _validation(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the rules from the validation pipeline's report: JSON lines to JSON."""
+    import json
+
+    from cartwheel.plans import pipeline
+    from cartwheel.plans.config import Config
+    from cartwheel.sources import store
+
+    source, folder = _scratch(spark, "train"), _scratch(spark, "run")
+    sessions.nest(_events(spark, d)).write.json(source)
+    # Event ids break ties of time as places in the file do: records keep their order.
+    cfg = Config(covisitation={"max_neighbors": NEIGHBOURS}, validation={"enforce_quality_gate": False})
+    pipeline.run_validation(spark, source, folder, cfg, rank=False)
+    report = json.loads(store.read_text(spark, f"{folder}/evaluation/candidates.json"))
+    return spark.createDataFrame([(r["type"], r["hits"], r["denominator"], r["recall"], r["weighted"]) for r in report["rules"]], "type string, hits long, denominator long, recall double, weighted double")
+
+
 def _prefix(spark: SparkSession, d: str) -> DataFrame:
     """The feature of a prefix of 100 sessions, here by session id."""
     events = _events(spark, d)
@@ -268,8 +354,12 @@ def _rq_trained(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _refit(spark: SparkSession, d: str) -> DataFrame:
-    rows = _features(spark, d)
-    return sampling.refit_union([rows, rows], "carts", 80, None).select("query_group", "session", "aid", "label", "candidate_rank")
+    """Training rows of both validation windows, each with matrices and popularity of its own."""
+    parts = []
+    for view in split.two_windows(_events(spark, d)).values():
+        matrices = covisit.suite(view.matrix_events, "public_v575", NEIGHBOURS)
+        parts.append(features.materialize(view.query_contexts, matrices, popularity(view.matrix_events), view.labels, 250, 120, ("carts",)))
+    return sampling.refit_union(parts, "carts", 80, None).select("query_group", "session", "aid", "label", "candidate_rank")
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
@@ -303,6 +393,15 @@ def queries() -> dict[str, Query]:
         "jsonl_prefix_limit": _jsonl_prefix,
         "two_windows_contexts": _windows("query_contexts"),
         "two_windows_labels": _windows("labels"),
+        "events_parquet": _events_parquet,
+        "matrix_sink": _matrix_sink,
+        "candidate_parts": _candidate_parts,
+        "top20_by_score": _by_score,
+        "group_sizes": lambda s, d: sampling.group_sizes(_features(s, d).where("target = 'orders'")),
+        "centroid_means": _means,
+        "gates": _gates,
+        "smoke": _smoke,
+        "validation_report": _validation,
         "max_ts": lambda s, d: _events(s, d).agg(F.max("ts").alias("max_ts")),
         "known_aids": _known,
         "event_index": lambda s, d: order.indexed(_events(s, d)),

@@ -204,6 +204,14 @@ CTES["x_pos"] = "SELECT * FROM x_feat WHERE label > 0"
 CTES["x_top"] = "SELECT session, target, aid, candidate_rank AS rank FROM x_kept WHERE candidate_rank <= 20"
 CTES["x_subq"] = "SELECT session, target FROM x_sess, x_targets"
 
+# The window before again, for all that comes of its view.
+_LATER = [n for n in CTES if n not in {*_WINDOW, *(f"{n}1" for n in _WINDOW)}]
+_SHIFTED = set(_WINDOW)
+while _MORE := [n for n in _LATER if n not in _SHIFTED and set(re.findall(r"\bx_\w+", CTES[n])) & _SHIFTED]:
+    _SHIFTED |= set(_MORE)
+for _n in _SHIFTED - set(_WINDOW):
+    CTES[f"{_n}1"] = re.sub(rf"\b({'|'.join(sorted(_SHIFTED))})\b", r"\g<1>1", CTES[_n])
+
 
 def sql(body: str) -> str:
     """``body`` with the expressions that it needs, in order of definition."""
@@ -242,6 +250,19 @@ def queries() -> dict[str, str]:
         "ingest_counts": "SELECT count(DISTINCT session) AS sessions, count(*) AS events FROM x_ev",
         "session_prefix_limit": "SELECT session, aid, ts, type, pos FROM x_ev WHERE session IN (SELECT DISTINCT session FROM x_ev ORDER BY session LIMIT 100)",
         "events_union": "SELECT session, aid, ts, type, pos FROM x_ev UNION ALL SELECT session, aid, ts, type, pos + 1 + (SELECT max(pos) FROM x_ev) FROM x_user",
+        "events_parquet": "SELECT session, aid, ts, type, pos FROM x_ev",
+        "matrix_sink": "SELECT source_aid, target_aid, weight, rank FROM x_m_carts_orders",
+        "candidate_parts": "@candidates_labeled_retained",
+        "top20_by_score": "SELECT session, target, aid, score, row_number() OVER (PARTITION BY session, target ORDER BY score DESC, aid) AS rank FROM x_kept QUALIFY rank <= 20",
+        "group_sizes": "SELECT session, count(*) AS n FROM x_kept WHERE target = 'orders' GROUP BY session",
+        "centroid_means": """WITH b AS (SELECT vec_id AS code, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 8),
+            c AS (SELECT CAST(v.embedding AS DOUBLE[]) AS e, (SELECT arg_min(code, list_sum(list_transform(list_zip(CAST(v.embedding AS DOUBLE[]), b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) FROM b) AS code FROM embeddings v),
+            f AS (SELECT code, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS d FROM c)
+            SELECT CAST(code AS INTEGER) AS code, CAST(d AS INTEGER) AS d, round(avg(x), 6) AS x FROM f GROUP BY code, d""",
+        "gates": """SELECT rules, found, rules >= 0.54 AND found >= 0.62 AS passed, CASE WHEN found - 0.1 >= rules THEN 'validated' ELSE 'rules' END AS strategy
+            FROM (SELECT unnest([0.50::DOUBLE, 0.54, 0.60]) AS rules), (SELECT unnest([0.60::DOUBLE, 0.62, 0.70]) AS found)""",
+        "smoke": "SELECT 1.0::DOUBLE AS weighted_recall, 9::BIGINT AS submission_rows, 4::BIGINT AS items",
+        "validation_report": "@recall_at_20",
         "jsonl_flatten": "SELECT session, aid, ts, type FROM x_ev",
         "jsonl_prefix_limit": "SELECT session, aid, ts, type FROM x_ev WHERE session IN (SELECT DISTINCT session FROM x_ev ORDER BY session LIMIT 100)",
         "two_windows_contexts": "SELECT 'ranker_train' AS win, * FROM x_ctx1 UNION ALL SELECT 'local_validation', * FROM x_ctx",
@@ -292,7 +313,11 @@ def queries() -> dict[str, str]:
             (SELECT session FROM x_feat WHERE target = 'orders' AND (candidate_rank <= 80 OR label > 0) GROUP BY session HAVING sum(label) > 0 ORDER BY {_hash('session', 2026)}, session LIMIT 50)""",
         "sample_negatives": f"SELECT session, target, aid, label, candidate_rank FROM x_feat WHERE target = 'clicks' AND (label > 0 OR (candidate_rank <= 80 AND {_hash(_hash('session', 2026) + ' * 31 + aid', 2026)} < 107374182))",
         "positive_groups": "SELECT session, target, aid, label, candidate_rank FROM x_feat WHERE target = 'carts' AND session IN (SELECT session FROM x_feat WHERE target = 'carts' GROUP BY session HAVING sum(label) > 0)",
-        "refit_union": "SELECT g || ':' || session AS query_group, session, aid, label, candidate_rank FROM x_feat, (SELECT unnest(['0', '1']) AS g) WHERE target = 'carts' AND (candidate_rank <= 80 OR label > 0) AND session IN (SELECT session FROM x_feat WHERE target = 'carts' GROUP BY session HAVING sum(label) > 0)",
+        "refit_union": " UNION ALL ".join(
+            f"""SELECT '{k}:' || session AS query_group, session, aid, label, candidate_rank FROM {rows} WHERE target = 'carts' AND (candidate_rank <= 80 OR label > 0)
+            AND session IN (SELECT session FROM {rows} WHERE target = 'carts' GROUP BY session HAVING sum(label) > 0)"""
+            for k, rows in enumerate(("x_kept1", "x_kept"))
+        ),
         "rules_top20": "SELECT session, target, aid, CAST(-rank AS DOUBLE) AS score, rank FROM x_top",
         "submission_rows": """SELECT session || '_' || target AS session_type, string_agg(aid, ' ' ORDER BY r) AS labels FROM (
             SELECT session, target, aid, row_number() OVER (PARTITION BY session, target ORDER BY min(o)) AS r FROM (SELECT session, target, aid, rank AS o FROM x_top

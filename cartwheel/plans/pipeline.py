@@ -123,8 +123,8 @@ def _train(rows: DataFrame, target: str, cfg: Config, rate: float | None = None,
     return ranker.train(own, r.rounds, r.max_depth, r.learning_rate, cfg.project.seed, "session", validation, PATIENCE)
 
 
-def run_validation(spark: SparkSession, source: str, folder: str, cfg: Config | None = None, max_sessions: int | None = None, allow_low_score: bool = False, progress: Callable[[str, str, float], None] = silent) -> dict[str, Any]:
-    """Views of two windows, their matrices and candidates, the report, and rankers."""
+def run_validation(spark: SparkSession, source: str, folder: str, cfg: Config | None = None, max_sessions: int | None = None, allow_low_score: bool = False, progress: Callable[[str, str, float], None] = silent, rank: bool = True) -> dict[str, Any]:
+    """Views of two windows, their matrices and candidates, the report, and (with ``rank``) rankers."""
     cfg = cfg or Config()
     run = Run(spark, folder, {"kind": "validation", "source": str(source), "files": sessions.fingerprint(spark, source), "max_sessions": max_sessions, "config": cfg.as_dict()}, progress)
     events = _load(spark, _ingest(spark, run, "preprocess", source, max_sessions))
@@ -181,7 +181,7 @@ def run_validation(spark: SparkSession, source: str, folder: str, cfg: Config |
         save_report(spark, f"{folder}/metrics.json", {"weighted_recall_at_20": total, "targets": own_metrics})
         return {"models": made, "ranker_recall_at_20": total}
 
-    _, trained = run.stage("rankers", rankers)
+    trained = run.stage("rankers", rankers)[1] if rank else {}
     return {**report, **trained, "reused": run.reused, "made": run.made, "folder": folder}
 
 
