@@ -37,12 +37,12 @@ class Blocks:
         return max(LEAST_BUCKETS, int(self.bytes * hashes_per_byte / BUCKET_HASHES))
 
 
-def deal(docs: DataFrame, columns: list[str] | None = None) -> Blocks:
+def deal(docs: DataFrame, block_bytes: int | None = None) -> Blocks:
     spark = docs.sparkSession
     prepare(spark)
     total = text_bytes(docs)
-    count = max(1, -(-total // BLOCK_BYTES))
-    own = docs.select(*(columns or [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")]))
+    count = max(1, -(-total // (block_bytes or BLOCK_BYTES)))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (64 << 20))
     return Blocks(own.repartition(int(parts), "block"), total)
@@ -107,16 +107,17 @@ def shared_pairs(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(_shared, "block long, hashes binary, more binary")
 
 
-def shared_counts(rows: DataFrame) -> DataFrame:
-    """Answers (block, hashes, more): shared hashes, and how many blocks have each."""
-    return rows.groupBy("bucket").applyInArrow(_counted, "block long, hashes binary, more binary")
+def shared_counts(rows: DataFrame, hot: int) -> DataFrame:
+    """Answers (block, hashes, more): shared hashes, and those of them that ``hot`` blocks or more have."""
+    return rows.groupBy("bucket").applyInArrow(lambda table: _counted(table, hot), "block long, hashes binary, more binary")
 
 
-def _counted(table: pa.Table) -> pa.Table:
-    every = _numbers(table.column("hashes"))
-    distinct, count = np.unique(every, return_counts=True)
+def _counted(table: pa.Table, hot: int) -> pa.Table:
+    distinct, count = np.unique(_numbers(table.column("hashes")), return_counts=True)
+    often = distinct[count >= hot]
     shared = _shared(table)
-    more = [count[np.searchsorted(distinct, np.frombuffer(x, np.uint64))].astype(np.uint64).tobytes() for x in shared.column("hashes").to_pylist()]
+    each = [np.frombuffer(x, np.uint64) for x in shared.column("hashes").to_pylist()]
+    more = [x[member(x, often)].tobytes() for x in each]
     return pa.Table.from_arrays([shared.column("block"), shared.column("hashes"), pa.array(more, pa.binary())], names=["block", "hashes", "more"])
 
 

@@ -39,11 +39,13 @@ from .induced import MEMORY, Budget, suffixes
 
 #: Bytes of a minimizer.
 SEED = 32
+#: Bytes of text of a block: what a block repeats leaves it once.
+BLOCK_TEXT = 8 << 20
 #: Bytes of text for which one shard is set up; repeats are a part of them.
 SHARD_TEXT = 32 << 20
 LEAST_SHARDS = 64
 #: Blocks that share a minimizer from which on its runs are cut, into so many cuts.
-HOT_BLOCKS, CUTS = 512, 3
+HOT_BLOCKS, CUTS = 256, 3
 #: Bytes of stretches in one row group that a block returns, and spans in one answer.
 PIECE, SPANS = 64 << 20, 1 << 16
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -146,18 +148,14 @@ def _cut(first: np.ndarray, count: np.ndarray, shift: np.ndarray, hot: np.ndarra
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _stretch_rows(table: pa.Table, answers: pa.Table, width: int, shards: int, hot_blocks: int) -> pa.Table:
+def _stretch_rows(table: pa.Table, answers: pa.Table, width: int, shards: int) -> pa.Table:
     """Rows of stretches for the shards, and one for the block itself with repeats found here."""
     if not table.num_rows:
         return _SCHEMA.empty_table()
     block = _Block(table)
     first, count, hashes, shift = runs(block.data, block.offsets, width)
-    shared, blocks = received_pairs(answers)
-    order = np.argsort(shared)
-    shared, blocks = shared[order], blocks[order]
-    hit = member(hashes, shared)
-    hot = np.zeros(len(hashes), bool)
-    hot[hit] = blocks[np.searchsorted(shared, hashes[hit])] >= hot_blocks
+    shared, often = (np.sort(x) for x in received_pairs(answers))
+    hit, hot = member(hashes, shared), member(hashes, often)
     if len(hashes):
         hit |= repeated(hashes)[0]
     run, first, count, core, size = _cut(first[hit], count[hit], shift[hit], hot[hit], width)
@@ -393,8 +391,8 @@ def _stretches(blocks, width: int, hot_blocks: int) -> DataFrame:
         return hash_rows(np.unique(runs(block.data, block.offsets, width)[2]), buckets, table.column("block")[0].as_py())
 
     asked = each_block(blocks, ask, "bucket int, block long, hashes binary")
-    rows = each_answered(blocks, shared_counts(asked), lambda t, a: _stretch_rows(t, a, width, shards, hot_blocks), _DDL)
-    return rows.repartition(int(shards), "bucket").sortWithinPartitions(*_ORDER)
+    rows = each_answered(blocks, shared_counts(asked, hot_blocks), lambda t, a: _stretch_rows(t, a, width, shards), _DDL)
+    return rows.repartitionById(int(shards), "bucket").sortWithinPartitions(*_ORDER)
 
 
 def _check(width: int) -> None:
@@ -406,13 +404,13 @@ def shard_report(docs: DataFrame, width: int = 100, memory: int = MEMORY, hot_bl
     """(bucket, symbols, spilled, mapped, recursions): what sorting each shard took; bytes beyond memory."""
     _check(width)
     schema = "bucket long, symbols long, spilled long, mapped long, recursions long"
-    return _stretches(deal(docs), width, hot_blocks).mapInArrow(lambda batches: shard_answers(batches, width, memory, True), schema)
+    return _stretches(deal(docs, BLOCK_TEXT), width, hot_blocks).mapInArrow(lambda batches: shard_answers(batches, width, memory, True), schema)
 
 
 def remove_earlier(docs: DataFrame, width: int = 100, memory: int = MEMORY, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_bytes (the remaining bytes)."""
     _check(width)
-    blocks = deal(docs)
+    blocks = deal(docs, BLOCK_TEXT)
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(table)
