@@ -7,6 +7,7 @@ sizes below, never by the corpus.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import shutil
 import tempfile
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -82,11 +83,14 @@ _TABLES: list[DataFrame] = []
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage.
 
-    The table stays, as a checkpoint does, until it is discarded.
+    The table stays, as a checkpoint does, until it is discarded.  Tables of numbers and
+    digests hardly shrink, and a compressor for each of many small files costs executors
+    memory outside the heap; only tables with texts are compressed.
     """
     spark = df.sparkSession
     path = new_table_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    texts = any("string" in kind for _, kind in df.dtypes)
+    df.write.option("compression", "zstd" if texts else "uncompressed").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._cartwheel_path = path
     _TABLES.append(back)
@@ -128,6 +132,16 @@ def text_bytes(df: DataFrame, col: str = "text") -> int:
     return int(row["n"] or 0)
 
 
+def released(batches: Iterator) -> Iterator:
+    """``batches``; at their end the worker, which other tasks use again, gives back what it has freed."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, col: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece holds about ``limit`` bytes of text (or one row)."""
     n = batch.num_rows

@@ -139,14 +139,14 @@ class MergeIndex:
                 if len(group) == 1:
                     self.levels[level + 1].append(group[0])
                     continue
-                probed = written(self._probed(group), "probed")
+                probed = self._probed(group)
                 plain = probed.where(~F.col("maybe")).drop("maybe")
                 merged = written(plain.unionByName(self._merge(probed.where("maybe"))), "run")
                 both = reduce(DataFrame.unionByName, [r.filter for r in group])
                 # The last run is not merged any more and needs no filter.
                 more = len(runs) > self.fan or level + 1 < len(self.levels) - 1
                 made = Run(merged, written(both.groupBy("slot").agg(F.bitmap_or_agg("bits").alias("bits")), "filter") if more else both)
-                discard(probed, *[x for r in group for x in (r.rows, r.filter)])
+                discard(*[x for r in group for x in (r.rows, r.filter)])
                 self.levels[level + 1].append(made)
             self.levels[level] = []
             level += 1
