@@ -80,13 +80,20 @@ def new_table_path(spark: SparkSession, name: str) -> str:
 _TABLES: list[DataFrame] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Files of a small table, and bytes of a file of a larger one.
+LEAST_FILES, FILE_BYTES = 24, 32 << 20
+
+
+def written(df: DataFrame, name: str, rows: int | None = None, row_bytes: int = 64) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage.
 
     The table stays, as a checkpoint does, until it is discarded.  Tables of numbers and
-    digests hardly shrink, and a compressor for each of many small files costs executors
-    memory outside the heap; only tables with texts are compressed.
+    digests hardly shrink, so only tables with texts are compressed.  Where it is known that
+    there are ``rows`` rows at most, of about ``row_bytes``, they go to no more files than
+    that takes, however many partitions a shuffle has.
     """
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, rows * row_bytes // FILE_BYTES))
     spark = df.sparkSession
     path = new_table_path(spark, name)
     texts = any("string" in kind for _, kind in df.dtypes)

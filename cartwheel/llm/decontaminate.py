@@ -24,13 +24,14 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, prepare, unused
+from .common import mix, prepare, released, unused
 
 _WORD = re.compile(r"\w+")
 
@@ -48,6 +49,8 @@ def seed_hashes(ids: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+#: Words of a document that are looked up at once.
+CHUNK = 1 << 16
 #: Modulus and base of the rolling hash, and the length that the search begins with.
 _PRIME, _BASE, SEARCH = (1 << 61) - 1, 1_000_003, 20
 
@@ -140,19 +143,20 @@ class Index:
                 hashes, items_, places = zip(*found, strict=True)
                 self.widths[width] = (np.array(hashes, np.uint64), np.array(items_, np.int64), np.array(places, np.int64))
 
+    def _document(self, text: str | None) -> np.ndarray:
+        """Word ids, -1 for words that no item has; a long text's words are not held all at once."""
+        get, found = self.vocabulary.get, _WORD.finditer((text or "").lower())
+        parts = [np.zeros(0, np.int64)]
+        while len(part := np.fromiter((get(m[0], -1) for m in islice(found, CHUNK)), np.int64)):
+            parts.append(part)
+        return np.concatenate(parts)
+
     def match(self, text: str | None, threshold: float) -> list[tuple[int, float]]:
         """(index of the item, coverage) of each leaked item."""
-        get = self.vocabulary.get
-        doc = np.array([get(w, -1) for w in tokens(text)], np.int64)
+        doc = self._document(text)
         out = []
         for width, (hashes, items, places) in self.widths.items():
-            run = np.cumsum(np.concatenate([[0], doc >= 0]))
-            i = np.flatnonzero(run[width:] - run[:-width] == width) if len(doc) >= width else np.zeros(0, np.int64)
-            if not len(i):
-                continue
-            own = np.zeros(len(i), np.uint64)
-            for k in range(width):
-                own = mix(own * np.uint64(0x9E3779B97F4A7C15) + doc[i + k].astype(np.uint64) + np.uint64(1))
+            i, own = _shared_seeds(doc, width, hashes)
             # Each distinct seed once, so there are no more rows than the index has.
             distinct = np.unique(own)
             lo, hi = np.searchsorted(hashes, distinct, "left"), np.searchsorted(hashes, distinct, "right")
@@ -173,6 +177,23 @@ class Index:
         return sorted(out, key=lambda x: (-x[1], self.ids[x[0]] is None, self.ids[x[0]] or 0, x[0]))
 
 
+def _shared_seeds(doc: np.ndarray, width: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of a document's seeds that are among the ordered ``hashes``, a chunk at a time."""
+    places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for at in range(0, len(doc) - width + 1, CHUNK):
+        part = doc[at : at + CHUNK + width - 1]
+        run = np.cumsum(np.concatenate([[0], part >= 0]))
+        i = np.flatnonzero(run[width:] - run[:-width] == width)
+        own = np.zeros(len(i), np.uint64)
+        for k in range(width):
+            own = mix(own * np.uint64(0x9E3779B97F4A7C15) + part[i + k].astype(np.uint64) + np.uint64(1))
+        near = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        hit = hashes[near] == own
+        places.append(i[hit] + at)
+        found.append(own[hit])
+    return np.concatenate(places), np.concatenate(found)
+
+
 def _covered(doc: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
     """The words that seeds at ``places`` cover, runs of them parted by a word that no item has."""
     mark = np.zeros(len(doc) + 1, np.int64)
@@ -204,11 +225,14 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, least: int, threshold: float,
 def _iterating(shared, threshold: float):
     import pandas as pd
 
-    def leaks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def each(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = shared.value
         for part in texts:
             yield pd.Series([[{"item_id": index.ids[k], "coverage": c} for k, c in index.match(t, threshold)] for t in part])
 
+    def leaks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from released(each(texts))
+
     leaks.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return leaks
 

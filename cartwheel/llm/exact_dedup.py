@@ -107,9 +107,9 @@ class MergeIndex:
         slot, one, two = _places(self.slots)
         merged = self._merge(rows).withColumn("slot", slot)
         # By slot, so that a bitmap is made in one task and each slot is one stretch of a run.
-        run = written(merged.repartition("slot").sortWithinPartitions("slot", "digest"), "run")
+        run = written(merged.repartition("slot").sortWithinPartitions("slot", "digest"), "run", self.count, DIGEST_BYTES)
         bits = run.select("slot", F.explode(F.array(one, two)).alias("bit"))
-        filter_ = written(bits.groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bits")), "filter")
+        filter_ = written(bits.groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bits")), "filter", self.slots, SLOT_BITS // 8)
         self.levels[0].append(Run(run.drop("slot"), filter_))
         self.levels[0][-1].rows._cartwheel_path = run._cartwheel_path
 
@@ -141,11 +141,11 @@ class MergeIndex:
                     continue
                 probed = self._probed(group)
                 plain = probed.where(~F.col("maybe")).drop("maybe")
-                merged = written(plain.unionByName(self._merge(probed.where("maybe"))), "run")
+                merged = written(plain.unionByName(self._merge(probed.where("maybe"))), "run", self.count, DIGEST_BYTES)
                 both = reduce(DataFrame.unionByName, [r.filter for r in group])
                 # The last run is not merged any more and needs no filter.
                 more = len(runs) > self.fan or level + 1 < len(self.levels) - 1
-                made = Run(merged, written(both.groupBy("slot").agg(F.bitmap_or_agg("bits").alias("bits")), "filter") if more else both)
+                made = Run(merged, written(both.groupBy("slot").agg(F.bitmap_or_agg("bits").alias("bits")), "filter", self.slots, SLOT_BITS // 8) if more else both)
                 discard(*[x for r in group for x in (r.rows, r.filter)])
                 self.levels[level + 1].append(made)
             self.levels[level] = []
@@ -183,7 +183,7 @@ def _indexed(digests: DataFrame, keep: str, **options) -> tuple[DataFrame, DataF
     index = MergeIndex(rows.sparkSession, rows.count(), keep, **options)
     index.add(rows)
     compacted = index.compact()
-    hits = written(compacted.where("group_size > 1"), "hits")
+    hits = written(compacted.where("group_size > 1"), "hits", index.count, DIGEST_BYTES)
     discard(*[x for level in index.levels for r in level for x in (r.rows, r.filter)])
     return rows, hits, hits.count()
 
@@ -209,7 +209,7 @@ def _clashes(keyed: DataFrame, hits: DataFrame, count: int) -> DataFrame:
     texts = _meet(keyed, hits, count, "doc_id", "inner").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
     part = texts.groupBy("digest", "salt").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
     spans = part.groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return written(spans.where("lo <> hi").select("digest"), "clashes")
+    return written(spans.where("lo <> hi").select("digest"), "clashes", count, 4096)  # the texts decide the size
 
 
 def _with_sha(out: DataFrame, keyed: DataFrame, clashing: DataFrame, keep: str, **options) -> DataFrame:

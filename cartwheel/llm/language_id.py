@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, released
 
 _RUN = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -79,7 +79,7 @@ class Model:
 class Scorer:
     """Scores texts; remembers a bounded number of unseen words."""
 
-    def __init__(self, model: Model, most: int = 200_000):
+    def __init__(self, model: Model, most: int = 100_000):
         self.model, self.most, self.memo = model, most, {}
 
     def __call__(self, text: str | None) -> tuple[str, float]:
@@ -144,7 +144,7 @@ def train(docs: DataFrame, sample_docs: int = 2500, longest: int = 4, penalty: f
                 langs, sizes_, grams = zip(*keys, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(sizes_, pa.int32()), pa.array(grams), pa.array(list(found.values()), pa.int64())], names=["lang", "n", "gram", "k"])
 
-    counted = rows.join(F.broadcast(sizes), "lang").where(chosen).select("text", "lang").mapInArrow(count, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
+    counted = rows.join(F.broadcast(sizes), "lang").where(chosen).select("text", "lang").mapInArrow(lambda batches: released(count(batches)), "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
     kept = counted.where((F.col("n") > 0) | (F.col("k") >= 2)).orderBy("n", "gram", "lang")
     found = kept.toArrow().to_pydict()
     languages = sorted(set(found["lang"]))
@@ -176,7 +176,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lambda batches: released(score(batches)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.4) -> DataFrame:
@@ -191,12 +191,15 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.4) -> Da
 def _keeping(shared, min_score: float):
     import pandas as pd
 
-    def keeps(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def each(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)  # one for all batches of a task: it remembers words
         for texts in parts:
             found = [scorer(t) for t in texts]
             yield pd.Series([lang != UNKNOWN and score >= min_score for lang, score in found], dtype=bool)
 
+    def keeps(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from released(each(parts))
+
     keeps.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return keeps
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, mix, prepare, slices, unused, utf8, window_hashes, word_hashes, words, written
+from .common import discard, mix, prepare, released, slices, unused, utf8, window_hashes, word_hashes, words, written
 from .components import components
 
 #: Parts into which one band's members are dealt when groups are first counted.
@@ -202,7 +202,7 @@ def _signed(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some) * bands]).astype(np.int32)), pa.array(keys[some].ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(np.diff(offsets)), lists], names=["doc_id", "node", "bytes", "bands"])
 
-    return texts.mapInArrow(sign, "doc_id long, node binary, bytes long, bands array<long>")
+    return texts.mapInArrow(lambda batches: released(sign(batches)), "doc_id long, node binary, bytes long, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -216,7 +216,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
     left = texts.select(F.col("seq").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("seq").alias("b"), F.col("text").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb", "left", "right").mapInArrow(compare, "a long, b long, la long, lb long, sim double")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb", "left", "right").mapInArrow(lambda batches: released(compare(batches)), "a long, b long, la long, lb long, sim double")
 
 
 def _several(members: DataFrame) -> DataFrame:
@@ -287,15 +287,15 @@ def _blocked(members: DataFrame, texts: DataFrame, threshold: float, size: int)
     return paired.join(texts, "seq").groupBy("band", "i", "j").applyInArrow(compare, schema)
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` after ``links`` (la, lb)."""
-    classes_ = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    new = written(labels.join(classes_, "label", "left").select("seq", F.coalesce("to", "label").alias("label")), "labels")
+def _merged(labels: DataFrame, links: DataFrame, nodes: int) -> DataFrame:
+    """``labels`` of so many nodes after ``links`` (la, lb)."""
+    classes_ = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")), links.count()).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    new = written(labels.join(classes_, "label", "left").select("seq", F.coalesce("to", "label").alias("label")), "labels", nodes)
     discard(labels, links)
     return new
 
 
-def _link(members: DataFrame, texts: DataFrame, threshold: float, size: int, rounds: int) -> DataFrame:
+def _link(members: DataFrame, texts: DataFrame, threshold: float, size: int, rounds: int, nodes: int) -> DataFrame:
     """(seq, label) of members after linking; ``members`` are (band, part, parts, seq, bytes) of groups.
 
     A round compares the members of groups that still hold several labels with the group's
@@ -303,9 +303,10 @@ def _link(members: DataFrame, texts: DataFrame, threshold: float, size: int, rou
     one label is left.  Groups that are not done after ``rounds`` rounds are compared by blocks.
     """
     labels = members.select("seq", F.col("seq").alias("label")).distinct()
+    count = members.count()
     active, states = members.withColumn("label", F.col("seq")), []
     for _ in range(rounds):
-        state = written(active.join(_several(active), ["band", "part"]).drop("n", "total"), "groups")
+        state = written(active.join(_several(active), ["band", "part"]).drop("n", "total"), "groups", count)
         discard(*states)
         states = [state]
         if state.isEmpty():
@@ -314,12 +315,12 @@ def _link(members: DataFrame, texts: DataFrame, threshold: float, size: int, rou
         pairs = state.where("label <> lb").select(F.col("seq").alias("a"), F.col("centre").alias("b"), F.col("label").alias("la"), "lb").distinct()
         links = written(_verified(pairs, texts.select("seq", "text"), size).where(F.col("sim") >= threshold), "links")
         if not links.isEmpty():
-            labels = _merged(labels, links)
+            labels = _merged(labels, links, nodes)
         active = state.where("seq <> centre").select("band", "part", "parts", "seq", "bytes").join(labels, "seq")
-    rest = written(active, "rest")
-    links = written(_blocked(rest, texts, threshold, size).distinct(), "links")
+    rest = written(active, "rest", count)
+    links = written(_blocked(rest, texts, threshold, size).distinct(), "links", nodes)
     discard(rest, *states)
-    return labels if links.isEmpty() else _merged(labels, links)
+    return labels if links.isEmpty() else _merged(labels, links, nodes)
 
 
 def _small(keys: DataFrame, count: int) -> DataFrame:
@@ -347,7 +348,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, bands: in
     met = keyed.join(_small(keys, wanted.count()), ["node", "_id"]).dropDuplicates(["seq"])
     texts = met.select("seq", "text").join(wanted.select("seq", "bands"), "seq")
     texts = written(texts, "texts")
-    labels = written(_link(members, texts, threshold, shingle, rounds), "classes")
+    count = nodes.count()
+    labels = written(_link(members, texts, threshold, shingle, rounds, count), "classes", count)
     discard(members, texts, wanted)
     labelled = nodes.select("seq", "node", "least", "n").join(labels, "seq", "left")
     labelled = labelled.withColumn("class_key", F.coalesce("label", "seq"))

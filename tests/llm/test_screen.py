@@ -96,6 +96,17 @@ def test_rolled_hashes_equal_those_from_scratch():
         assert all(h == next(decontaminate.rolling(words[i : i + size], [True] * size, size))[1] for i, h in got.items())
 
 
+def test_chunks_of_a_document_make_no_difference(monkeypatch):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(9)]
+    bench = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([2, 5, 30])))) for k in range(8)]
+    index = decontaminate.Index(bench, 4)
+    texts = [" ".join(rng.choice([*vocabulary, "zz", bench[2][1], bench[5][1]]) for _ in range(60)) for _ in range(40)]
+    whole = [index.match(t, 0.5) for t in texts]
+    monkeypatch.setattr(decontaminate, "CHUNK", 3)
+    assert [index.match(t, 0.5) for t in texts] == whole and any(whole)
+
+
 @pytest.mark.parametrize("limit", [32 << 20, 0], ids=["broadcast", "shuffle"])
 def test_leaks_equal_brute_force(spark, limit):
     rng = random.Random(23)
